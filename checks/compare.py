@@ -87,11 +87,21 @@ def session(cpus="8", parts="8"):
     return spark
 
 
+def pick(names, words):
+    """All names, those containing a word, or with ``@module`` those a checks module registers."""
+    import importlib
+    chosen = []
+    for w in words:
+        mod = importlib.import_module(f"checks.{w[1:]}").ENTRIES if w.startswith("@") else None
+        chosen += [n for n in names if (n in mod if mod is not None else w in n) and n not in chosen]
+    return chosen if words else list(names)
+
+
 if __name__ == "__main__":
     sys.path.insert(0, __file__.rsplit("/", 2)[0])
     from checks.registry import oracle_sql, queries
     spark = session()
-    picked = [n for n in queries() if not sys.argv[2:] or any(p in n for p in sys.argv[2:])]
+    picked = pick(queries(), sys.argv[2:])
     failed = run(spark, f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}", queries(), oracle_sql(), picked)
     print("failed:", failed)
     spark.stop()

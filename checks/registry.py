@@ -1,8 +1,8 @@
 """All registered queries with their oracle statements."""
 
-from . import layers
+from . import layers, market_queries
 
-MODULES = [layers]
+MODULES = [layers, market_queries]
 
 
 def queries():

@@ -19,6 +19,11 @@ def stable_round(c, digits: int = 0) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + F.lit(GUARD)) / scale + F.lit(0.0)
 
 
+def rows() -> Column:
+    """Aggregate: number of rows."""
+    return F.count(F.lit(1))
+
+
 def ratio(a, b, factor: float = 1.0) -> Column:
     """``a / b * factor`` as double, NULL when ``b`` is 0 or NULL."""
     return F.try_divide(as_col(a).cast("double") * F.lit(factor), as_col(b).cast("double"))
