@@ -114,7 +114,7 @@ BASE = {"base": f"""SELECT f.*, c.display_name city, p.name listing_name, p.prop
  JOIN fact_listing_snapshot f USING (listing_key) JOIN dim_city c USING (city_key)""",
         "rev": """SELECT r.*, d.year, d.month, d.month_name, c.display_name city FROM fact_review r
  JOIN dim_date d ON d.date_key = r.review_date_key JOIN fact_listing_snapshot f USING (listing_key)
- JOIN dim_city c USING (city_key) WHERE d.year >= 2015"""}
+ JOIN dim_city c USING (city_key) WHERE d.year >= 1997"""}
 
 
 def explored(name, sql, digits=4, **params):
@@ -142,9 +142,9 @@ explored("monthly_pricing", f"""SELECT city, year, month, month_name, {R('avg(pr
 explored("weekday_pricing", f"""SELECT city, is_weekend, day_name, {R('avg(price)', 2)} avg_price, {R('median(price)', 2)} median_price,
  count(*) observations FROM cal WHERE price > 0 GROUP BY ALL""")
 explored("city_review_velocity", """SELECT city, year, month, month_name, count(*) review_count, count(*) * 2 estimated_bookings,
- count(DISTINCT listing_key) listings_reviewed, make_date(year, month, 1) AS period FROM rev GROUP BY ALL""")
+ count(DISTINCT listing_key) listings_reviewed, make_date(year, month, 1) AS period FROM rev GROUP BY ALL""", since=1997)
 explored("review_growth", f"""SELECT city, year, review_count, {R('growth_pct', 4)} growth_pct FROM (SELECT city, year, count(*) review_count,
- (count(*)::DOUBLE / lag(count(*)) OVER (PARTITION BY city ORDER BY year) - 1) * 100 growth_pct FROM rev GROUP BY city, year) WHERE growth_pct IS NOT NULL""")
+ (count(*)::DOUBLE / lag(count(*)) OVER (PARTITION BY city ORDER BY year) - 1) * 100 growth_pct FROM rev GROUP BY city, year) WHERE growth_pct IS NOT NULL""", since=1997)
 
 
 def _five(keys, cols, src):

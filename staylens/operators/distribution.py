@@ -196,3 +196,11 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42, group: list[str
     # rank limits are applied per partition before the shuffle, so at most n rows per group and task travel
     w = Window.partitionBy(*group).orderBy(tag, key)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def rows_union(parts: list[DataFrame]) -> DataFrame:
+    """Report rows stacked by column name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
