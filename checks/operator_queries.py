@@ -195,6 +195,8 @@ op("area_reference", lambda s, d: enrich.neighbourhood_reference(silver(s, d, "n
    "SELECT DISTINCT city, neighbourhood neighbourhood_name, neighbourhood_group FROM s_neighbourhoods")
 op("surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "row_key"),
    "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) row_key, o_orderpriority, o_orderkey FROM orders")
+op("spread_surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "row_key", 0),
+   "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) row_key, o_orderpriority, o_orderkey FROM orders")
 op("fallback_review_ids", lambda s, d: ordering.dense_keys(
     silver(s, d, "reviews").select("city", "listing_id", "date", "id"), ["city", "listing_id", "date", "id"], "review_id"),
    "SELECT row_number() OVER (ORDER BY city, listing_id, date, id) review_id, city, listing_id, date, id FROM s_reviews")
@@ -251,6 +253,11 @@ op("describe", lambda s, d: D.describe(table(s, d, "lineitem"), ["l_returnflag"]
                       f"{R(f'quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)', 4)} iqr FROM lineitem GROUP BY 1" for c in ("l_quantity", "l_extendedprice")))
 op("grouped_medians", lambda s, d: ordering.medians(table(s, d, "lineitem"), ["l_suppkey"], {"price": "l_extendedprice", "quantity": "l_quantity"}),
    f"SELECT l_suppkey, {R('median(l_extendedprice)', 4)} price, {R('median(l_quantity)', 4)} quantity FROM lineitem GROUP BY 1")
+_Q5 = {f"p{int(q * 100)}_{k}": (c, q) for k, c in (("price", "l_extendedprice"), ("quantity", "l_quantity")) for q in (0, .05, .5, .99, 1)}
+op("spread_quantiles", lambda s, d: ordering.exact_quantiles(table(s, d, "lineitem"), ["l_returnflag"], _Q5, one_task_rows=0),
+   "SELECT l_returnflag, " + ", ".join(f"{R(f'quantile_cont({c}, {q})', 4)} {n}" for n, (c, q) in _Q5.items()) + " FROM lineitem GROUP BY 1")
+op("spread_median_of_all", lambda s, d: ordering.exact_quantiles(table(s, d, "events"), [], {"median": ("value", .5)}, with_count=True, one_task_rows=0),
+   f"SELECT {R('median(value)', 4)} AS median, count(value) n_median FROM events")
 op("distinct_counts", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders")),
    "SELECT l_returnflag, count(DISTINCT l_partkey) parts, count(DISTINCT l_orderkey) orders FROM lineitem GROUP BY 1")
 _PR = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -304,6 +311,15 @@ op("group_positions", lambda s, d: ordering.positions(table(s, d, "orders").sele
 op("running_totals", lambda s, d: ordering.running_totals(table(s, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority"], ["o_orderkey"],
                                                           {"running": "o_totalprice"}).select("o_orderkey", "running"),
    f"SELECT o_orderkey, {R('sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)', 2)} running FROM orders", digits=2)
+op("spread_positions", lambda s, d: ordering.positions(table(s, d, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey"), ["o_orderstatus"],
+                                                       ["o_orderdate", "o_orderkey"], one_task_rows=0).select("o_orderkey", "position"),
+   "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS position FROM orders")
+op("spread_tie_ranks", lambda s, d: ordering.tie_ranks(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", 0),
+   "SELECT l_returnflag, l_quantity, count(*) n, avg(r)::DOUBLE AS rank FROM (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) r "
+   "FROM lineitem) GROUP BY 1, 2")
+op("spread_running_totals", lambda s, d: ordering.running_totals(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [], ["o_orderkey"],
+                                                                 {"running": "o_totalprice"}, 0).select("o_orderkey", "running"),
+   f"SELECT o_orderkey, {R('sum(o_totalprice) OVER (ORDER BY o_orderkey)', 2)} running FROM orders", digits=2)
 op("sample_rows", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 100).select("p_partkey"),
    "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '|42'), p_partkey LIMIT 100")
 op("sample_per_group", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 20, group=["p_brand"]).select("p_brand", "p_partkey"),

@@ -1,10 +1,11 @@
 """Ordered work on groups of any size: keys, positions, running totals, ranks, exact quantiles.
 
-A window over one group puts the whole group into one task, which fails when one key holds a third of
-the rows.  Everything here sorts by range instead: rows are range-partitioned on (group, order), each
-partition is numbered on its own, and the totals of earlier partitions are added as offsets.  The
-sorted rows are checkpointed first, because range boundaries come from sampling: a second evaluation of
-the same plan, or a retry after a lost executor, could otherwise cut the rows elsewhere.
+A window or a percentile over one group puts the whole group into one task, which fails when one key holds
+a third of the rows.  So the largest group is measured first.  Up to ``ONE_TASK_ROWS`` rows the plain form
+is used; beyond it the work is spread by range: rows are range-partitioned on (group, order), each partition is
+numbered on its own, and the totals of earlier partitions are added as offsets.  The sorted rows are
+checkpointed, because range boundaries come from sampling: a second evaluation of the same plan, or a retry
+after a lost executor, could otherwise cut the rows elsewhere.  Both forms give the same results.
 """
 
 import os
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 ALL = "_all"
+ONE_TASK_ROWS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark) -> str:
@@ -42,6 +44,14 @@ def _sort_keys(order_by: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group, counted with partial sums on the map side over the key columns only."""
+    if not group:
+        return df.count()
+    top = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return top or 0
+
+
 def spread_sort(df: DataFrame, order_by: list) -> DataFrame:
     """``df`` in global order, with ``_part`` (range number) and ``_pos`` (0-based row in the range)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -54,8 +64,11 @@ def spread_sort(df: DataFrame, order_by: list) -> DataFrame:
             .drop("_tag"))
 
 
-def dense_keys(df: DataFrame, order_by: list, name: str) -> DataFrame:
-    """Surrogate keys 1..n in the order of ``order_by`` without a single-task window."""
+def dense_keys(df: DataFrame, order_by: list, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Surrogate keys 1..n in the order of ``order_by``; a single-task window only for small tables."""
+    if largest_group(df, []) <= one_task_rows:
+        at = F.row_number().over(Window.orderBy(*_sort_keys(order_by))).cast("long")
+        return df.select(at.alias(name), *[F.col(c) for c in df.columns])
     ordered = spread_sort(df, order_by)
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,9 +78,14 @@ def dense_keys(df: DataFrame, order_by: list, name: str) -> DataFrame:
     return keyed.select((F.col("_base") + F.col("_pos") + 1).alias(name), *[F.col(c) for c in df.columns])
 
 
-def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[str, Column | str]) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[str, Column | str],
+                   one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Adds inclusive running sums per group; ``sums`` maps new column name to the summed expression."""
     base = df.columns
+    if largest_group(df, group) <= one_task_rows:
+        w = (Window.partitionBy(*group).orderBy(*_sort_keys(order_by))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
     group_cols = group or [ALL]
     src = df if group else df.withColumn(ALL, F.lit(1))
     for name, expr in sums.items():
@@ -96,25 +114,44 @@ def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[s
                                   for n in sums])
 
 
-def positions(df: DataFrame, group: list[str], order_by: list, name: str = "position") -> DataFrame:
+def positions(df: DataFrame, group: list[str], order_by: list, name: str = "position",
+              one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """1-based position of every row inside its group (``row_number`` for groups of any size)."""
-    return running_totals(df, group, order_by, {name: F.lit(1).cast("long")})
+    return running_totals(df, group, order_by, {name: F.lit(1).cast("long")}, one_task_rows)
 
 
-def tie_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def tie_ranks(df: DataFrame, group: list[str], value: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """One row per (group, value): ``n`` equal rows and their common average ``rank``."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, group, [value], {"_upto": "n"})
+    run = running_totals(counts, group, [value], {"_upto": "n"}, one_task_rows)
     return run.select(*group, value, "n",
                       (F.col("_upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], where: dict | None = None,
-                    with_count: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool = False,
+                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
-    ``specs`` maps output name to ``(value expression, probability)``.  Rows are first reduced to distinct
-    values with counts; then only the ranges that hold a wanted rank are looked at again.
+    ``specs`` maps output name to ``(value expression, probability)``; ``with_count`` adds ``n_<name>``, the
+    number of values.
+    """
+    if largest_group(df, group) <= one_task_rows:
+        aggs = [F.percentile(_double(v), p).alias(out) for out, (v, p) in specs.items()]
+        if with_count:
+            aggs += [F.count(_double(v)).alias(f"n_{out}") for out, (v, _) in specs.items()]
+        return df.groupBy(*group).agg(*aggs)
+    return _spread_quantiles(df, group, specs, with_count)
+
+
+def _double(value: Column | str) -> Column:
+    return (F.col(value) if isinstance(value, str) else value).cast("double")
+
+
+def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool) -> DataFrame:
+    """Quantiles of groups too large for one task.
+
+    Rows are first reduced to distinct values with counts; then only the ranges that hold a wanted rank are
+    looked at again.
     """
     keys = group or [ALL]
     measures: dict[str, Column] = {}
@@ -123,7 +160,7 @@ def exact_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], wh
     for out, (value, prob) in specs.items():
         ident = value if isinstance(value, str) else str(value)
         label = labels.setdefault(ident, f"m{len(labels)}")
-        measures[label] = (F.col(value) if isinstance(value, str) else value).cast("double")
+        measures[label] = _double(value)
         wanted[out] = (label, float(prob))
     src = df if group else df.withColumn(ALL, F.lit(1))
     rows = F.array(*[F.struct(F.lit(m).alias("_m"), v.alias("_v")) for m, v in measures.items()])
