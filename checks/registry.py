@@ -1,8 +1,8 @@
 """All registered queries with their oracle statements."""
 
-from . import layers, market_queries, operator_queries, stats_queries
+from . import layers, market_queries, ml_queries, operator_queries, stats_queries
 
-MODULES = [layers, market_queries, operator_queries, stats_queries]
+MODULES = [layers, market_queries, operator_queries, stats_queries, ml_queries]
 
 
 def queries():
