@@ -84,7 +84,8 @@ def rule_report(df: DataFrame, rules: dict[str, dict], examples: bool = False) -
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rule"),
                               F.col(f"v{i}").cast("long").alias("violations")) for i, (c, r, _) in enumerate(checks)],
                    *[F.struct(F.lit(c).alias("column_name"), F.lit("exists").alias("rule"),
-                              F.lit(1).cast("long").alias("violations")) for c in missing])
+                              F.lit(1).cast("long").alias("violations")) for c in missing]
+                   ).cast("array<struct<column_name:string,rule:string,violations:bigint>>")
     out = wide.select(F.col("total").alias("total_rows"), F.inline(rows)).select(
         "column_name", "rule", "total_rows", "violations",
         F.when(F.col("rule") != "exists",
