@@ -64,12 +64,12 @@ op("one_hot", _one_hot,
    """SELECT p_partkey, c category, (coalesce(t.p_brand, '__OTHER__') = c)::INT v FROM part LEFT JOIN top3 t USING (p_brand),
  (SELECT c FROM (SELECT p_brand c FROM top3 UNION ALL SELECT '__OTHER__') ORDER BY c COLLATE "C" OFFSET 1)""".replace(' COLLATE "C"', ""), _TOP)
 op("frequent_dummies", lambda s, d: _dummy_totals(s, d),
-   "SELECT neighbourhood_group AS value, count(*) n FROM tl GROUP BY 1 HAVING count(*) >= 50 AND neighbourhood_group > (SELECT min(neighbourhood_group) FROM tl)",
+   "SELECT neighbourhood_group AS value, count(*) n FROM tl GROUP BY 1 HAVING count(*) >= 20 AND neighbourhood_group > (SELECT min(neighbourhood_group) FROM tl)",
    {**feat("fr"), "tl": "SELECT * FROM fr WHERE price_local <= (SELECT quantile_cont(price_local, 0.99) FROM fr)"})
 
 
 def _dummy_totals(s, d):
-    df, names = X.regression_columns(wh(s, d).star, ["accommodates"], ["host_is_superhost"])
+    df, names = X.regression_columns(wh(s, d).star, ["accommodates"], ["host_is_superhost"], min_rows=20)
     areas = [n for n in names if n.startswith("nbhd_")]
     wide = df.agg(*[F.sum(f"`{n}`").alias(f"a{i}") for i, n in enumerate(areas)])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(n.removeprefix("nbhd_")).alias("value"), F.col(f"a{i}").alias("n")) for i, n in enumerate(areas)])))

@@ -324,6 +324,8 @@ op("sample_rows", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 1
    "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '|42'), p_partkey LIMIT 100")
 op("sample_per_group", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 20, group=["p_brand"]).select("p_brand", "p_partkey"),
    "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey || '|42'), p_partkey) r FROM part) WHERE r <= 20")
+op("large_sample_per_group", lambda s, d: D.sample_rows(table(s, d, "orders"), "o_orderkey", 1500, group=["o_orderstatus"]).select("o_orderstatus", "o_orderkey"),
+   "SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || '|42'), o_orderkey) r FROM orders) WHERE r <= 1500")
 op("sample_values", lambda s, d: profiling.sample_values(raw(s, d, "listings"), ["name", "price", "license"]))
 op("dedupe_rows", lambda s, d: silver(s, d, "listings").groupBy("host_id", "city").agg(F.min("id").alias("id")),
    "SELECT host_id, city, min(id) id FROM s_listings GROUP BY 1, 2")
@@ -351,6 +353,10 @@ def _holders(s, d):
 op("unify_schemas", lambda s, d: enrich.unify(list(_holders(s, d))),
    f"SELECT {R('c_acctbal', 4)} balance, c_custkey AS key, c_name AS name, c_nationkey::VARCHAR nation, c_mktsegment segment FROM customer UNION ALL "
    "SELECT round_even(s_acctbal, 0)::DOUBLE, s_suppkey, s_name, s_nationkey::VARCHAR, NULL FROM supplier")
+op("unify_cities", lambda s, d: enrich.unify([wh(s, d).gold.filter(F.col("city") == c).drop(*x) for c, x in (
+    ("amsterdam", ["license"]), ("new_york_city", ["beds", "neighbourhood_group"]), ("barcelona", []))]).groupBy("city").agg(
+    rows().alias("n"), F.count("license").alias("licenses"), F.count("beds").alias("beds"), F.sum("price_usd").alias("usd")),
+   f"SELECT city, count(*) n, if(city = 'amsterdam', 0, count(license)) licenses, if(city = 'new_york_city', 0, count(beds)) beds, {R('sum(price_usd)', 2)} usd FROM gold GROUP BY 1", digits=2)
 op("distinct_rows", lambda s, d: silver(s, d, "listings").select("city", "neighbourhood_cleansed", "room_type").distinct(),
    "SELECT DISTINCT city, neighbourhood_cleansed, room_type FROM s_listings")
 
@@ -548,9 +554,9 @@ op("scan_union_by_name", _union_scan, "SELECT city, id, price, if(city = 'barcel
 
 
 def _split_sink(s, d):
-    base = _scratch(s, d, "split")
-    sinks.write_split(wh(s, d).flagged["listings"], base, "listings", by=["city"])
-    good, bad = s.read.parquet(f"{base}/listings"), s.read.parquet(f"{base}/_rejected/listings")
+    base, flagged = _scratch(s, d, "split"), wh(s, d).flagged["listings"]
+    sinks.write_split(flagged, base, "listings", by=["city"])
+    good, bad = (sinks.read_split(s, base, "listings", flagged.schema, v) for v in (True, False))
     return good.select("city", F.lit("valid").alias("part")).unionAll(bad.select("city", F.lit("rejected").alias("part"))).groupBy("city", "part").agg(rows().alias("n"))
 
 
@@ -610,10 +616,11 @@ _EVS = {"ev": """SELECT 'run-' || o_custkey run_id, 'city-' || (o_custkey % 7) c
  max_by(o_orderstatus, o_orderkey) st FROM orders GROUP BY 1, 2)""",
         "state": "SELECT run_id, max_by(city, event_at) city, max_by(stage, event_at) stage, max_by(source_file, event_at) source_file, min(event_at) started_at, "
                  "max(event_at) FILTER (status <> 'RUNNING') completed_at, max_by(status, event_at) status, max_by(rows_input, event_at) rows_input FROM ev GROUP BY 1"}
-op("run_states", lambda s, d: ledger.latest_state(_events(s, d)).select("run_id", "city", "stage", "status", "started_at", "completed_at", "rows_input"),
-   "SELECT run_id, city, stage, status, started_at, completed_at, rows_input FROM state", _EVS)
-op("recent_runs", lambda s, d: ledger.recent_runs(_events(s, d), city="city-3", limit=20).select("run_id", "status", "started_at"),
-   "SELECT run_id, status, started_at FROM state WHERE city = 'city-3' ORDER BY started_at DESC, run_id LIMIT 20", _EVS)
+op("run_states", lambda s, d: ledger.latest_state(_events(s, d)).select("run_id", "city", "stage", "status", F.col("started_at").cast("string").alias("started_at"),
+                                                                        F.col("completed_at").cast("string").alias("completed_at"), "rows_input"),
+   "SELECT run_id, city, stage, status, started_at::VARCHAR started_at, completed_at::VARCHAR completed_at, rows_input FROM state", _EVS)
+op("recent_runs", lambda s, d: ledger.recent_runs(_events(s, d), city="city-3", limit=20).select("run_id", "status", F.col("started_at").cast("string").alias("started_at")),
+   "SELECT run_id, status, started_at::VARCHAR started_at FROM state WHERE city = 'city-3' ORDER BY state.started_at DESC, run_id LIMIT 20", _EVS)
 
 
 def _manifest(s, d):
@@ -628,7 +635,8 @@ op("skip_processed", lambda s, d: ledger.unprocessed(_manifest(s, d), _events(s,
    "EXCEPT SELECT city, stage, source_file FROM state WHERE status = 'SUCCESS'", _EVS)
 op("composite_hash", lambda s, d: ledger.composite_hash(table(s, d, "documents").select(
     F.concat(F.lit("/raw/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.md5("text").alias("file_hash"), "source"), ["source"]),
-   "SELECT source, md5(string_agg(p || h, '' ORDER BY p || h)) source_hash, count(*) files FROM (SELECT source, '/raw/' || lpad(doc_id::VARCHAR, 9, '0') p, md5(text) h FROM documents) GROUP BY 1")
+   "SELECT source, md5(string_agg(b || d, '' ORDER BY b || d)) source_hash, sum(n)::BIGINT files FROM (SELECT source, substr(md5(p), 1, 3) b, md5(string_agg(p || h, '' ORDER BY p || h)) d, count(*) n "
+   "FROM (SELECT source, '/raw/' || lpad(doc_id::VARCHAR, 9, '0') p, md5(text) h FROM documents) GROUP BY 1, 2) GROUP BY 1")
 op("file_hashes", lambda s, d: ledger.file_hashes(s, d, "nation*.parquet").unionAll(ledger.file_hashes(s, d, "part*.parquet")).select(
     F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.length("file_hash").alias("hash_length")))
 

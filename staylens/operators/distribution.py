@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import as_col, ratio, rows, stable_round
-from .ordering import ALL, exact_quantiles, join_groups, running_totals
+from .ordering import ALL, exact_quantiles, join_groups, positions, running_totals
 
 FIVE = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
 
@@ -188,14 +188,19 @@ def variances(df: DataFrame, columns: list[str]) -> DataFrame:
         F.var_samp("value").alias("variance"))
 
 
+GROUP_LIMIT_ROWS = 1_000  # up to this limit Spark cuts ranked groups inside each task before the shuffle
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42, group: list[str] = []) -> DataFrame:
     """A repeatable sample of ``n`` rows, overall or per group, by hash order of the key."""
     tag = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     if not group:
         return df.orderBy(tag, key).limit(n)
-    # rank limits are applied per partition before the shuffle, so at most n rows per group and task travel
-    w = Window.partitionBy(*group).orderBy(tag, key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    if n <= GROUP_LIMIT_ROWS:
+        w = Window.partitionBy(*group).orderBy(tag, key)
+        return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    placed = positions(df.withColumn("_tag", tag), group, ["_tag", key], "_r")
+    return placed.filter(F.col("_r") <= n).drop("_r", "_tag")
 
 
 def rows_union(parts: list[DataFrame]) -> DataFrame:

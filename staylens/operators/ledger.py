@@ -34,12 +34,15 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", contents_u
 
 
 def composite_hash(files: DataFrame, group: list[str] = []) -> DataFrame:
-    """One hash per stage from its files' hashes in path order.
+    """One hash per stage from the hashes of its files, whatever their order.
 
-    Files are grouped per stage, so the list is bounded by the number of files a stage reads.
+    Files are hashed in up to 4,096 buckets first, so no task gathers all files of a large stage.
     """
-    pairs = F.array_sort(F.collect_list(F.concat("path", "file_hash")))
-    return files.groupBy(*group).agg(F.md5(F.array_join(pairs, "")).alias("source_hash"), F.count("path").alias("files"))
+    def digest(parts):
+        return F.md5(F.array_join(F.array_sort(F.collect_list(parts)), ""))
+    bucket = F.substring(F.md5("path"), 1, 3).alias("_bucket")
+    buckets = files.groupBy(*group, bucket).agg(digest(F.concat("path", "file_hash")).alias("_h"), F.count("path").alias("_n"))
+    return buckets.groupBy(*group).agg(digest(F.concat("_bucket", "_h")).alias("source_hash"), F.sum("_n").alias("files"))
 
 
 # ---- runs ---------------------------------------------------------------------------------------

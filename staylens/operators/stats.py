@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.rounding import as_col, ratio, rows, stable_round
 from .distribution import rows_union
-from .ordering import ALL, exact_quantiles, join_groups, medians, running_totals, tie_ranks
+from .ordering import checkpointed, join_groups, medians, running_totals, tie_ranks
 
 # fixed values: effect size cuts (small, medium, large)
 COHEN, BISERIAL, VARIANCE_SHARE = (0.2, 0.5, 0.8), (0.1, 0.3, 0.5), (0.01, 0.06, 0.14)
@@ -311,7 +311,8 @@ def posthoc(df: DataFrame, group: str, value: str, alpha: float = ALPHA, max_gro
     return out.withColumn("p_adjusted", adjusted).withColumn("is_significant", F.col("p_adjusted") < alpha)
 
 
-def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alpha: float = ALPHA) -> dict[str, DataFrame]:
+def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alpha: float = ALPHA,
+                     with_posthoc: bool = True) -> dict[str, DataFrame]:
     """ANOVA when the first groups look normal, else Kruskal-Wallis; post-hoc pairs when significant."""
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     big = known.groupBy(group).agg(rows().alias("_n")).filter("_n >= 2").drop("_n")
@@ -325,8 +326,11 @@ def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alph
     else:
         out = with_chi2_tail(kruskal_wallis(src, group, value), F.col("k") - 1)
         row = _result_row(out, name, "Kruskal-Wallis H", "ε² (epsilon-squared)", VARIANCE_SHARE, alpha)
+    if not with_posthoc or k > POSTHOC_GROUPS:
+        return {"test": row}
+    row = checkpointed(row)
     result = {"test": row}
-    if k <= POSTHOC_GROUPS and row.first().is_significant:
+    if row.first().is_significant:
         result["posthoc"] = posthoc(src, group, value, alpha)
     return result
 
@@ -398,11 +402,33 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the rows where both are known.
 
-    Pairs are reduced to counts per (pair, x, y) and ranked per pair, so equal values are handled once.
+    Columns without gaps are ranked once each and share these ranks in all their pairs; only pairs with a gappy
+    column are ranked pair by pair.
     """
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    known = src.agg(rows().alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
+    full = [c for c in columns if known[c] == known["_rows"]]
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
-    items = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-                      for i, (x, y) in enumerate(pairs)])
+    shared = [(x, y) for x, y in pairs if x in full and y in full]
+    single = [p for p in pairs if p not in shared]
+    parts = ([_shared_rank_correlations(src, shared)] if shared else []) + ([_pair_rank_correlations(src, single)] if single else [])
+    return rows_union(parts)
+
+
+def _shared_rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    names = sorted({c for p in pairs for c in p})
+    ranked = df.select(*names)
+    for c in names:
+        # one row per distinct value, so rows never multiply; a short list of values is broadcast at run time
+        ranked = ranked.join(tie_ranks(df, [], c).select(c, F.col("rank").alias(f"_rank_{c}")), c)
+    wide = ranked.agg(rows().alias("n"), *[F.corr(f"_rank_{x}", f"_rank_{y}").alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col("n"), F.col(f"r{i}").alias("rho"))
+                                          for i, (x, y) in enumerate(pairs)])))
+
+
+def _pair_rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pairs are reduced to counts per (pair, x, y) and ranked per pair, so equal values are handled once."""
+    items = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y")) for i, (x, y) in enumerate(pairs)])
     cells = (df.select(F.inline(items)).filter("_x IS NOT NULL AND _y IS NOT NULL")
              .groupBy("_p", "_x", "_y").agg(rows().alias("_c")))
 

@@ -50,7 +50,7 @@ def hypothesis_tests(star: Star, cities: list[str] | None = None, min_group: int
         area = area_column(mine)
         large = groups_with(mine, [area], min_group)
         if large.select(area).distinct().limit(3).count() == 3:
-            parts.append(S.multi_group_test(large, area, "price_local", f"H4 ({city})")["test"])
+            parts.append(S.multi_group_test(large, area, "price_local", f"H4 ({city})", with_posthoc=False)["test"])
     return rows_union(parts)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, enrich, star
 from ..operators.ordering import shared_folder
-from ..sources.sinks import write_table
+from ..sources.sinks import read_split, write_split, write_table
 
 
 class Warehouse:
@@ -24,13 +24,17 @@ class Warehouse:
         return self._layers[name]
 
     def _stored(self, layer: str, kind: str, df: DataFrame) -> DataFrame:
-        return self.spark.read.parquet(write_table(df, f"{self.folder}/{layer}/{kind}"))
+        by = ["city"] if "city" in df.columns else []  # queries on one city read its files only
+        back = self.spark.read.parquet(write_table(df, f"{self.folder}/{layer}/{kind}", by))
+        return back.select(*df.columns)
 
     @property
     def flagged(self) -> dict[str, DataFrame]:
         def build():
             dfs = cleaning.clean_all(self.raw, within=["city"])
-            return {k: self._stored("flagged", k, df) for k, df in dfs.items()}
+            for k, df in dfs.items():
+                write_split(df, f"{self.folder}/flagged", k, ["city"])
+            return {k: read_split(self.spark, f"{self.folder}/flagged", k, df.schema, None) for k, df in dfs.items()}
         return self._layer("flagged", build)
 
     @property

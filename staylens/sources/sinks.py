@@ -1,7 +1,8 @@
 """Writers: split silver output, overwritten tables, JSON reports."""
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 INTERNAL_PREFIX = "_"
 
@@ -28,25 +29,26 @@ def split_counts(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def write_split(flagged: DataFrame, path: str, name: str, by: list[str] | None = None) -> dict[str, int]:
-    """Valid rows to ``path/name``, rejected rows with their flags to ``path/_rejected/name``.
-
-    The flagged rows are written once, partitioned by validity; both outputs are then read from that
-    table, so the cleaning plan runs one time and the counts come with the write.
-    """
-    spark = flagged.sparkSession
+    """Valid and rejected rows as two partitions of one table, written in one pass; the counts come with the write."""
     seen = Observation(f"split {name}")
-    staged = f"{path}/_flagged/{name}"
     (flagged.observe(seen, F.count(F.lit(1)).alias("input"), F.count_if("_is_valid").alias("valid"))
-     .write.mode("overwrite").partitionBy("_is_valid").parquet(staged))
+     .write.mode("overwrite").partitionBy("_is_valid", *(by or [])).parquet(f"{path}/{name}"))
     counts = seen.get
-    back = spark.read.schema(flagged.schema).parquet(staged)
-    parts = by or []
-    write_table(valid_rows(back), f"{path}/{name}", parts)
-    write_table(rejected_rows(back), f"{path}/_rejected/{name}", parts)
     return {"input_rows": counts["input"], "output_rows": counts["valid"],
             "rejected_rows": counts["input"] - counts["valid"]}
 
 
+def read_split(spark: SparkSession, path: str, name: str, schema: StructType, valid: bool | None = True) -> DataFrame:
+    """Rows of one side (or both with ``valid=None``); the other side's files are not touched.
+
+    ``schema`` is that of the flagged table.  Flags are kept for rejected rows and dropped for valid ones.
+    """
+    df = spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
+    if valid is None:
+        return df
+    return valid_rows(df) if valid else rejected_rows(df)
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> str:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)

@@ -52,8 +52,9 @@ def test_split_keeps_every_row(spark, tmp_path):
     flagged = Q.validation_flags(spark.range(10).select(F.col("id").alias("x")), {"x": [{"check": "positive"}]})
     counts = sinks.write_split(flagged, str(tmp_path), "t")
     assert counts == {"input_rows": 10, "output_rows": 9, "rejected_rows": 1}
-    assert spark.read.parquet(f"{tmp_path}/t").columns == ["x"]
-    assert "_validation_flags" in spark.read.parquet(f"{tmp_path}/_rejected/t").columns
+    good, bad = (sinks.read_split(spark, str(tmp_path), "t", flagged.schema, v) for v in (True, False))
+    assert good.columns == ["x"] and good.count() == 9
+    assert [tuple(r) for r in bad.collect()] == [(0, "x_positive", False)]
 
 
 def test_raw_csv(spark, tmp_path):
