@@ -8,11 +8,9 @@ from staylens.operators import attribution as A
 from staylens.operators import evaluation as E
 from staylens.operators import features as X
 from staylens.operators import models as M
-from staylens.operators.distribution import rows_union
 from staylens.operators.ordering import checkpointed
 
 from .layers import fixed, wh
-from .market_queries import BASE
 from .operator_queries import silver, table
 from .oracle_base import R, statement
 

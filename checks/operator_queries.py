@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from staylens import settings
 from staylens.functions import bands, geo
 from staylens.functions import parsing as P
-from staylens.functions.rounding import ratio, rows, stable_round
+from staylens.functions.rounding import ratio, rows
 from staylens.operators import cleaning, distribution as D, enrich, harmonize, ledger, ordering, profiling, relations
 from staylens.operators import quality as Q
 from staylens.sources import readers, sinks

@@ -1,16 +1,14 @@
 """Feature attribution: exact for linear models, sampled Shapley values for tree models."""
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import random
+
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import rows
-from .distribution import rows_union, sample_rows
+from .distribution import sample_rows
 from .features import from_target
-from .models import assemble
-from .ordering import checkpointed
-
-import random
+from .ordering import checkpointed, exact_quantiles
 
 SAMPLE = 5_000
 BACKGROUND = 100
@@ -78,7 +76,6 @@ def local_cases(predictions: DataFrame, key: str = "listing_id") -> DataFrame:
     ends = predictions.agg(F.min_by(key, F.struct("yhat", key)).alias("cheapest"), F.max_by(key, F.struct("yhat", key)).alias("dearest"),
                            F.min_by(key, F.struct(e, key)).alias("best"), F.max_by(key, F.struct(e, key)).alias("worst"))
     long = ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias(key)) for c in ends.columns])))
-    from .ordering import exact_quantiles
     mid = exact_quantiles(predictions, [], {"m": (key, 0.5)}).select(F.floor("m").alias("_m"))
     middle = predictions.filter(F.col(key) >= mid.scalar()).agg(F.lit("middle").alias("case"), F.min(key).alias(key))
     return long.unionByName(middle)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import as_col, ratio, rows, stable_round
+from ..functions.rounding import as_col, ratio, rows
 from .ordering import ALL, exact_quantiles, join_groups, positions, running_totals
 
 FIVE = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings
-from ..functions.rounding import ratio, rows, stable_round
+from ..functions.rounding import ratio, rows
 from . import stats as S
-from .distribution import rows_union
 from .features import from_target
-from .ordering import exact_quantiles, join_groups, medians
+from .ordering import join_groups, medians
 
 
 def on_price_scale(df: DataFrame, log_target: bool = True) -> DataFrame:

@@ -1,14 +1,13 @@
 """Reproducible feature matrix: flags, distances, interactions, imputation, encoding, splits."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import settings
 from ..functions.geo import with_centre_distance
 from ..functions.rounding import rows
 from .distribution import trim_at
-from .ordering import exact_quantiles, join_groups, positions
+from .ordering import checkpointed, exact_quantiles, positions
 
 TARGET = "price_usd"
 
@@ -123,7 +122,9 @@ META = ["city", "city_key", "room_type", "neighbourhood_group", "is_professional
 
 def feature_matrix(star: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
     """``listing_id``, ``target``, ``meta_*`` columns and the numeric feature columns with their names."""
-    base = with_price_quintile(with_target(feature_rows(star))).withColumn("has_reviews", (F.col("number_of_reviews") > 0).cast("int"))
+    # written once: quintiles, medians and category lists are separate passes over the same joined rows
+    rows_in = checkpointed(with_target(feature_rows(star)))
+    base = with_price_quintile(rows_in).withColumn("has_reviews", (F.col("number_of_reviews") > 0).cast("int"))
     return matrix_of(base)
 
 

@@ -18,7 +18,6 @@ from .. import settings
 from ..functions.rounding import rows
 from . import evaluation as E
 from .distribution import rows_union
-from .features import from_target
 from .ordering import checkpointed, positions
 
 SEED = settings.SPLIT_SEED

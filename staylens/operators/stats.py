@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.rounding import as_col, ratio, rows, stable_round
+from ..functions.rounding import as_col, ratio, rows
 from .distribution import rows_union
 from .ordering import checkpointed, join_groups, medians, running_totals, tie_ranks
 

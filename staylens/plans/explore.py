@@ -10,7 +10,7 @@ from ..functions import bands
 from ..functions.rounding import ratio, rows, share, stable_round
 from ..operators import distribution as D
 from ..operators.ordering import exact_quantiles, join_groups, medians
-from .market import Star, _calendar, _taken, snapshot
+from .market import Star, _calendar, snapshot
 
 MONTHS = list(range(1, 13))
 WINDOWS = ["availability_30", "availability_60", "availability_90", "availability_365"]

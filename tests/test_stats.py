@@ -1,6 +1,5 @@
 """Tests against closed forms, numpy and brute force on small tables."""
 
-import itertools
 import math
 import random
 
