@@ -8,6 +8,7 @@ from staylens.functions import parsing as P
 from staylens.functions.rounding import ratio, rows
 from staylens.operators import cleaning, distribution as D, enrich, harmonize, ledger, ordering, profiling, relations
 from staylens.operators import quality as Q
+from staylens.operators.joins import join_to_unique
 from staylens.sources import readers, sinks
 
 from .layers import fixed, wh
@@ -191,6 +192,12 @@ op("join_master", lambda s, d: enrich.join_master(
     None, None).select("listing_id", "p_name", "total_days", "days_booked", "occupancy_rate_pct"),
    f"SELECT p_partkey listing_id, p_name, n total_days, b::BIGINT days_booked, {R('b * 100e0 / n', 2)} occupancy_rate_pct FROM part LEFT JOIN (SELECT l_partkey, count(*) n, "
    "count(*) FILTER (l_returnflag <> 'N') b FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_partkey = p_partkey")
+op("hot_key_join", lambda s, d: join_to_unique(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 3 == 0, F.lit(7).cast("long"))
+                                                                              .when(F.col("l_suppkey") % 3 == 1, F.col("l_suppkey")).alias("s_suppkey"), "l_quantity"),
+                                               table(s, d, "supplier").filter("s_suppkey % 5 <> 4").select("s_suppkey", "s_name"), ["s_suppkey"], hot_rows=3000)
+   .groupBy("s_suppkey", "s_name").agg(rows().alias("n"), F.sum("l_quantity").alias("quantity")),
+   "SELECT k s_suppkey, s_name, count(*) n, sum(l_quantity) quantity FROM (SELECT CASE l_suppkey % 3 WHEN 0 THEN 7 WHEN 1 THEN l_suppkey END k, l_quantity FROM lineitem) "
+   "LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 4) ON s_suppkey = k GROUP BY 1, 2")
 op("area_reference", lambda s, d: enrich.neighbourhood_reference(silver(s, d, "neighbourhoods"), ["city"]),
    "SELECT DISTINCT city, neighbourhood neighbourhood_name, neighbourhood_group FROM s_neighbourhoods")
 op("surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "row_key"),

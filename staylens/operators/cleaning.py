@@ -9,6 +9,7 @@ from .. import settings
 from ..functions import parsing as P
 from ..sources.readers import blank_tokens_to_null
 from ..sources.sinks import split_counts, valid_rows
+from .joins import small_side
 from .ordering import exact_quantiles
 from .quality import validation_flags
 
@@ -66,7 +67,7 @@ def fill_missing(df: DataFrame, strategies: dict[str, dict], within: list[str] |
         out = out.withColumns(flags)
         if keys:
             # plain equality: a NULL in any group column finds no median
-            out = out.join(meds, list(keys), "left")
+            out = out.join(small_side(meds), list(keys), "left")
             medians = {c: F.col(f"_median_{c}") for c in names}
         else:
             medians = {c: meds.select(f"_median_{c}").scalar() for c in names}

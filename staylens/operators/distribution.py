@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import as_col, ratio, rows
+from .joins import small_side
 from .ordering import ALL, exact_quantiles, join_groups, positions, running_totals
 
 FIVE = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
@@ -40,7 +41,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] = [], uppe
         *group, (F.least(value, F.lit(float(upper))) if upper is not None else value).alias("_v"))
     counts = src.groupBy(*group, "_v").agg(rows().alias("_n"))
     edges = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    j = join_groups(counts, edges, group) if group else _with_single(counts, edges)
+    j = join_groups(counts, small_side(edges), group) if group else _with_single(counts, edges)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
@@ -76,7 +77,7 @@ def lorenz(df: DataFrame, group: list[str], value: str) -> DataFrame:
                                                  "cum_value": (F.col("holders") * F.col(value)).cast("double")})
     totals = counts.groupBy(*keys).agg(F.sum("holders").alias("all_holders"),
                                        F.sum(F.col("holders") * F.col(value)).cast("double").alias("all_value"))
-    return join_groups(run, totals, keys).select(
+    return join_groups(run, small_side(totals), keys).select(
         *group, value, "holders", "cum_holders", "cum_value", "all_holders", "all_value",
         ratio("cum_holders", "all_holders").alias("holder_share"), ratio("cum_value", "all_value").alias("value_share"))
 

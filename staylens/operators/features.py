@@ -7,6 +7,7 @@ from .. import settings
 from ..functions.geo import with_centre_distance
 from ..functions.rounding import rows
 from .distribution import trim_at
+from .joins import small_side
 from .ordering import checkpointed, exact_quantiles, positions
 
 TARGET = "price_usd"
@@ -153,7 +154,7 @@ def _strata(df: DataFrame, by: list[str]) -> DataFrame:
     label = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by])
     src = df.withColumn("_stratum", label)
     small = src.groupBy("_stratum").agg(rows().alias("_n")).filter("_n < 2").select("_stratum", F.lit(True).alias("_rare"))
-    return src.join(small, "_stratum", "left").withColumn(
+    return src.join(small_side(small), "_stratum", "left").withColumn(
         "_stratum", F.when(F.col("_rare"), F.lit(settings.RARE_STRATUM)).otherwise(F.col("_stratum"))).drop("_rare")
 
 
@@ -167,7 +168,7 @@ def stratified_split(df: DataFrame, key: str, by: list[str], share: float = sett
     src = _strata(df, by)
     sizes = src.groupBy("_stratum").agg(rows().alias("_size"))
     placed = positions(src.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))), ["_stratum"], ["_h", key], "_at")
-    return placed.join(sizes, "_stratum").withColumn(
+    return placed.join(small_side(sizes), "_stratum").withColumn(
         "is_test", F.col("_at") <= F.floor(F.col("_size") * F.lit(share) + 0.5)).drop("_stratum", "_h", "_at", "_size")
 
 

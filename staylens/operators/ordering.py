@@ -226,10 +226,3 @@ def join_groups(left: DataFrame, right: DataFrame, group: list[str], how: str =
         cond = F.col(g).eqNullSafe(F.col(f"_r_{g}"))
         on = cond if i == 0 else on & cond
     return left.join(renamed, on, how).drop(*[f"_r_{g}" for g in group])
-
-
-def aggregate_with_medians(df: DataFrame, group: list[str], aggs: dict[str, Column],
-                           median_of: dict[str, str | Column]) -> DataFrame:
-    """``groupBy(group).agg(aggs)`` plus exact medians, columns in the order given."""
-    plain = df.groupBy(*group).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_groups(plain, medians(df, group, median_of), group)

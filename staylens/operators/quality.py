@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from .. import settings
 from ..functions.rounding import ratio, stable_round
+from .joins import small_side
 from .ordering import exact_quantiles, join_groups
 
 
@@ -204,7 +205,7 @@ def outliers_iqr(df: DataFrame, columns: list[str], k: float = 1.5, group: list[
         .withColumn("upper_bound", F.col("q3") + F.lit(k) * F.col("iqr"))
     keys = [*group, "column_name"]
     values = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    joined = join_groups(values, fences, keys, "inner")
+    joined = join_groups(values, small_side(fences), keys, "inner")
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
     return joined.groupBy(*keys, "q1", "q3", "iqr", "lower_bound", "upper_bound").agg(
         F.sum("n").alias("total_non_null"),

@@ -11,6 +11,7 @@ from ..functions.parsing import cast_first, coalesce_present
 from ..functions.rounding import stable_round
 from ..sources.readers import city_dimension, date_series, empty_table, row_counts
 from ..sources.sinks import write_table
+from .joins import join_to_unique
 from .ordering import dense_keys
 
 log = logging.getLogger(__name__)
@@ -136,8 +137,7 @@ def fact_listing_snapshot(gold: DataFrame, hosts: DataFrame, properties: DataFra
         *[first(c, "double") for c in FACT_MONEY], *[first(c, "boolean") for c in FACT_FLAGS],
     ).filter("listing_id IS NOT NULL")
     # every dimension has one row per natural key, so the joins keep the grain; sizes decide broadcast at run time
-    keyed = (base
-             .join(hosts.select("host_id", "host_key"), "host_id", "left")
+    keyed = (join_to_unique(base, hosts.select("host_id", "host_key"), ["host_id"])
              .join(properties.select("listing_id", "property_key"), "listing_id", "left")
              .join(areas.select("city", "neighbourhood_name", "neighbourhood_key"), ["city", "neighbourhood_name"], "left")
              .join(cities.select(F.col("city_name").alias("city"), "city_key"), "city", "left")
@@ -171,8 +171,7 @@ def fact_calendar(spark: SparkSession, calendar: DataFrame | None, snapshot: Dat
         cast_first(calendar, ["adjusted_price_local", "adjusted_price"], "double").alias("adjusted_price"),
         cast_first(calendar, ["minimum_nights"], "int").alias("minimum_nights"),
         cast_first(calendar, ["maximum_nights"], "int").alias("maximum_nights"))
-    # the large side stays on the left of outer joins, so a hot listing is split by the adaptive skew join
-    joined = (days.join(_snapshot_by_city(snapshot, cities), ["listing_id", "city"], "left")
+    joined = (join_to_unique(days, _snapshot_by_city(snapshot, cities), ["listing_id", "city"])
               .join(F.broadcast(usd_rate_of(spark, config)), "city", "left")  # one row per configured city
               .join(dates.select("full_date", "date_key"), "full_date", "left"))
     return joined.select("listing_key", "date_key", "is_available", "price_local",
@@ -193,8 +192,8 @@ def fact_review(spark: SparkSession, reviews: DataFrame | None, snapshot: DataFr
     if "review_id" not in reviews.columns and "id" not in reviews.columns:
         numbered = dense_keys(events, ["city", "listing_id", "full_date", "reviewer_id", "comment_length"], "_row")
         events = numbered.withColumn("review_id", F.coalesce("review_id", "_row")).drop("_row")
-    joined = (events.join(_snapshot_by_city(snapshot, cities), ["listing_id", "city"], "left")
-              .join(reviewers.select("reviewer_id", "reviewer_key"), "reviewer_id", "left")
+    placed = join_to_unique(events, _snapshot_by_city(snapshot, cities), ["listing_id", "city"])
+    joined = (join_to_unique(placed, reviewers.select("reviewer_id", "reviewer_key"), ["reviewer_id"])
               .join(dates.select("full_date", F.col("date_key").alias("review_date_key")), "full_date", "left"))
     return joined.select("review_id", "listing_key", "reviewer_key", "review_date_key", "comment_length")
 

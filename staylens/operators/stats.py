@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.rounding import as_col, ratio, rows
 from .distribution import rows_union
+from .joins import small_side
 from .ordering import checkpointed, join_groups, medians, running_totals, tie_ranks
 
 # fixed values: effect size cuts (small, medium, large)
@@ -77,7 +78,7 @@ def _f_ratio(m: DataFrame) -> DataFrame:
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Equality of variances: F of absolute deviations from the group medians."""
     med = medians(df, [group], {"_med": value})
-    dev = join_groups(df.select(group, value), med, [group]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    dev = df.select(group, value).join(small_side(med), group).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     return _f_ratio(moments(dev, [group], "_dev"))
 
 

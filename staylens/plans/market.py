@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from ..functions import bands
 from ..functions.rounding import ratio, rows, share, stable_round
+from ..operators.joins import small_side
 from ..operators.ordering import join_groups, medians
 
 Star = dict[str, DataFrame]
@@ -208,7 +209,7 @@ def scored_listings(star: Star, city_key: int | None = None) -> DataFrame:
     area = src.groupBy("neighbourhood_name").agg(
         F.avg("price_usd").alias("hood_avg_price"), F.avg("occupancy_rate_pct").alias("hood_avg_occ"),
         F.avg("review_scores_rating").alias("hood_avg_rating"))
-    return src.join(area, "neighbourhood_name").select(
+    return src.join(small_side(area), "neighbourhood_name").select(
         "listing_id", "name", "neighbourhood_name", "price_usd", "hood_avg_price", "hood_avg_occ", "hood_avg_rating",
         stable_round("review_scores_rating", 2).alias("rating"), stable_round("occupancy_rate_pct", 1).alias("occupancy_pct"),
         bands.health_score("price_usd", "hood_avg_price", "review_scores_rating", "occupancy_rate_pct").alias("health_score"),

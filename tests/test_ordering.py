@@ -67,3 +67,11 @@ def test_running_totals_do_not_depend_on_partitions(skewed):
     a = O.running_totals(known, ["g"], ["id"], {"t": "x"}).select("id", "t")
     b = O.running_totals(known.repartition(7), ["g"], ["id"], {"t": "x"}, 0).select("id", "t")
     assert rowset(a) == rowset(b)
+
+
+@pytest.mark.parametrize("limit", [100, 10 ** 7])
+def test_hot_keys_keep_every_row(spark, skewed, limit):
+    from staylens.operators.joins import join_to_unique
+    right = spark.createDataFrame([("hot", 1), ("g8", 2)], "g string, v int")
+    got = join_to_unique(skewed, right, ["g"], limit)
+    assert rowset(got.select("id", "g", "v")) == rowset(skewed.join(right, "g", "left").select("id", "g", "v"))
