@@ -57,7 +57,7 @@ _KPI = (f"SELECT count(*) total_listings, {R('avg(price_usd)', 4)} avg_daily_rat
         f"{R('count(*) FILTER (is_professional_host) * 100e0 / count(*)', 4)} professional_host_pct FROM {SNAP}")
 named("executive_kpis", _KPI)
 named("executive_kpis", _KPI + " WHERE city_key = 2", key="executive_kpis_of_city", city_key=2)
-named("map_points")
+named("map_points", f"SELECT latitude, longitude, price_usd, room_type FROM (SELECT {R('f.latitude', 4)} latitude, {R('f.longitude', 4)} longitude, {R('price_usd', 4)} price_usd, room_type FROM {SNAP} {P}) LIMIT 50000")
 named("neighbourhood_metrics", f"""SELECT neighbourhood_name, count(*) listing_count, {R('median(price_usd)', 4)} median_price_usd,
  {R('avg(occupancy_rate_pct)', 4)} avg_occupancy_pct, {R('median(estimated_monthly_revenue)', 4)} median_monthly_revenue
  FROM {SNAP} {A} GROUP BY 1 HAVING count(*) > 50 ORDER BY median(price_usd) DESC, 1 LIMIT 20""")

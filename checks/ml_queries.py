@@ -125,7 +125,13 @@ op("stratified_errors", lambda s, d: E.stratified_errors(preds(s, d), _DIMS),
 op("interval_quality", lambda s, d: E.interval_quality(preds(s, d).withColumn("lower", F.col("yhat") - 0.11).withColumn("upper", F.col("yhat") + 0.11)),
    f"SELECT count(*) n_samples, {R('count(*) FILTER (truth BETWEEN (guess + 1) * exp(-0.11e0) - 1 AND (guess + 1) * exp(0.11e0) - 1) * 1e0 / count(*)', 6)} coverage, "
    f"{R('avg((guess + 1) * (exp(0.11e0) - exp(-0.11e0)))', 6)} mean_width, {R('median((guess + 1) * (exp(0.11e0) - exp(-0.11e0)))', 6)} median_width FROM pred", PR)
-op("group_bias", lambda s, d: E.group_bias(preds(s, d), _DIMS, resamples=400))
+from .stats_queries import _boot  # noqa: E402
+
+_GB = {**PR, "lg": " UNION ALL ".join(f"SELECT '{c}' dimension, {c}::VARCHAR grp, listing_id, res FROM pred WHERE {c} IS NOT NULL" for c in _DIMS)}
+op("group_bias", lambda s, d: E.group_bias(preds(s, d), _DIMS, resamples=200).select("dimension", "group", "n", "mean_residual", "ci_lower", "ci_upper", "is_significant"),
+   f"SELECT dimension, grp AS \"group\", n, {R('m', 4)} mean_residual, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper, lo > 0 OR hi < 0 is_significant FROM "
+   "(SELECT dimension, grp, count(*) n, avg(res) m FROM lg GROUP BY 1, 2 HAVING count(*) >= 10) JOIN cis USING (dimension, grp)",
+   {**_GB, **_boot(["dimension", "grp"], "lg", 200, "res")}, digits=4)
 op("group_bias_effects", lambda s, d: E.group_bias(preds(s, d), _DIMS, resamples=40).select("dimension", "group", "n", "mean_residual", "cohens_d", "direction"),
    " UNION ALL ".join(f"SELECT '{c}' dimension, {c}::VARCHAR AS \"group\", count(*) n, {R('avg(res)', 6)} mean_residual, "
                       f"{R('(avg(res) - any_value(am)) / sqrt(((count(*) - 1) * var_samp(res) + (any_value(an) - 1) * any_value(av)) / (count(*) + any_value(an) - 2))', 6)} cohens_d, "

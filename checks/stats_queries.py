@@ -6,7 +6,7 @@ from staylens.operators import stats as S
 from staylens.plans import hypotheses
 
 from .layers import fixed, wh
-from .oracle_base import R, statement
+from .oracle_base import NORM_SF, R, statement
 from .operator_queries import table
 
 ENTRIES: dict[str, tuple] = {}
@@ -93,16 +93,40 @@ op("pairwise_rank_sums", lambda s, d: S.pairwise_rank_sums(table(s, d, "part"),
  {R('1 - 2 * sum(a.n * b.n * CASE WHEN a.x > b.x THEN 1e0 WHEN a.x = b.x THEN 0.5e0 ELSE 0 END) / any_value(ca * cb)', 6)} effect
  FROM (SELECT *, sum(n) OVER (PARTITION BY p_type)::BIGINT ca FROM cells) a JOIN (SELECT *, sum(n) OVER (PARTITION BY p_type)::BIGINT cb FROM cells) b ON a.p_type < b.p_type GROUP BY 1, 2""",
    {"cells": "SELECT p_type, p_size x, count(*) n FROM part GROUP BY 1, 2"})
-op("posthoc_tests", lambda s, d: S.posthoc(table(s, d, "part"), "p_type", "p_retailprice"))
-op("multi_group_test", lambda s, d: S.multi_group_test(ev(s, d), "event_type", "value", "events")["test"])
-op("two_group_test", lambda s, d: S.two_group_test(ev(s, d), "event_type", "value", "click", "view", "clicks"))
+_PH = {"cells": "SELECT p_type, p_size x, count(*) n FROM part GROUP BY 1, 2",
+       "sides": "SELECT a.p_type ga, b.p_type gb, a.x, a.n FROM cells a JOIN (SELECT DISTINCT p_type FROM cells) b ON a.p_type <> b.p_type",
+       "prs": "SELECT least(ga, gb) group_a, greatest(ga, gb) group_b, x, sum(n) FILTER (ga < gb) na, sum(n) FILTER (ga > gb) nb FROM sides GROUP BY 1, 2, 3",
+       "run": "SELECT *, sum(coalesce(nb, 0)) OVER (PARTITION BY group_a, group_b ORDER BY x) - coalesce(nb, 0) lower_b FROM prs",
+       "us": """SELECT group_a, group_b, sum(na)::BIGINT n_a, sum(nb)::BIGINT n_b, sum(coalesce(na, 0) * (lower_b + coalesce(nb, 0) / 2e0)) u,
+ sum(pow(coalesce(na, 0) + coalesce(nb, 0), 3) - (coalesce(na, 0) + coalesce(nb, 0))) ties FROM run GROUP BY 1, 2""",
+       "zs": "SELECT *, u - n_a * n_b / 2e0 am, sqrt(n_a * n_b / 12e0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1e0)))) se FROM us",
+       "ps": f"SELECT *, least(1, 2 * {NORM_SF('(abs(am) - 0.5e0) / se')}) p FROM zs"}
+op("posthoc_tests", lambda s, d: S.posthoc(table(s, d, "part"), "p_type", "p_size").select("group_a", "group_b", "statistic", "p_value", "p_adjusted", "is_significant"),
+   f"SELECT group_a, group_b, u::DOUBLE statistic, {R('p', 6)} p_value, {R('least(1, p * 15)', 6)} p_adjusted, p * 15 < 0.05 is_significant FROM ps", _PH)
+_MG = {"rk": _RANKED.format(g="event_type", v="value", t="events", w="true")}
+op("multi_group_test", lambda s, d: S.multi_group_test(ev(s, d), "event_type", "value", "events")["test"],
+   f"SELECT 'events' hypothesis, 'Kruskal-Wallis H' AS test, {R('h', 6)} statistic, {R('exp(-h / 2) * (1 + h / 2)', 6)} p_value, {R('greatest(0, (h - k + 1) / (n - k))', 6)} effect, "
+   "'ε² (epsilon-squared)' effect_label, CASE WHEN (h - k + 1) / (n - k) >= 0.01 THEN 'small' ELSE 'negligible' END magnitude, exp(-h / 2) * (1 + h / 2) < 0.05 is_significant, n n_total FROM "
+   "(SELECT k, n, (12e0 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) h FROM (SELECT count(*) k, sum(c)::BIGINT n, sum(r * r / c) ss FROM (SELECT grp, count(*) c, sum(r) r FROM rk GROUP BY 1)), "
+   "(SELECT sum(c * c * c - c) ties FROM (SELECT count(*)::DOUBLE c FROM rk GROUP BY x)))", _MG)
+_TG = _u_sql("value", "events", "event_type", "click", "view")
+op("two_group_test", lambda s, d: S.two_group_test(ev(s, d), "event_type", "value", "click", "view", "clicks").select("test", "statistic", "p_value", "effect", "effect_label", "n_total"),
+   f"SELECT 'Mann-Whitney U' AS test, {R('u', 6)} statistic, {R('least(1, 2 * ' + NORM_SF('(abs(u - na * nb / 2e0) - 0.5e0) / se') + ')', 6)} p_value, {R('1 - 2 * u / (na * nb)', 6)} effect, "
+   "'rank-biserial r' effect_label, na + nb n_total FROM (SELECT na, nb, ra - na * (na + 1) / 2e0 u, sqrt(na * nb / 12e0 * (n + 1 - ties / (n * (n - 1e0)))) se FROM (SELECT count(*) n, "
+   "count(*) FILTER (grp = 'click') na, count(*) FILTER (grp = 'view') nb, sum(r) FILTER (grp = 'click') ra FROM rk), (SELECT sum(c * c * c - c) ties FROM (SELECT count(*)::DOUBLE c FROM rk GROUP BY x)))", _TG[1])
 _SR = {"pr": "SELECT l_quantity - l_linenumber * 5 dd FROM lineitem",
        "rk": "SELECT dd, rank() OVER (ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY abs(dd)) - 1) / 2e0 r FROM pr WHERE dd <> 0"}
 op("signed_rank_test", lambda s, d: S.signed_rank(li(s, d).withColumn("five", F.col("l_linenumber") * 5), "l_quantity", "five").drop("z"),
    "SELECT count(*) n, sum(r) FILTER (dd > 0) plus, sum(r) FILTER (dd < 0) minus, least(sum(r) FILTER (dd > 0), sum(r) FILTER (dd < 0)) statistic FROM rk", _SR)
 op("paired_t_test", lambda s, d: S.paired_t(li(s, d).withColumn("five", F.col("l_linenumber") * 5), "l_quantity", "five"),
    f"SELECT count(*) n, {R('avg(dd)', 6)} mean_difference, {R('avg(dd) / sqrt(var_samp(dd) / count(*))', 6)} statistic, count(*) - 1 df FROM pr", _SR)
-op("paired_test", lambda s, d: S.paired_test(li(s, d).withColumn("five", F.col("l_linenumber") * 5), "l_quantity", "five", "pairs"))
+op("paired_test", lambda s, d: S.paired_test(li(s, d).withColumn("five", F.col("l_linenumber") * 5 + 5), "l_quantity", "five", "pairs").select(
+    "test", "statistic", "p_value", "effect", "mean_difference"),
+   f"SELECT 'Wilcoxon signed-rank' AS test, least(up, down) statistic, {R('least(1, 2 * ' + NORM_SF('abs((up - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1e0) / 24 - ties / 48))') + ')', 6)} p_value, "
+   f"{R('(ma - mb) / sqrt((va + vb) / 2)', 6)} effect, {R('ma - mb', 6)} mean_difference FROM (SELECT count(*) n, sum(r) FILTER (dd > 0) up, sum(r) FILTER (dd < 0) down FROM rk), "
+   "(SELECT sum(c * c * c - c) ties FROM (SELECT count(*)::DOUBLE c FROM rk GROUP BY abs(dd))), "
+   "(SELECT avg(l_quantity) ma, var_samp(l_quantity) va, avg(l_linenumber * 5 + 5) mb, var_samp(l_linenumber * 5 + 5) vb FROM lineitem)",
+   {"pr": "SELECT l_quantity - (l_linenumber * 5 + 5) dd FROM lineitem", "rk": _SR["rk"]})
 op("chi_square", lambda s, d: S.chi_square(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"),
    f"SELECT sum(o)::BIGINT n, ((count(DISTINCT o_orderstatus) - 1) * (count(DISTINCT o_orderpriority) - 1)) df, {R('sum(pow(o - e, 2) / e)', 6)} statistic FROM (SELECT *, "
    "sum(o) OVER (PARTITION BY o_orderstatus) * sum(o) OVER (PARTITION BY o_orderpriority) / sum(o) OVER ()::DOUBLE e FROM (SELECT o_orderstatus, o_orderpriority, count(*) o FROM orders GROUP BY 1, 2))")
@@ -141,7 +165,12 @@ _BT = {"cells": "SELECT event_type, (('0x' || substr(md5(event_id || '|42'), 1,
 op("bootstrap_mean", lambda s, d: S.bootstrap_mean(ev(s, d), ["event_type"], "value", "event_id", resamples=200),
    f"SELECT e.event_type, n, {R('mean', 4)} mean, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper FROM (SELECT event_type, count(*) n, avg(value) mean FROM events GROUP BY 1) e JOIN "
    "(SELECT event_type, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM means GROUP BY 1) c USING (event_type)", _BT, digits=4)
-op("mean_interval", lambda s, d: S.mean_ci(ev(s, d), ["event_type"], "value"))
+_Z = 1.959963984540054  # normal quantile; the t quantile follows by its expansion in 1 / degrees of freedom
+_T = " + ".join([f"{_Z!r}", f"{(_Z**3 + _Z) / 4!r} / v", f"{(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (v * v)",
+                 f"{(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (v * v * v)"])
+op("mean_interval", lambda s, d: S.mean_ci(ev(s, d), ["event_type"], "value"),
+   f"SELECT event_type, n, {R('m', 5)} mean, {R(f'm - ({_T}) * se', 5)} ci_lower, {R(f'm + ({_T}) * se', 5)} ci_upper FROM (SELECT event_type, count(*) n, (count(*) - 1)::DOUBLE v, avg(value) m, "
+   "sqrt(var_samp(value) / count(*)) se FROM events GROUP BY 1)", digits=5)
 op("vif", lambda s, d: S.vif(li(s, d), ["l_quantity", "l_discount", "l_tax"]))
 op("vif_of_two", lambda s, d: S.vif(li(s, d), ["l_quantity", "l_discount"]).select("feature", "vif"),
    f"SELECT unnest(['l_quantity', 'l_discount']) feature, {R('1 / (1 - ab * ab / (aa * bb))', 6)} vif FROM (SELECT sum(l_quantity * l_discount) ab, sum(l_quantity * l_quantity) aa, "
@@ -161,6 +190,29 @@ op("ols_one_feature", lambda s, d: S.ols(li(s, d).withColumn("y", F.log("l_exten
 op("percent_effects", lambda s, d: S.percent_effects(_regression(s, d)["coefficients"]))
 op("hypothesis_tests", lambda s, d: hypotheses.hypothesis_tests(wh(s, d).star))
 op("city_tests", lambda s, d: hypotheses.city_tests(wh(s, d).star))
-op("city_effects", lambda s, d: hypotheses.city_effects(wh(s, d).star))
-op("room_intervals", lambda s, d: hypotheses.room_intervals(wh(s, d).star, 1000))
+from .market_queries import BASE  # noqa: E402
+
+_CE = {"base": BASE["base"], "trimmed": BASE["trimmed"],
+       "mm": " UNION ALL ".join(f"SELECT '{c}' metric, city g, count({c}) n, avg({c}) m, var_samp({c}) v, median({c}) md FROM trimmed GROUP BY 2" for c in hypotheses.METRICS)}
+_D = "(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))"
+op("city_effects", lambda s, d: hypotheses.city_effects(wh(s, d).star),
+   f"SELECT a.metric, a.g group_a, b.g group_b, {R(_D, 6)} d, CASE WHEN abs({_D}) >= 0.8 THEN 'large' WHEN abs({_D}) >= 0.5 THEN 'medium' WHEN abs({_D}) >= 0.2 THEN 'small' ELSE 'negligible' END magnitude, "
+   f"{R('a.md', 6)} median_a, {R('b.md', 6)} median_b FROM mm a JOIN mm b ON a.metric = b.metric AND a.g < b.g", _CE)
+
+
+def _boot(keys, src, resamples, value="price_local", key="listing_id"):
+    """Common table expressions of the block bootstrap over ``src``."""
+    k = ", ".join(keys)
+    return {"bcells": f"SELECT {k}, (('0x' || substr(md5({key} || '|42'), 1, 8))::BIGINT) % 1000 blk, count(*) n, sum({value}) s FROM {src} GROUP BY ALL",
+            "draws": f"SELECT {k}, n, s, ('0x' || substr(md5(blk || '|' || i || '|42'), (8 * j + 1)::INT, 8))::BIGINT / 4294967296e0 u, i * 4 + j b FROM bcells, "
+                     f"(SELECT unnest(range(0, {(resamples + 3) // 4})) i), (SELECT unnest(range(0, 4)) j)",
+            "means": f"SELECT {k}, b, sum(w * s) / sum(w * n) m FROM (SELECT *, {_BOOT_STEPS} w FROM draws) GROUP BY ALL",
+            "cis": f"SELECT {k}, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM means GROUP BY ALL"}
+
+
+_RI = {"base": BASE["base"], "kept": "SELECT * FROM base WHERE price_local <= (SELECT quantile_cont(price_local, 0.99) FROM base)",
+       "big": "SELECT * FROM kept WHERE room_type IN (SELECT room_type FROM kept GROUP BY 1 HAVING count(*) >= 30)"}
+op("room_intervals", lambda s, d: hypotheses.room_intervals(wh(s, d).star, 400),
+   f"SELECT p.room_type, n, {R('mean', 4)} mean, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper FROM (SELECT room_type, count(*) n, avg(price_local) mean FROM big GROUP BY 1) p JOIN cis USING (room_type)",
+   {**_RI, **_boot(["room_type"], "big", 400)}, digits=4)
 op("area_intervals", lambda s, d: hypotheses.area_intervals(wh(s, d).star, 400))
