@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 ALL = "_all"
 ONE_TASK_ROWS = 1_000_000
+ROWS_PER_RANGE = 2_000_000
+MAX_RANGES = 100_000
 
 
 def ensure_checkpoint_dir(spark) -> str:
@@ -44,17 +46,22 @@ def _sort_keys(order_by: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group, counted with partial sums on the map side over the key columns only."""
+def group_sizes(df: DataFrame, group: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups, counted with partial sums over the key columns only."""
     if not group:
-        return df.count()
-    top = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return top or 0
+        n = df.count()
+        return n, n
+    top = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    return top[0] or 0, top[1] or 0
 
 
-def spread_sort(df: DataFrame, order_by: list) -> DataFrame:
-    """``df`` in global order, with ``_part`` (range number) and ``_pos`` (0-based row in the range)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread_sort(df: DataFrame, order_by: list, total_rows: int = 0) -> DataFrame:
+    """``df`` in global order, with ``_part`` (range number) and ``_pos`` (0-based row in the range).
+
+    The number of ranges follows the number of rows, so a range stays small enough for one task.
+    """
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(session, total_rows // ROWS_PER_RANGE), MAX_RANGES)
     keys = _sort_keys(order_by)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_tag", F.monotonically_increasing_id()))
@@ -66,10 +73,11 @@ def spread_sort(df: DataFrame, order_by: list) -> DataFrame:
 
 def dense_keys(df: DataFrame, order_by: list, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Surrogate keys 1..n in the order of ``order_by``; a single-task window only for small tables."""
-    if largest_group(df, []) <= one_task_rows:
+    total, _ = group_sizes(df, [])
+    if total <= one_task_rows:
         at = F.row_number().over(Window.orderBy(*_sort_keys(order_by))).cast("long")
         return df.select(at.alias(name), *[F.col(c) for c in df.columns])
-    ordered = spread_sort(df, order_by)
+    ordered = spread_sort(df, order_by, total)
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range partition, so both this window and the broadcast are bounded by their number
@@ -82,7 +90,8 @@ def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[s
                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Adds inclusive running sums per group; ``sums`` maps new column name to the summed expression."""
     base = df.columns
-    if largest_group(df, group) <= one_task_rows:
+    largest, total = group_sizes(df, group)
+    if largest <= one_task_rows:
         w = (Window.partitionBy(*group).orderBy(*_sort_keys(order_by))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
@@ -90,7 +99,7 @@ def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[s
     src = df if group else df.withColumn(ALL, F.lit(1))
     for name, expr in sums.items():
         src = src.withColumn(f"_in_{name}", F.col(expr) if isinstance(expr, str) else expr)
-    ordered = spread_sort(src, [*group_cols, *order_by])
+    ordered = spread_sort(src, [*group_cols, *order_by], total)
     per_part = ordered.groupBy("_part", *group_cols).agg(
         *[F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums])
     earlier = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,19 +144,20 @@ def exact_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], wi
     ``specs`` maps output name to ``(value expression, probability)``; ``with_count`` adds ``n_<name>``, the
     number of values.
     """
-    if largest_group(df, group) <= one_task_rows:
+    largest, total = group_sizes(df, group)
+    if largest <= one_task_rows:
         aggs = [F.percentile(_double(v), p).alias(out) for out, (v, p) in specs.items()]
         if with_count:
             aggs += [F.count(_double(v)).alias(f"n_{out}") for out, (v, _) in specs.items()]
         return df.groupBy(*group).agg(*aggs)
-    return _spread_quantiles(df, group, specs, with_count)
+    return _spread_quantiles(df, group, specs, with_count, total)
 
 
 def _double(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
 
-def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool) -> DataFrame:
+def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool, total_rows: int) -> DataFrame:
     """Quantiles of groups too large for one task.
 
     Rows are first reduced to distinct values with counts; then only the ranges that hold a wanted rank are
@@ -166,7 +176,7 @@ def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple],
     rows = F.array(*[F.struct(F.lit(m).alias("_m"), v.alias("_v")) for m, v in measures.items()])
     counts = (src.select(*keys, F.inline(rows)).filter("_v IS NOT NULL")
               .groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    ordered = spread_sort(counts, [*keys, "_m", "_v"])
+    ordered = spread_sort(counts, [*keys, "_m", "_v"], total_rows * len(measures))
     cells = ordered.groupBy("_part", *keys, "_m").agg(F.sum("_n").alias("_cell"))
     whole = Window.partitionBy(*keys, "_m")
     cells = cells.select(
