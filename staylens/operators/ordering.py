@@ -146,10 +146,7 @@ def exact_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], wi
     """
     largest, total = group_sizes(df, group)
     if largest <= one_task_rows:
-        aggs = [F.percentile(_double(v), p).alias(out) for out, (v, p) in specs.items()]
-        if with_count:
-            aggs += [F.count(_double(v)).alias(f"n_{out}") for out, (v, _) in specs.items()]
-        return df.groupBy(*group).agg(*aggs)
+        return _plain_quantiles(df, group, specs, with_count)
     return _spread_quantiles(df, group, specs, with_count, total)
 
 
@@ -157,6 +154,22 @@ def _double(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
 
+def _plain_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool) -> DataFrame:
+    """All quantiles of one value share a single table of its counts."""
+    by_value: dict[str, list] = {}
+    for out, (value, prob) in specs.items():
+        by_value.setdefault(value if isinstance(value, str) else str(value), []).append((out, value, float(prob)))
+    aggs, picks = [], {}
+    for i, wanted in enumerate(by_value.values()):
+        aggs.append(F.percentile(_double(wanted[0][1]), [p for _, _, p in wanted]).alias(f"_q{i}"))
+        picks.update({out: F.element_at(f"_q{i}", j).alias(out) for j, (out, _, _) in enumerate(wanted, 1)})
+        if with_count:
+            aggs.append(F.count(_double(wanted[0][1])).alias(f"_n{i}"))
+            picks.update({f"n_{out}": F.col(f"_n{i}").alias(f"n_{out}") for out, _, _ in wanted})
+    names = [*specs, *([f"n_{out}" for out in specs] if with_count else [])]
+    return df.groupBy(*group).agg(*aggs).select(*group, *[picks[n] for n in names])
+
+
 def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple], with_count: bool, total_rows: int) -> DataFrame:
     """Quantiles of groups too large for one task.
 

@@ -1,6 +1,7 @@
 """Star schema: six dimensions and three facts from the gold table and the silver events."""
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,21 +208,26 @@ def build_star(spark: SparkSession, gold: DataFrame | None, calendar: DataFrame
         if df is None:
             log.warning("%s missing: the fact table stays empty", name)
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        return df if path is None else spark.read.parquet(write_table(df, f"{path}/{name}"))
-
-    star = {"dim_date": keep("dim_date", dim_date(spark, gold, calendar, reviews)),
-            "dim_city": keep("dim_city", city_dimension(spark, cities=config)),
-            "dim_host": keep("dim_host", dim_host(gold)),
-            "dim_property": keep("dim_property", dim_property(gold)),
-            "dim_neighbourhood": keep("dim_neighbourhood", dim_neighbourhood(gold)),
-            "dim_reviewer": keep("dim_reviewer", dim_reviewer(spark, reviews))}
-    star["fact_listing_snapshot"] = keep("fact_listing_snapshot", fact_listing_snapshot(
-        gold, star["dim_host"], star["dim_property"], star["dim_neighbourhood"], star["dim_city"], star["dim_date"]))
-    star["fact_calendar"] = keep("fact_calendar", fact_calendar(
-        spark, calendar, star["fact_listing_snapshot"], star["dim_city"], star["dim_date"], config))
-    star["fact_review"] = keep("fact_review", fact_review(
-        spark, reviews, star["fact_listing_snapshot"], star["dim_reviewer"], star["dim_city"], star["dim_date"]))
+    star: dict[str, DataFrame] = {}
+
+    def build(parts: dict) -> None:
+        """Tables that do not depend on each other are built at the same time."""
+        def one(item):
+            name, make = item
+            df = make()
+            return name, df if path is None else spark.read.parquet(write_table(df, f"{path}/{name}"))
+        with ThreadPoolExecutor(len(parts)) as pool:
+            star.update(pool.map(one, parts.items()))
+
+    build({"dim_date": lambda: dim_date(spark, gold, calendar, reviews),
+           "dim_city": lambda: city_dimension(spark, cities=config),
+           "dim_host": lambda: dim_host(gold), "dim_property": lambda: dim_property(gold),
+           "dim_neighbourhood": lambda: dim_neighbourhood(gold), "dim_reviewer": lambda: dim_reviewer(spark, reviews)})
+    build({"fact_listing_snapshot": lambda: fact_listing_snapshot(
+        gold, *[star[d] for d in ("dim_host", "dim_property", "dim_neighbourhood", "dim_city", "dim_date")])})
+    snapshot, cities, dates = (star[t] for t in ("fact_listing_snapshot", "dim_city", "dim_date"))
+    build({"fact_calendar": lambda: fact_calendar(spark, calendar, snapshot, cities, dates, config),
+           "fact_review": lambda: fact_review(spark, reviews, snapshot, star["dim_reviewer"], cities, dates)})
     return star
 
 

@@ -1,5 +1,7 @@
 """Layered tables of one data set, each written once and then read by every query."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, enrich, star
@@ -32,8 +34,8 @@ class Warehouse:
     def flagged(self) -> dict[str, DataFrame]:
         def build():
             dfs = cleaning.clean_all(self.raw, within=["city"])
-            for k, df in dfs.items():
-                write_split(df, f"{self.folder}/flagged", k, ["city"])
+            with ThreadPoolExecutor(len(dfs)) as pool:  # the tables do not depend on each other
+                list(pool.map(lambda k: write_split(dfs[k], f"{self.folder}/flagged", k, ["city"]), dfs))
             return {k: read_split(self.spark, f"{self.folder}/flagged", k, df.schema, None) for k, df in dfs.items()}
         return self._layer("flagged", build)
 
