@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from . import decontam, simhash
+from . import decontam, packing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,5 +43,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination}
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
+           "op10_harmonic_packing": op10_harmonic_packing}
 ORACLES = {"op5_decontamination": OP5_SQL}
