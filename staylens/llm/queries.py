@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, packing, simhash
+from . import decontam, packing, simhash, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,28 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# every 200-byte string as hex digits, those that start twice, and the bytes that none of them covers
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT k, i, substr(x, 2 * i + 1, 400) AS s FROM (SELECT k, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) AS i FROM d)),
+r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+h AS (SELECT k, i FROM w SEMI JOIN r USING (s)),
+e AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM h),
+runs AS (SELECT k, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM e),
+spans AS (SELECT k, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY k, run),
+kept AS (SELECT k, a, b, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS from_b FROM spans),
+parts AS (SELECT k, string_agg(substr(x, 2 * from_b + 1, 2 * (a - from_b)), '' ORDER BY a) AS head, max(b) AS last_b,
+          sum(b - a) AS n_removed, count(*) AS n_spans FROM kept JOIN d USING (k) GROUP BY k)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last_b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (k)
+"""
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
            "op10_harmonic_packing": op10_harmonic_packing}
-ORACLES = {"op5_decontamination": OP5_SQL}
+ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
