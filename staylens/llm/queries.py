@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, packing, simhash, suffix_dedup
+from . import decontam, langid, packing, quality, simhash, suffix_dedup, toxicity
+from .common import split_of
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +44,24 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), mod=5, held=0)
+    return toxicity.score(docs, model).select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "offending")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), mod=3, held=1)
+    return quality.score(docs, model).select("doc_id", (split_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(split_of("doc_id", 4) != 2))
+    return langid.predict(docs, model).select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -55,7 +74,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # every 200-byte string as hex digits, those that start twice, and the bytes that none of them covers
 OP3_SQL = """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT k, i, substr(x, 2 * i + 1, 400) AS s FROM (SELECT k, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) AS i FROM d)),
+w AS (SELECT k, i, md5_number(substr(x, 2 * i + 1, 400)) AS s FROM (SELECT k, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) AS i FROM d)),
 r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
 h AS (SELECT k, i FROM w SEMI JOIN r USING (s)),
 e AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM h),
@@ -70,5 +89,6 @@ FROM d LEFT JOIN parts USING (k)
 """
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
+           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_language": op8_language,
            "op10_harmonic_packing": op10_harmonic_packing}
 ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
