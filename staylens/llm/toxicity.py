@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-A sentence's probability is a logistic function of its words (presence, hashed to ``BUCKETS``); a document's is the
-noisy-or of its sentences, 1 - prod(1 - p).  Only document labels are known: the likelihood of the noisy-or passes the
+A sentence's probability is a logistic function of its distinct words, each by itself and by its first letters (hashed to
+``BUCKETS``), so unseen forms of a known stem count; a document's is the noisy-or of its sentences, 1 - prod(1 - p).  Only document labels are known: the likelihood of the noisy-or passes the
 blame for a toxic document to the sentences that best explain it, and that is what locates them afterwards.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 8_000
-LEAST_DOCS = 4
+TRAIN_ROWS = 5_000
+LEAST_DOCS = 8
+STEMS = (3, 4, 5, 6, 7)
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
 _BREAK = frozenset(".!?\n")
 _KEEP = 300_000
@@ -42,8 +43,9 @@ def sentences(text: str | None):
     return words, spans
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def buckets(word: str) -> list[int]:
+    """Hashes of the word and of its shorter beginnings."""
+    return [zlib.crc32(x.encode()) % BUCKETS for x in ("=" + word, *("^" + word[:n] for n in STEMS if n < len(word)))]
 
 
 class Model:
@@ -59,7 +61,7 @@ class Model:
     def _weight(self, word: str) -> float:
         if len(self._seen) > _KEEP:
             self._seen.clear()
-        return self._seen.setdefault(word, self.weights.get(bucket(word), 0.0))
+        return self._seen.setdefault(word, sum(self.weights.get(b, 0.0) for b in buckets(word)))
 
     def sentence_scores(self, words: list[list[str]]) -> np.ndarray:
         seen, s = self._seen, np.empty(len(words))
@@ -84,7 +86,7 @@ def _bags(sample: DataFrame) -> pd.DataFrame:
         for b in batches:
             rows = []
             for label, text in zip(b["label"], b["text"]):
-                bags = [sorted({bucket(w) for w in s}) for s in sentences(text)[0]]
+                bags = [[b for w in dict.fromkeys(s) for b in buckets(w)] for s in sentences(text)[0]]
                 rows.append((label, [x for s in bags for x in s], [len(s) for s in bags]))
             yield pd.DataFrame(rows, columns=["label", "items", "sizes"])
 
@@ -92,7 +94,7 @@ def _bags(sample: DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS, least_docs: int = LEAST_DOCS,
-        rounds: int = 300, rate: float = 0.1, ridge: float = 2e-3) -> Model:
+        rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4) -> Model:
     """Maximum likelihood with a ridge penalty, by Adam, on at most ``train_rows`` labelled documents.
 
     Words of fewer than ``least_docs`` sampled documents have no weight.  Without both labels there is nothing to learn:
@@ -102,18 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, train_r
     y = bags["label"].to_numpy(float)
     if len(set(y)) < 2:
         return Model({}, 30.0 if len(y) and y[0] else -30.0)
-    n_items = bags["items"].map(len).to_numpy()
-    flat = np.concatenate([np.asarray(x, np.int64) for x in bags["items"]])
-    doc_of_item = np.repeat(np.arange(len(y)), n_items)
-    sizes = np.concatenate([np.asarray(x, np.int64) for x in bags["sizes"]])
+    flat = np.concatenate([np.asarray(x, np.int32) for x in bags["items"]])
+    sizes = np.concatenate([np.asarray(x, np.int32) for x in bags["sizes"]])
     doc_of = np.repeat(np.arange(len(y)), bags["sizes"].map(len))
-    sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.unique(doc_of_item * BUCKETS + flat)
-    frequent = np.flatnonzero(np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least_docs)
-    code = np.full(BUCKETS, -1)
+    docs_with = np.zeros(BUCKETS, np.int32)
+    for x in bags["items"]:
+        docs_with[np.unique(np.asarray(x, np.int32))] += 1
+    frequent = np.flatnonzero(docs_with >= least_docs)
+    code = np.full(BUCKETS, -1, np.int32)
     code[frequent] = np.arange(len(frequent))
     use = code[flat] >= 0
-    item, owner = code[flat][use], sentence_of[use]
+    item, owner = code[flat][use], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[use]
     n, m = len(sizes), len(frequent)
     w, b = np.zeros(m), np.log(max(y.mean(), 1e-3) * len(y) / n)
     moments = [np.zeros(m + 1), np.zeros(m + 1)]
