@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, langid, packing, quality, simhash, suffix_dedup, toxicity
+from . import decontam, langid, order_minhash, packing, quality, simhash, suffix_dedup, toxicity
 from .common import split_of
 
 
@@ -62,6 +62,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_neighbours(_read(spark, sf_dir, "documents"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -90,5 +94,6 @@ FROM d LEFT JOIN parts USING (k)
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
            "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_language": op8_language,
+           "op9_order_minhash": op9_order_minhash,
            "op10_harmonic_packing": op10_harmonic_packing}
 ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
