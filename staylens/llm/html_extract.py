@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, GRAMMAR_PAGES = 300, 900
+TRAIN_PAGES, GRAMMAR_PAGES = 1_000, 1_200
 
 #: fixed values: kinds of elements and words of class names and ids
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th nav aside "
@@ -379,7 +379,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, grammar_pages: int = G
                 page = Page(source)
                 y = weak_labels(page)
                 if y is not None:
-                    rows += [(float(v), x.tolist()) for v, x in zip(y, features(page, hide=i % 3 == 2))]
+                    rows += [(float(v), x.tolist()) for v, x in zip(y, features(page, hide=i % 5 == 4))]
             yield pd.DataFrame(rows, columns=["y", "x"])
 
     found = chosen.mapInPandas(nodes, "y double, x array<double>").toPandas()
