@@ -214,15 +214,14 @@ op("evaluate_models", lambda s, d: E.stratified_errors(M.predict(_ridge(s, d), _
 op("leave_area_out", lambda s, d: M.leave_group_out(M.estimator("ridge", regParam=0.1), _matrix(s, d)[2], min_rows=30))
 op("city_transfer", lambda s, d: M.city_transfer(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
 op("area_ablation", lambda s, d: M.area_ablation(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
-op("explain_linear", lambda s, d: A.importance(A.linear_attribution(_ridge(s, d), _matrix(s, d)[0], _matrix(s, d)[1], sample=500)))
+op("explain_linear", lambda s, d: A.importance(A.linear_attribution(_ridge(s, d), _matrix(s, d)[0], _matrix(s, d)[1])))
 op("explain_trees", lambda s, d: A.importance(A.sampled_attribution(M.estimator("random_forest", numTrees=5, maxDepth=4).fit(_train(s, d)), _matrix(s, d)[0], _matrix(s, d)[1],
-                                                                   sample=40, permutations=2)))
+                                                                   sample=40, background=8)))
 
 
 def _local(s, d):
     model = _ridge(s, d)
-    values = A.linear_attribution(model, _matrix(s, d)[0], _matrix(s, d)[1], sample=5000)
-    return A.local_explanations(values, M.predict(model, _matrix(s, d)[2], ["listing_id"]))
+    return A.explain_cases(model, _matrix(s, d)[0], _matrix(s, d)[1], M.predict(model, _matrix(s, d)[2], ["listing_id"]))
 
 
 op("explain_cases", _local)

@@ -6,7 +6,7 @@ from staylens import settings
 from staylens.functions import bands, geo
 from staylens.functions import parsing as P
 from staylens.functions.rounding import ratio, rows
-from staylens.operators import cleaning, distribution as D, enrich, harmonize, ledger, ordering, profiling, relations
+from staylens.operators import cleaning, distribution as D, enrich, harmonize, ledger, ordering, profiling, relations, star
 from staylens.operators import quality as Q
 from staylens.operators.joins import join_to_unique
 from staylens.sources import readers, sinks
@@ -204,9 +204,20 @@ op("surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").sele
    "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) row_key, o_orderpriority, o_orderkey FROM orders")
 op("spread_surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "row_key", 0),
    "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) row_key, o_orderpriority, o_orderkey FROM orders")
-op("fallback_review_ids", lambda s, d: ordering.dense_keys(
-    silver(s, d, "reviews").select("city", "listing_id", "date", "id"), ["city", "listing_id", "date", "id"], "review_id"),
-   "SELECT row_number() OVER (ORDER BY city, listing_id, date, id) review_id, city, listing_id, date, id FROM s_reviews")
+
+
+def _reviews_without_ids(s, d):
+    """The review fact over reviews of which every third has no id."""
+    w = wh(s, d)
+    some = silver(s, d, "reviews").withColumn("id", F.when(F.col("id") % 3 != 0, F.col("id")))
+    return star.fact_review(s, some, *[w.star[t] for t in ("fact_listing_snapshot", "dim_reviewer", "dim_city", "dim_date")])
+
+
+op("fallback_review_ids", _reviews_without_ids,
+   """SELECT coalesce(CASE WHEN id % 3 <> 0 THEN id END, n) review_id, f.listing_key, w.reviewer_key, d.date_key review_date_key, comment_length FROM (
+ SELECT *, length(comments)::INT comment_length, row_number() OVER (ORDER BY city NULLS FIRST, listing_id NULLS FIRST, date NULLS FIRST, reviewer_id NULLS FIRST, length(comments) NULLS FIRST,
+ CASE WHEN id % 3 <> 0 THEN id END NULLS FIRST) n FROM s_reviews) r LEFT JOIN snap_city f ON r.listing_id = f.listing_id AND r.city = f.city
+ LEFT JOIN dim_reviewer w ON r.reviewer_id = w.reviewer_id LEFT JOIN dim_date d ON r.date = d.full_date""")
 op("key_intersection", lambda s, d: relations.matched_keys(table(s, d, "documents"), table(s, d, "labels"), "doc_id", "doc_id"),
    "SELECT DISTINCT doc_id AS key FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 op("key_difference", lambda s, d: relations.orphan_keys(table(s, d, "orders").filter("o_orderstatus <> 'P'"), table(s, d, "lineitem"), "o_orderkey", "l_orderkey"),
@@ -327,6 +338,14 @@ op("spread_tie_ranks", lambda s, d: ordering.tie_ranks(table(s, d, "lineitem"),
 op("spread_running_totals", lambda s, d: ordering.running_totals(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [], ["o_orderkey"],
                                                                  {"running": "o_totalprice"}, 0).select("o_orderkey", "running"),
    f"SELECT o_orderkey, {R('sum(o_totalprice) OVER (ORDER BY o_orderkey)', 2)} running FROM orders", digits=2)
+_GAPS = "CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderkey % 3 <> 0 AND o_orderkey > 2000 THEN o_totalprice END AS v"
+_GAPS_SQL = f"(SELECT *, {_GAPS} FROM orders)"
+op("spread_quantiles_with_nulls", lambda s, d: ordering.exact_quantiles(table(s, d, "orders").selectExpr("*", _GAPS), ["o_orderpriority"], {"median": ("v", .5), "p90": ("v", .9)},
+                                                                       with_count=True, one_task_rows=0),
+   f"SELECT o_orderpriority, {R('median(v)', 4)} AS median, {R('quantile_cont(v, 0.9)', 4)} p90, count(v) n_median, count(v) n_p90 FROM {_GAPS_SQL} GROUP BY 1")
+op("spread_running_totals_with_nulls", lambda s, d: ordering.running_totals(table(s, d, "orders").selectExpr("*", _GAPS).select("o_orderpriority", "o_orderkey", "v"), ["o_orderpriority"],
+                                                                           ["o_orderkey"], {"running": "v"}, 0).select("o_orderkey", "running"),
+   f"SELECT o_orderkey, {R('sum(v) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)', 2)} running FROM {_GAPS_SQL}", digits=2)
 op("sample_rows", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 100).select("p_partkey"),
    "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '|42'), p_partkey LIMIT 100")
 op("sample_per_group", lambda s, d: D.sample_rows(table(s, d, "part"), "p_partkey", 20, group=["p_brand"]).select("p_brand", "p_partkey"),
@@ -644,8 +663,19 @@ op("composite_hash", lambda s, d: ledger.composite_hash(table(s, d, "documents")
     F.concat(F.lit("/raw/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.md5("text").alias("file_hash"), "source"), ["source"]),
    "SELECT source, md5(string_agg(b || d, '' ORDER BY b || d)) source_hash, sum(n)::BIGINT files FROM (SELECT source, substr(md5(p), 1, 3) b, md5(string_agg(p || h, '' ORDER BY p || h)) d, count(*) n "
    "FROM (SELECT source, '/raw/' || lpad(doc_id::VARCHAR, 9, '0') p, md5(text) h FROM documents) GROUP BY 1, 2) GROUP BY 1")
-op("file_hashes", lambda s, d: ledger.file_hashes(s, d, "nation*.parquet").unionAll(ledger.file_hashes(s, d, "part*.parquet")).select(
-    F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.length("file_hash").alias("hash_length")))
+
+
+def _hashed_files(s, d):
+    """Customers as lines, one text file for each market segment."""
+    path = _scratch(s, d, "segments")
+    lines = table(s, d, "customer").select("c_mktsegment", F.concat_ws("|", "c_custkey", "c_name").alias("value"))
+    lines.repartition("c_mktsegment").write.mode("overwrite").partitionBy("c_mktsegment").text(path)
+    return ledger.file_hashes(s, path).select(F.regexp_extract("path", "c_mktsegment=([^/]+)", 1).alias("segment"), "length", "file_hash")
+
+
+op("file_hashes", _hashed_files,
+   "SELECT c_mktsegment segment, sum(octet_length(encode(v)) + 1)::BIGINT length, md5(count(*) || '|' || sum(('0x' || substr(md5(v), 1, 15))::BIGINT::HUGEINT) || '|' || "
+   "sum(('0x' || substr(md5(v), 16, 15))::BIGINT::HUGEINT)) file_hash FROM (SELECT c_mktsegment, c_custkey || '|' || c_name v FROM customer) GROUP BY 1")
 
 
 def _history(s, d):

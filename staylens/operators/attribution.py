@@ -10,41 +10,48 @@ from .distribution import sample_rows
 from .features import from_target
 from .ordering import checkpointed, exact_quantiles
 
-SAMPLE = 5_000
 BACKGROUND = 100
 
 
-def linear_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int = SAMPLE,
-                       extra: list[str] = []) -> DataFrame:
-    """Coefficient x (value - mean): the exact Shapley value of a linear model, one row per key and feature."""
-    picked = sample_rows(matrix, key, sample)
-    means = picked.agg(*[F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)]).first()
+def _chosen(matrix: DataFrame, rows: DataFrame | None, key: str, sample: int | None) -> DataFrame:
+    src = matrix if rows is None else rows
+    return src if sample is None else sample_rows(src, key, sample)
+
+
+def linear_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int | None = None,
+                       extra: list[str] = [], rows: DataFrame | None = None) -> DataFrame:
+    """Coefficient x (value - mean): the exact Shapley value of a linear model, one row per key and feature.
+
+    The means are those of all of ``matrix``; explained are all its rows, or ``rows``, or a ``sample`` if asked for.
+    """
+    means = matrix.agg(*[F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)]).first()
     cells = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               (F.lit(float(w)) * (F.col(f"`{f}`") - F.lit(float(means[i])))).alias("attribution"))
+                               (F.lit(float(w)) * (F.col(f"`{f}`") - F.lit(means[i]).cast("double"))).alias("attribution"))
                       for i, (f, w) in enumerate(zip(features, model.coefficients))])
-    return picked.select(key, *extra, F.inline(cells))
+    return _chosen(matrix, rows, key, sample).select(key, *extra, F.inline(cells))
 
 
-def sampled_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int = SAMPLE,
-                        permutations: int = 8, seed: int = 42, extra: list[str] = []) -> DataFrame:
+def sampled_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int | None = None,
+                        background: int = BACKGROUND, seed: int = 42, extra: list[str] = [], rows: DataFrame | None = None) -> DataFrame:
     """Shapley values by sampled orders: features switch one by one from a background row to the explained row.
 
-    Every (row, order, step) is one row scored by the model, so the cluster scores them in parallel.
+    Each of the ``background`` rows is used once, with an order of its own.  Every (row, order, step) is one row scored by
+    the model, so the cluster scores them in parallel; explained are all rows of ``matrix``, or ``rows``, or a ``sample``.
     """
     p = len(features)
-    picked = checkpointed(sample_rows(matrix, key, sample).select(key, *extra, F.array(*[F.col(f"`{f}`") for f in features]).alias("_x")))
-    ground = [r[0] for r in sample_rows(matrix, key, BACKGROUND, seed + 1).select(F.array(*[F.col(f"`{f}`") for f in features])).collect()]
+    picked = checkpointed(_chosen(matrix, rows, key, sample).select(key, *extra, F.array(*[F.col(f"`{f}`") for f in features]).alias("_x")))
+    ground = [r[0] for r in sample_rows(matrix, key, background, seed + 1).select(F.array(*[F.col(f"`{f}`") for f in features])).collect()]
     rng = random.Random(seed)
     plans = []
-    for i in range(permutations):
+    for i, row in enumerate(ground):
         order = list(range(p))
         rng.shuffle(order)
         turn = [0] * p
         for at, f in enumerate(order):
             turn[f] = at
-        plans.append((i, turn, order, [float(v) for v in ground[i % len(ground)]]))
+        plans.append((i, turn, order, [float(v) for v in row]))
     orders = matrix.sparkSession.createDataFrame(plans, "_i int, _turn array<int>, _order array<int>, _bg array<double>")
-    # the orders are a fixed short list, the explained rows a bounded sample
+    # the orders are a fixed short list; every explained row takes all of them
     steps = (picked.join(F.broadcast(orders), F.lit(True))
              .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p)))))
     mixed = F.transform(F.arrays_zip("_x", "_turn", "_bg"), lambda z: F.when(z["_turn"] < F.col("_step"), z["_x"]).otherwise(z["_bg"]))
@@ -81,9 +88,16 @@ def local_cases(predictions: DataFrame, key: str = "listing_id") -> DataFrame:
     return long.unionByName(middle)
 
 
-def local_explanations(values: DataFrame, predictions: DataFrame, key: str = "listing_id", top: int = 5) -> DataFrame:
-    """The features that raise and lower the selected predictions most."""
-    cases = local_cases(predictions, key).join(predictions.select(key, "y", "yhat"), key)
+def explain_cases(model, matrix: DataFrame, features: list[str], predictions: DataFrame, key: str = "listing_id", top: int = 5,
+                  **options) -> DataFrame:
+    """The features that raise and lower the selected predictions most; the cases are chosen among all predictions first,
+    and exactly their rows are explained."""
+    cases = checkpointed(local_cases(predictions, key).join(predictions.select(key, "y", "yhat"), key))  # five rows
+    rows = matrix.join(F.broadcast(cases.select(key).distinct()), key, "left_semi")
+    return local_explanations(attribution(model, matrix, features, key=key, rows=rows, **options), cases, key, top)
+
+
+def local_explanations(values: DataFrame, cases: DataFrame, key: str = "listing_id", top: int = 5) -> DataFrame:
     mine = values.join(F.broadcast(cases), key)  # five cases
     up = Window.partitionBy("case").orderBy(F.desc("attribution"), "feature")
     down = Window.partitionBy("case").orderBy("attribution", "feature")

@@ -74,16 +74,23 @@ def top_categories(df: DataFrame, column: str, cap: int) -> list[str]:
     return [r.v for r in got]
 
 
-def one_hot(df: DataFrame, columns: list[str], cap: int = settings.MAX_CARDINALITY, min_rows: int = 0,
+def one_hot(df: DataFrame, columns: list[str], cap: int | None = settings.MAX_CARDINALITY, min_rows: int = 0,
             prefix: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """0/1 columns for the most frequent values; the rest share one, the first in name order is left out.
 
-    With ``min_rows`` only values held by that many rows keep their column.
+    With ``min_rows`` only values held by that many rows keep their column.  ``cap=None`` merges nothing.
     """
     made: list[str] = []
     exprs: list[Column] = []
     present = [c for c in columns if c in df.columns]
     for c in present:
+        if cap is None:
+            n = df.groupBy(F.col(c).cast("string").alias("v")).agg(rows().alias("n")).filter("v IS NOT NULL")
+            first = n.agg(F.min("v")).first()[0]
+            for v in sorted(r.v for r in n.filter((F.col("n") >= min_rows) & (F.col("v") != F.lit(first))).collect()):
+                made.append(f"{(prefix or {}).get(c, c)}_{v}")
+                exprs.append(F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)).alias(made[-1]))
+            continue
         found = top_categories(df, c, cap)
         top, more = [v for v in found[:cap] if v is not None], len(found) > cap
         value = F.when(F.col(c).isin(top), F.col(c).cast("string")).otherwise(F.lit(settings.OTHER_CATEGORY)) if more else F.col(c).cast("string")
@@ -184,6 +191,6 @@ def regression_columns(star: dict[str, DataFrame], numeric: list[str], boolean:
     """Columns of the price regression: numbers, flags, room and city dummies, area dummies with enough rows."""
     base = trim_at(feature_rows(star), "price_local", 0.99)
     base = base.withColumns({c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in boolean})
-    df, rooms = one_hot(base, ["room_type", "city"], cap=1000, prefix={"room_type": "room"})
-    df, areas = one_hot(df, ["neighbourhood_group"], cap=1000, min_rows=min_rows, prefix={"neighbourhood_group": "nbhd"})
+    df, rooms = one_hot(base, ["room_type", "city"], cap=None, prefix={"room_type": "room"})
+    df, areas = one_hot(df, ["neighbourhood_group"], cap=None, min_rows=min_rows, prefix={"neighbourhood_group": "nbhd"})
     return df, [*numeric, *boolean, *rooms, *areas]

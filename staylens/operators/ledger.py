@@ -22,15 +22,22 @@ ERROR_LENGTH = 4000
 
 
 # ---- content hashes -----------------------------------------------------------------------------
-def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", contents_up_to: int = 1 << 30) -> DataFrame:
-    """MD5 per file.  Files above ``contents_up_to`` bytes are fingerprinted by path, size and time, since a
-    file's bytes arrive as one value; the listing is filtered before contents are read."""
-    def scan():
-        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    small = scan().filter(F.col("length") <= contents_up_to).select("path", "length", F.md5("content").alias("file_hash"))
-    large = scan().filter(F.col("length") > contents_up_to).select(
-        "path", "length", F.md5(F.concat_ws("|", "path", "length", "modificationTime")).alias("file_hash"))
-    return small.unionAll(large)
+def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, file_hash) per file, from its content alone, one rule for all sizes.
+
+    A file is read as rows (lines; bytes between line feeds for other files) and its hash combines their number and the sums
+    of two digest parts, so no value ever holds a file and a large one is read by many tasks.  The order of the rows does
+    not count.  A file without rows is hashed as such.
+    """
+    def scan(kind: str) -> DataFrame:
+        return spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    name = F.col("_metadata.file_path").alias("_file")
+    digest = F.md5("value")
+    parts = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)").alias(f"_d{at}") for at in (1, 16)]
+    sums = (scan("text").select(name, *parts).groupBy("_file")
+            .agg(F.concat_ws("|", F.count(F.lit(1)), *[F.sum(f"_d{at}") for at in (1, 16)]).alias("_content")))
+    listed = scan("binaryFile").select(name, "path", "length")  # the content column is not read
+    return listed.join(sums, "_file", "left").select("path", "length", F.md5(F.coalesce("_content", F.lit(""))).alias("file_hash"))
 
 
 def composite_hash(files: DataFrame, group: list[str] = []) -> DataFrame:

@@ -9,7 +9,7 @@ after a lost executor, could otherwise cut the rows elsewhere.  Both forms give
 """
 
 import os
-import tempfile
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +22,15 @@ MAX_RANGES = 100_000
 
 
 def ensure_checkpoint_dir(spark) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """Folder named by ``spark.checkpoint.dir``, which all executors must share; without it only a local master can work."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="staylens-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -106,8 +110,7 @@ def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[s
     # a group reaches into a partition from an earlier one at most once per partition
     carried = (per_part.select("_part", *group_cols,
                                F.row_number().over(Window.partitionBy(*group_cols).orderBy("_part")).alias("_nth"),
-                               *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}")
-                                 for n in sums])
+                               *[F.sum(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in sums])
                .filter("_nth > 1").drop("_nth"))
     carried = carried.select(F.col("_part").alias("_cp"), *[F.col(g).alias(f"_cg_{g}") for g in group_cols],
                              *[f"_b_{n}" for n in sums])
@@ -119,8 +122,8 @@ def running_totals(df: DataFrame, group: list[str], order_by: list, sums: dict[s
     for g in group_cols:
         on = on & F.col(g).eqNullSafe(F.col(f"_cg_{g}"))
     joined = local.join(F.broadcast(carried), on, "left")
-    return joined.select(*base, *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n)
-                                  for n in sums])
+    # either part may have seen no value yet; the total is NULL only while neither has
+    return joined.select(*base, *[F.coalesce(F.col(f"_l_{n}") + F.col(f"_b_{n}"), f"_l_{n}", f"_b_{n}").alias(n) for n in sums])
 
 
 def positions(df: DataFrame, group: list[str], order_by: list, name: str = "position",
@@ -229,8 +232,10 @@ def _spread_quantiles(df: DataFrame, group: list[str], specs: dict[str, tuple],
     cols = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(out)
             for i, out in enumerate(wanted)]
     if with_count:
-        cols += [F.col(f"n_{out}") for out in wanted]
-    return found.select(*group, *cols)
+        cols += [F.coalesce(f"n_{out}", F.lit(0)).alias(f"n_{out}") for out in wanted]
+    # a group without any value has a row too, and so has a table without groups
+    every = src.select(*keys).distinct() if group else df.sparkSession.range(1).select(F.lit(1).alias(ALL))
+    return join_groups(every, found, keys).select(*group, *cols)
 
 
 def medians(df: DataFrame, group: list[str], values: dict[str, str | Column]) -> DataFrame:

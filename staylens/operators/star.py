@@ -190,8 +190,8 @@ def fact_review(spark: SparkSession, reviews: DataFrame | None, snapshot: DataFr
         cast_first(reviews, ["date"], "date").alias("full_date"),
         cast_first(reviews, ["reviewer_id"], "bigint").alias("reviewer_id"),
         (F.length("comments") if "comments" in reviews.columns else F.lit(None)).cast("int").alias("comment_length"))
-    if "review_id" not in reviews.columns and "id" not in reviews.columns:
-        numbered = dense_keys(events, ["city", "listing_id", "full_date", "reviewer_id", "comment_length"], "_row")
+    if not events.filter("review_id IS NULL").isEmpty():  # each row without an id takes its row number
+        numbered = dense_keys(events, ["city", "listing_id", "full_date", "reviewer_id", "comment_length", "review_id"], "_row")
         events = numbered.withColumn("review_id", F.coalesce("review_id", "_row")).drop("_row")
     placed = join_to_unique(events, _snapshot_by_city(snapshot, cities), ["listing_id", "city"])
     joined = (join_to_unique(placed, reviewers.select("reviewer_id", "reviewer_key"), ["reviewer_id"])

@@ -19,7 +19,6 @@ from .ordering import checkpointed, join_groups, medians, running_totals, tie_ra
 # fixed values: effect size cuts (small, medium, large)
 COHEN, BISERIAL, VARIANCE_SHARE = (0.2, 0.5, 0.8), (0.1, 0.3, 0.5), (0.01, 0.06, 0.14)
 POSTHOC_GROUPS = 20
-NORMALITY_GROUPS = 5
 ALPHA = 0.05
 
 
@@ -314,13 +313,12 @@ def posthoc(df: DataFrame, group: str, value: str, alpha: float = ALPHA, max_gro
 
 def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alpha: float = ALPHA,
                      with_posthoc: bool = True) -> dict[str, DataFrame]:
-    """ANOVA when the first groups look normal, else Kruskal-Wallis; post-hoc pairs when significant."""
+    """ANOVA when every group looks normal, else Kruskal-Wallis; post-hoc pairs when significant."""
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     big = known.groupBy(group).agg(rows().alias("_n")).filter("_n >= 2").drop("_n")
     src = known.join(big, group, "left_semi")
     k = big.count()
-    checked = big.orderBy(group).limit(NORMALITY_GROUPS)
-    normal = normality(src.join(checked, group, "left_semi"), [group], value, alpha).agg(F.bool_and("is_normal")).first()[0]
+    normal = normality(src, [group], value, alpha).agg(F.bool_and("is_normal")).first()[0]
     if normal:
         out = with_f_tail(anova(src, group, value))
         row = _result_row(out, name, "One-way ANOVA", "η² (eta-squared)", VARIANCE_SHARE, alpha)

@@ -54,15 +54,22 @@ def hypothesis_tests(star: Star, cities: list[str] | None = None, min_group: int
     return rows_union(parts)
 
 
-def area_intervals(star: Star, resamples: int = 5_000, top: int = 10, min_group: int = 30) -> DataFrame:
-    """Bootstrap intervals of the mean price for the largest areas of each city."""
+def area_intervals(star: Star, resamples: int = 5_000, top: int = 10, min_group: int = 30, least: int = 3) -> DataFrame:
+    """Bootstrap intervals of the mean price for the largest areas of each city.
+
+    A city is divided by area group where it has at least ``least`` of them, else by neighbourhood; a city with fewer than
+    ``least`` large enough areas is left out.
+    """
     from pyspark.sql import Window
     base = price_base(star)
-    sizes = base.groupBy("city", "neighbourhood_name").agg(rows().alias("_n")).filter(F.col("_n") >= min_group)
-    w = Window.partitionBy("city").orderBy(F.desc("_n"), "neighbourhood_name")
-    largest = sizes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).select("city", "neighbourhood_name")
-    return S.bootstrap_mean(base.join(largest, ["city", "neighbourhood_name"], "left_semi"), ["city", "neighbourhood_name"],
-                            "price_local", "listing_id", resamples)
+    groups = base.groupBy("city").agg(F.count_distinct("neighbourhood_group").alias("_groups"))
+    named = (base.join(F.broadcast(groups), "city")  # one row per city
+             .withColumn("area", F.when(F.col("_groups") >= least, F.col("neighbourhood_group")).otherwise(F.col("neighbourhood_name"))))
+    sizes = named.filter("area IS NOT NULL").groupBy("city", "area").agg(rows().alias("_n")).filter(F.col("_n") >= min_group)
+    w = Window.partitionBy("city").orderBy(F.desc("_n"), "area")
+    ranked = sizes.withColumn("_r", F.row_number().over(w)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("city")))
+    largest = ranked.filter((F.col("_r") <= top) & (F.col("_k") >= least)).select("city", "area")
+    return S.bootstrap_mean(named.join(largest, ["city", "area"], "left_semi"), ["city", "area"], "price_local", "listing_id", resamples)
 
 
 def room_intervals(star: Star, resamples: int = 10_000, min_group: int = 30) -> DataFrame:

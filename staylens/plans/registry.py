@@ -31,12 +31,19 @@ def check_read_only(sql: str) -> str:
 
 
 def ad_hoc_query(spark: SparkSession, star: dict[str, DataFrame], sql: str, rows: int = AD_HOC_ROWS) -> DataFrame:
-    """A read-only statement over views named like the star tables; capped unless it sets its own limit."""
+    """A query over views named like the star tables, at most ``rows`` rows.
+
+    The text is a subquery of ours, so commands do not parse and a limit inside it cannot lift the outer one.  The views
+    are dropped when the plan is made.
+    """
     text = check_read_only(sql)
     for name, df in star.items():
         df.createOrReplaceTempView(name)
-    out = spark.sql(text)
-    return out if re.search(r"\blimit\b", text, re.IGNORECASE) else out.limit(rows)
+    try:
+        return spark.sql(f"SELECT * FROM (\n{text}\n) LIMIT {int(rows)}")
+    finally:
+        for name in star:
+            spark.catalog.dropTempView(name)
 
 
 def run_sql(spark: SparkSession, star: dict[str, DataFrame], name: str | None = None, sql: str | None = None,

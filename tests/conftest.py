@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ def spark():
     from pyspark.sql import SparkSession
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-               .config("spark.driver.memory", "6g").getOrCreate())
+               .config("spark.driver.memory", "6g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

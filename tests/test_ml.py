@@ -84,7 +84,7 @@ def test_models_fit_and_explain(spark, matrix, tmp_path):
     assert total.filter(F.abs(F.col("t") + mean - F.col("yhat")) > 1e-6).count() == 0
     assert A.importance(values).orderBy("rank").first().feature == "a"
     tree = M.estimator("random_forest", numTrees=3, maxDepth=3).fit(data)
-    tv = A.sampled_attribution(tree, matrix, ["a", "b"], sample=20, permutations=2)
+    tv = A.sampled_attribution(tree, matrix, ["a", "b"], sample=20, background=4)
     assert tv.count() == 40
     cases = A.local_explanations(values, M.predict(model, data, ["listing_id"]))
     assert {r.case for r in cases.select("case").collect()} == {"cheapest", "dearest", "best", "worst", "middle"}
