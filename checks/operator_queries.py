@@ -187,17 +187,17 @@ op("impute_missing", lambda s, d: cleaning.fill_missing(table(s, d, "part").sele
    "if(p_partkey % 7 <> 1, p_retailprice, NULL) pr, if(p_partkey % 5 <> 1, p_name, NULL) nm, if(p_partkey % 6 <> 2, p_size, NULL) st FROM part)")
 op("join_master", lambda s, d: enrich.join_master(
     table(s, d, "part").select(F.col("p_partkey").alias("listing_id"), "p_name"),
-    enrich.calendar_by_listing(table(s, d, "lineitem").filter("l_quantity > 40").select(
+    enrich.calendar_by_listing(table(s, d, "lineitem").select(
         F.col("l_partkey").alias("listing_id"), (F.col("l_returnflag") == "N").alias("available"), F.col("l_extendedprice").alias("price"))),
     None, None).select("listing_id", "p_name", "total_days", "days_booked", "occupancy_rate_pct"),
    f"SELECT p_partkey listing_id, p_name, n total_days, b::BIGINT days_booked, {R('b * 100e0 / n', 2)} occupancy_rate_pct FROM part LEFT JOIN (SELECT l_partkey, count(*) n, "
-   "count(*) FILTER (l_returnflag <> 'N') b FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_partkey = p_partkey")
+   "count(*) FILTER (l_returnflag <> 'N') b FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 op("hot_key_join", lambda s, d: join_to_unique(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 3 == 0, F.lit(7).cast("long"))
-                                                                              .when(F.col("l_suppkey") % 3 == 1, F.col("l_suppkey")).alias("s_suppkey"), "l_quantity"),
-                                               table(s, d, "supplier").filter("s_suppkey % 5 <> 4").select("s_suppkey", "s_name"), ["s_suppkey"], hot_rows=3000)
+                                                                              .when(F.col("l_suppkey") % 5 == 4, -F.col("l_suppkey")).when(F.col("l_suppkey") % 3 == 1, F.col("l_suppkey")).alias("s_suppkey"), "l_quantity"),
+                                               table(s, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"], hot_rows=3000)
    .groupBy("s_suppkey", "s_name").agg(rows().alias("n"), F.sum("l_quantity").alias("quantity")),
-   "SELECT k s_suppkey, s_name, count(*) n, sum(l_quantity) quantity FROM (SELECT CASE l_suppkey % 3 WHEN 0 THEN 7 WHEN 1 THEN l_suppkey END k, l_quantity FROM lineitem) "
-   "LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 4) ON s_suppkey = k GROUP BY 1, 2")
+   "SELECT k s_suppkey, s_name, count(*) n, sum(l_quantity) quantity FROM (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 7 WHEN l_suppkey % 5 = 4 THEN -l_suppkey WHEN l_suppkey % 3 = 1 THEN l_suppkey END k, l_quantity FROM lineitem) "
+   "LEFT JOIN supplier ON s_suppkey = k GROUP BY 1, 2")
 op("area_reference", lambda s, d: enrich.neighbourhood_reference(silver(s, d, "neighbourhoods"), ["city"]),
    "SELECT DISTINCT city, neighbourhood neighbourhood_name, neighbourhood_group FROM s_neighbourhoods")
 op("surrogate_keys", lambda s, d: ordering.dense_keys(table(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "row_key"),
@@ -355,9 +355,9 @@ op("large_sample_per_group", lambda s, d: D.sample_rows(table(s, d, "orders"), "
 op("sample_values", lambda s, d: profiling.sample_values(raw(s, d, "listings"), ["name", "price", "license"]))
 op("dedupe_rows", lambda s, d: silver(s, d, "listings").groupBy("host_id", "city").agg(F.min("id").alias("id")),
    "SELECT host_id, city, min(id) id FROM s_listings GROUP BY 1, 2")
-op("sorted_nulls_last", lambda s, d: silver(s, d, "listings").select("id", "review_scores_rating").orderBy(
-    F.asc_nulls_last("review_scores_rating"), F.asc_nulls_last("id")).limit(200),
-   f"SELECT id, {R('review_scores_rating', 4)} review_scores_rating FROM s_listings ORDER BY s_listings.review_scores_rating NULLS LAST, id NULLS LAST LIMIT 200")
+op("sorted_nulls_last", lambda s, d: ordering.positions(silver(s, d, "listings").select("city", "id", "review_scores_rating"), [],
+                                                       [F.asc_nulls_last("review_scores_rating"), F.asc_nulls_last("id"), F.asc_nulls_last("city")]),
+   f"SELECT city, id, {R('review_scores_rating', 4)} review_scores_rating, row_number() OVER (ORDER BY review_scores_rating NULLS LAST, id NULLS LAST, city NULLS LAST) AS position FROM s_listings")
 
 # ---- unions ---------------------------------------------------------------------------------------------
 op("union_dates", lambda s, d: table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("d")).unionAll(
@@ -390,17 +390,19 @@ op("distinct_rows", lambda s, d: silver(s, d, "listings").select("city", "neighb
 def _by_city(s, d):
     g = silver(s, d, "listings")
     return {"amsterdam": g.filter("city = 'amsterdam'").select("id", "price", "license", "city"),
-            "barcelona": g.filter("city = 'barcelona'").select("id", F.col("price").cast("string").alias("price"), "beds", "city")}
+            "barcelona": g.filter("city = 'barcelona'").select("id", F.col("price").cast("string").alias("price"), "beds", "city"),
+            "new_york_city": g.filter("city = 'new_york_city'").select("id", "price", "beds", "city")}
 
 
-_HARM = """SELECT 'listings' file_type, * FROM (VALUES ('id', 'amsterdam,barcelona', true, true), ('price', 'amsterdam,barcelona', true, false),
- ('license', 'amsterdam', false, true), ('beds', 'barcelona', false, true), ('city', 'amsterdam,barcelona', true, true)) t(column_name, present_in, common, consistent_type)"""
+_HARM = """SELECT 'listings' file_type, * FROM (VALUES ('id', 'amsterdam,barcelona,new_york_city', true, true), ('price', 'amsterdam,barcelona,new_york_city', true, false),
+ ('license', 'amsterdam', false, true), ('beds', 'barcelona,new_york_city', false, true), ('city', 'amsterdam,barcelona,new_york_city', true, true)) t(column_name, present_in, common, consistent_type)"""
 _NULLS = {"nl": " UNION ALL ".join(f"SELECT '{c}' cname, {R(f'(count(*) - count({c})) * 100e0 / count(*)', 2)} pct FROM s_listings WHERE city = '{t}'"
-                                   for t, cs in (("amsterdam", ("id", "price", "license", "city")), ("barcelona", ("id", "price", "beds", "city"))) for c in cs)}
+                                   for t, cs in (("amsterdam", ("id", "price", "license", "city")), ("barcelona", ("id", "price", "beds", "city")), ("new_york_city", ("id", "price", "beds", "city"))) for c in cs)}
 op("schema_comparison", lambda s, d: harmonize.harmonization_report({k: {"listings": v} for k, v in _by_city(s, d).items()})["presence"],
    f"SELECT h.*, n.lo min_null_pct, n.hi max_null_pct FROM ({_HARM}) h JOIN (SELECT cname, min(pct) lo, max(pct) hi FROM nl GROUP BY 1) n ON n.cname = h.column_name", _NULLS)
 op("schema_comparison_summary", lambda s, d: harmonize.harmonization_report({k: {"listings": v} for k, v in _by_city(s, d).items()})["summary"],
-   "SELECT 'listings' file_type, 5 total_unique_columns, 3 common_columns, 2 city_specific_columns, 1 type_inconsistencies")
+   f"SELECT file_type, count(*) total_unique_columns, count(*) FILTER (common) common_columns, count(*) FILTER (NOT common) city_specific_columns, "
+   f"count(*) FILTER (NOT consistent_type) type_inconsistencies FROM ({_HARM}) WHERE column_name IN (SELECT cname FROM nl) GROUP BY 1", _NULLS)
 op("file_sizes", lambda s, d: harmonize.file_sizes(readers.list_files(s, d, "*.parquet"), r"([^/]+)\.parquet$"))
 
 # ---- quality -------------------------------------------------------------------------------------------
@@ -571,12 +573,12 @@ def _union_scan(s, d):
     base = _scratch(s, d, "union")
     g = silver(s, d, "listings")
     paths = []
-    for city, cols in (("amsterdam", ["id", "price"]), ("barcelona", ["id", "price", "license"])):
+    for city, cols in (("amsterdam", ["id", "price"]), ("barcelona", ["id", "price", "license"]), ("new_york_city", ["id", "price"])):
         paths.append(sinks.write_table(g.filter(F.col("city") == city).select(*cols), f"{base}/staging/{city}/listings.parquet"))
     return readers.scan_union_by_name(s, paths, r"staging/([^/]+)/").select("city", "id", "price", "license")
 
 
-op("scan_union_by_name", _union_scan, "SELECT city, id, price, if(city = 'barcelona', license, NULL) license FROM s_listings WHERE city IN ('amsterdam', 'barcelona')")
+op("scan_union_by_name", _union_scan, "SELECT city, id, price, if(city = 'barcelona', license, NULL) license FROM s_listings")
 
 
 def _split_sink(s, d):

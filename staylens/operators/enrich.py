@@ -8,7 +8,6 @@ from .. import settings
 from ..functions.parsing import first_present
 from ..functions.rounding import ratio, stable_round
 from ..sources.readers import city_context
-from .ordering import join_groups, medians
 
 AREA_NAMES = ["neighbourhood_cleansed", "neighbourhood_name", "neighbourhood"]
 USD_COLUMNS = ["price_local", "avg_asking_price", "median_asking_price", "avg_booked_price",
@@ -49,6 +48,7 @@ def calendar_by_listing(calendar: DataFrame, keys: list[str] = ["listing_id"]) -
         # the sum over no rows is 0
         aggs["estimated_annual_revenue"] = F.coalesce(F.sum(F.when(taken, F.col(price))), F.lit(0.0))
         aggs["avg_booked_price"] = F.avg(F.when(taken, F.col(price)))
+        aggs["median_asking_price"] = _median(F.when(free, F.col(price)))
     adjusted = first_present(calendar, ["adjusted_price", "adjusted_price_local"])
     if adjusted:
         aggs["avg_adjusted_asking_price"] = F.avg(F.when(free, F.col(adjusted)))
@@ -58,7 +58,6 @@ def calendar_by_listing(calendar: DataFrame, keys: list[str] = ["listing_id"]) -
     out = calendar.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     out = out.withColumn("occupancy_rate_pct", stable_round(ratio("days_booked", "total_days", 100), 2))
     if price:
-        out = join_groups(out, medians(calendar, keys, {"median_asking_price": F.when(free, F.col(price))}), keys)
         out = out.withColumn("estimated_monthly_revenue", monthly_revenue("avg_booked_price"))
     return out
 
@@ -67,6 +66,11 @@ def monthly_revenue(price: str) -> Column:
     return stable_round(F.col("occupancy_rate_pct") / 100.0 * F.col(price) * 30, 2)
 
 
+def _median(value: Column) -> Column:
+    """Exact median in the same aggregate as the other measures; its state is the distinct values (prices, lengths) of a group."""
+    return F.percentile(value.cast("double"), 0.5)
+
+
 def reviews_by_listing(reviews: DataFrame, keys: list[str] = ["listing_id"]) -> DataFrame:
     """Review count, first and last date, reviewers, comment lengths per listing."""
     _require(reviews, [*keys, "date"], "reviews")
@@ -75,13 +79,10 @@ def reviews_by_listing(reviews: DataFrame, keys: list[str] = ["listing_id"]) ->
     if "reviewer_id" in reviews.columns:
         # an unknown reviewer counts as one more reviewer
         aggs["unique_reviewers"] = F.count_distinct("reviewer_id") + F.max(F.col("reviewer_id").isNull().cast("long"))
-    with_text = "comments" in reviews.columns
-    if with_text:
+    if "comments" in reviews.columns:
         aggs["avg_comment_length"] = stable_round(F.avg(F.length("comments")), 0)
-    out = reviews.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    if with_text:
-        out = join_groups(out, medians(reviews, keys, {"median_comment_length": F.length("comments")}), keys)
-    return out
+        aggs["median_comment_length"] = _median(F.length("comments"))
+    return reviews.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
 def neighbourhood_reference(neighbourhoods: DataFrame, within: list[str] = []) -> DataFrame | None:
@@ -108,9 +109,9 @@ def area_benchmarks(listings: DataFrame, reference: DataFrame | None = None, wit
         aggs["neighbourhood_avg_rating"] = stable_round(F.avg("review_scores_rating"), 2)
     if "availability_365" in src.columns:
         aggs["neighbourhood_avg_availability"] = stable_round(F.avg("availability_365"), 1)
-    out = src.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     if price:
-        out = join_groups(out, medians(src, keys, {"neighbourhood_median_price": price}), keys)
+        aggs["neighbourhood_median_price"] = _median(F.col(price))
+    out = src.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     if reference is not None:
         ref = reference.withColumnRenamed("neighbourhood_name", "neighbourhood_cleansed")
         out = out.join(ref, keys, "left")
