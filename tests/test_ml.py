@@ -86,7 +86,7 @@ def test_models_fit_and_explain(spark, matrix, tmp_path):
     tree = M.estimator("random_forest", numTrees=3, maxDepth=3).fit(data)
     tv = A.sampled_attribution(tree, matrix, ["a", "b"], sample=20, background=4)
     assert tv.count() == 40
-    cases = A.local_explanations(values, M.predict(model, data, ["listing_id"]))
+    cases = A.explain_cases(model, matrix, ["a", "b"], M.predict(model, data, ["listing_id"]))
     assert {r.case for r in cases.select("case").collect()} == {"cheapest", "dearest", "best", "worst", "middle"}
     result = M.train_experiment(data, {"ridge": {"search": "grid", "grid": {"regParam": [0.0, 10.0]}}}, folds=3)
     assert result["best"] == "ridge" and result["params"]["ridge"]["regParam"] == 0.0

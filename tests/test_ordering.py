@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staylens.operators import ordering as O
+from staylens.operators.joins import join_to_unique
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,30 @@ def test_hot_keys_keep_every_row(spark, skewed, limit):
     right = spark.createDataFrame([("hot", 1), ("g8", 2)], "g string, v int")
     got = join_to_unique(skewed, right, ["g"], limit)
     assert rowset(got.select("id", "g", "v")) == rowset(skewed.join(right, "g", "left").select("id", "g", "v"))
+
+
+GAPS = [("a", 1, None), ("a", 2, 2.0), ("a", 3, None), ("a", 4, 2.0), ("b", 1, None), ("b", 2, None), (None, 1, 5.0), (None, 2, None), ("c", 1, 1.0)]
+
+
+@pytest.mark.parametrize("rows", [GAPS, []])
+@pytest.mark.parametrize("group", [["g"], []])
+def test_both_forms_agree_on_gaps(spark, rows, group):
+    df = spark.createDataFrame(rows, "g string, id long, x double").repartition(5)
+    specs = {"median": ("x", .5), "top": ("x", 1.0)}
+    plain, spread = (O.exact_quantiles(df, group, specs, True, limit).collect() for limit in (10, 0))
+    assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, spread), key=str)
+    if not rows and not group:
+        assert [tuple(r) for r in spread] == [(None, None, 0, 0)]
+    plain, spread = (O.running_totals(df, group, ["g", "id"], {"t": "x"}, limit).select("g", "id", "t").collect() for limit in (10, 0))
+    assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, spread), key=str)
+    for f in (lambda n: O.tie_ranks(df, group, "x", n), lambda n: O.positions(df, group, ["g", "id"], "at", n).select("g", "id", "at"),
+              lambda n: O.dense_keys(df, ["g", "id"], "k", n).select("k", "g", "id")):
+        assert sorted(map(tuple, f(10).collect()), key=str) == sorted(map(tuple, f(0).collect()), key=str)
+
+
+def test_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([(1, "p"), (2, "q"), (None, "r"), (None, "s")], "k long, v string")
+    right = spark.createDataFrame([(1, "one"), (None, "never")], "k long, name string")
+    for hot in (10, 0):
+        got = {(r.k, r.v, r.name) for r in join_to_unique(left, right, ["k"], hot).collect()}
+        assert got == {(1, "p", "one"), (2, "q", None), (None, "r", None), (None, "s", None)}
