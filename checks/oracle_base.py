@@ -9,7 +9,7 @@ from staylens import settings
 
 from . import testbed
 
-GUARD = "0.500123457e0"
+GUARD = "0.500001e0"
 
 
 def R(x: str, digits: int = 0) -> str:

@@ -14,6 +14,9 @@ log = logging.getLogger(__name__)
 # fixed values: file stem -> logical table
 FILE_TYPES = {"listings": "listings", "calendar": "calendar", "reviews": "reviews",
               "neighbourhoods": "neighbourhoods", "neighborhoods": "neighbourhoods"}
+# fixed values: columns that guests and hosts write themselves
+FREE_TEXT = frozenset(["name", "description", "neighborhood_overview", "neighbourhood_overview", "host_about", "host_name", "host_location",
+                       "reviewer_name", "comments", "license", "amenities", "summary", "notes", "house_rules"])
 
 
 def blank_tokens_to_null(df: DataFrame, tokens: list[str] = settings.NULL_TOKENS) -> DataFrame:
@@ -21,16 +24,21 @@ def blank_tokens_to_null(df: DataFrame, tokens: list[str] = settings.NULL_TOKENS
     return df.withColumns({c: F.when(~F.col(c).isin(tokens), F.col(c)) for c in strings})
 
 
+def has_free_text(columns: list[str]) -> bool:
+    """Whether a value may hold line breaks; only then must one file be one task."""
+    return bool(FREE_TEXT.intersection(columns))
+
+
 def read_raw(spark: SparkSession, path, columns: list[str] | None = None, spread: int | None = None) -> DataFrame:
     """CSV or CSV.GZ with a header; every column text, no type inference.
 
     Without ``columns`` the names come from the header line alone (one line is read).  A gzip file is one task,
     so ``spread`` hands its rows to that many partitions right after the read.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("mode", "PERMISSIVE"))
     if columns is None:
         columns = header_of(spark, path)
+    reader = (spark.read.option("header", True).option("multiLine", has_free_text(columns)).option("escape", '"')
+              .option("mode", "PERMISSIVE"))
     df = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
     if spread:
         df = df.repartition(spread)

@@ -6,17 +6,21 @@ from pyspark.sql import types as T
 
 from ..operators.cleaning import clean
 from ..operators.ordering import ensure_checkpoint_dir
+from ..sources.readers import has_free_text
 
 
-def raw_stream(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int | None = None,
+def raw_stream(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int | None = 1,
                fmt: str = "csv") -> DataFrame:
-    """New raw files below ``folder`` as a stream of text columns."""
+    """New raw files below ``folder`` as a stream of text columns.
+
+    One file per batch unless said otherwise: medians that fill gaps are then those of the file, whatever else has arrived.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", has_free_text(columns)).option("escape", '"')
     return reader.format(fmt).load(folder)
 
 
