@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, stored
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 5_000
-LEAST_DOCS = 8
+TRAIN_ROWS = 6_000
+LEAST_DOCS = 6
+FEATURES = 10_000
 STEMS = (3, 4, 5, 6, 7)
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
 _BREAK = frozenset(".!?\n")
@@ -80,13 +81,34 @@ class Model:
         return float(total), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
-def _bags(sample: DataFrame) -> pd.DataFrame:
-    """label, buckets (flat) and sizes of the sentences of each sampled document; reaches the driver, bounded by the sample."""
+def _chosen_buckets(sample: DataFrame, least_docs: int, features: int) -> np.ndarray:
+    """The ``features`` buckets whose presence in a document depends most on its label (chi-squared), in a fixed order."""
     def run(batches):
+        for b in batches:
+            seen = np.zeros((2, BUCKETS), np.int32)
+            for label, text in zip(b["label"], b["text"]):
+                seen[label, list({x for s in sentences(text)[0] for w in set(s) for x in buckets(w)})] += 1
+            used = np.flatnonzero(seen.any(axis=0))
+            yield pd.DataFrame({"bucket": used, "clean": seen[0, used], "toxic": seen[1, used]})
+
+    n = dict(sample.groupBy("label").count().collect())
+    counts = (sample.select("label", "text").mapInPandas(run, "bucket int, clean long, toxic long").groupBy("bucket")
+              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= least_docs).toPandas())
+    c, t = counts["clean"].to_numpy(float), counts["toxic"].to_numpy(float)
+    rest = (n[0] - c, n[1] - t)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num((t * rest[0] - c * rest[1]) ** 2 / ((c + t) * (rest[0] + rest[1])))
+    return counts["bucket"].to_numpy()[np.lexsort((counts["bucket"], -chi))[:features]]
+
+
+def _bags(sample: DataFrame, chosen: np.ndarray) -> pd.DataFrame:
+    """label, chosen buckets (flat) and their number in each sentence of each sampled document; bounded by the sample."""
+    def run(batches):
+        keep = frozenset(chosen.tolist())
         for b in batches:
             rows = []
             for label, text in zip(b["label"], b["text"]):
-                bags = [[b for w in dict.fromkeys(s) for b in buckets(w)] for s in sentences(text)[0]]
+                bags = [[x for w in dict.fromkeys(s) for x in buckets(w) if x in keep] for s in sentences(text)[0]]
                 rows.append((label, [x for s in bags for x in s], [len(s) for s in bags]))
             yield pd.DataFrame(rows, columns=["label", "items", "sizes"])
 
@@ -94,28 +116,27 @@ def _bags(sample: DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS, least_docs: int = LEAST_DOCS,
-        rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4) -> Model:
+        features: int = FEATURES, rounds: int = 150, rate: float = 0.05, ridge: float = 0.4) -> Model:
     """Maximum likelihood with a ridge penalty, by Adam, on at most ``train_rows`` labelled documents.
 
-    Words of fewer than ``least_docs`` sampled documents have no weight.  Without both labels there is nothing to learn:
+    Only the ``features`` words and stems that depend most on the label, of ``least_docs`` sampled documents or more, have
+    a weight; what reaches the driver is bounded by them and by the sample.  Without both labels there is nothing to learn:
     the score of every sentence is then 0 (or 1 where all labels are 1).
     """
-    bags = _bags(labelled_sample(docs, labels, "toxic", mod, held, train_rows))
+    sample = stored(labelled_sample(docs, labels, "toxic", mod, held, train_rows), "toxicity-sample")
+    known = {r["label"] for r in sample.select("label").distinct().collect()}
+    if len(known) < 2:
+        return Model({}, 30.0 if known == {1} else -30.0)
+    chosen = _chosen_buckets(sample, least_docs, features)
+    bags = _bags(sample, chosen)
     y = bags["label"].to_numpy(float)
-    if len(set(y)) < 2:
-        return Model({}, 30.0 if len(y) and y[0] else -30.0)
     flat = np.concatenate([np.asarray(x, np.int32) for x in bags["items"]])
     sizes = np.concatenate([np.asarray(x, np.int32) for x in bags["sizes"]])
     doc_of = np.repeat(np.arange(len(y)), bags["sizes"].map(len))
-    docs_with = np.zeros(BUCKETS, np.int32)
-    for x in bags["items"]:
-        docs_with[np.unique(np.asarray(x, np.int32))] += 1
-    frequent = np.flatnonzero(docs_with >= least_docs)
-    code = np.full(BUCKETS, -1, np.int32)
-    code[frequent] = np.arange(len(frequent))
-    use = code[flat] >= 0
-    item, owner = code[flat][use], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[use]
-    n, m = len(sizes), len(frequent)
+    code = np.zeros(BUCKETS, np.int32)
+    code[chosen] = np.arange(len(chosen))
+    item, owner = code[flat], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    n, m = len(sizes), len(chosen)
     w, b = np.zeros(m), np.log(max(y.mean(), 1e-3) * len(y) / n)
     moments = [np.zeros(m + 1), np.zeros(m + 1)]
     for t in range(1, rounds + 1):
@@ -123,11 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, train_r
         safe = np.bincount(doc_of, np.log1p(-p), len(y))  # log of the chance that no sentence is toxic
         blame = np.where(y == 1, np.exp(safe) / -np.expm1(np.minimum(safe, -1e-12)), -1.0)
         d = blame[doc_of] * p
-        g = np.append(np.bincount(item, d[owner], m), d.sum()) / len(y) - ridge * np.append(w, 0.0)
+        g = np.append(np.bincount(item, d[owner], m), d.sum()) / len(y) - ridge / len(y) * np.append(w, 0.0)
         moments = [0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g * g]
         step = rate * (moments[0] / (1 - 0.9 ** t)) / (np.sqrt(moments[1] / (1 - 0.999 ** t)) + 1e-8)
         w, b = w + step[:-1], b + step[-1]
-    return Model({int(k): float(x) for k, x in zip(frequent, w) if abs(x) > 1e-4}, float(b))
+    return Model({int(k): float(x) for k, x in zip(chosen, w) if abs(x) > 1e-4}, float(b))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
