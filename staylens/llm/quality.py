@@ -19,21 +19,20 @@ from .common import labelled_sample
 
 SLOTS, WIDTH, REACH = 1 << 14, 32, 2
 TRAIN_ROWS = 8_000
-_BATCH = 1 << 16
+_BATCH = 1 << 17
 _KEEP = 300_000
 _RUNS = re.compile(r"([A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+)")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def index_vectors(slots: int = SLOTS, width: int = WIDTH) -> np.ndarray:
-    """Four signs per slot, drawn once from a fixed seed."""
-    rng, out = np.random.default_rng(5), np.zeros((slots, width), np.int8)
-    places = rng.permuted(np.tile(np.arange(width), (slots, 1)), axis=1)[:, :4]
-    out[np.arange(slots)[:, None], places] = rng.choice([-1, 1], (slots, 4))
-    return out
+def index_places(slots: int = SLOTS, width: int = WIDTH) -> np.ndarray:
+    """The places of each slot's index vector: +1 at the first two, -1 at the other two, drawn once from a fixed seed."""
+    return np.random.default_rng(5).permuted(np.tile(np.arange(width), (slots, 1)), axis=1)[:, :4]
 
 
 def _shape(token: str) -> str:
+    if token.isalpha():
+        return "Aa" if token.istitle() and len(token) > 1 else "A" if token.isupper() else "a" if token.islower() else "Aaa"
     return "".join(m[0] if m.isascii() and not m.isalnum() else "A" if m.isupper() else "0" if m.isdigit() else "a"
                    for m in _RUNS.findall(token))[:12]
 
@@ -42,18 +41,22 @@ class Slots:
     """Tokens to (word slot, shape slot, shape slot if repeated), remembered up to a bound."""
 
     def __init__(self, slots: int = SLOTS):
-        self.slots, self.seen = slots, {}
+        self.slots, self.seen, self.shapes = slots, {}, {}
 
     def of(self, token: str) -> int:
-        word, shape = token.strip(_EDGE).lower() or token, _shape(token)
-        at = [zlib.crc32(x.encode()) % self.slots for x in ("w" + word, "s" + shape, "r" + shape)]
-        return (at[0] * self.slots + at[1]) * self.slots + at[2]
+        plain = token.isalpha() and token.islower()  # most tokens: their shape is one run of lower-case letters
+        word, shape = (token, "a") if plain else (token.strip(_EDGE).lower() or token, _shape(token))
+        at = self.shapes.get(shape)
+        if at is None:
+            at = self.shapes[shape] = (zlib.crc32(("s" + shape).encode()) % self.slots) * self.slots + zlib.crc32(("r" + shape).encode()) % self.slots
+        return zlib.crc32(word.encode()) % self.slots * self.slots * self.slots + at
 
     def items(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Word slots and shape slots of a text's tokens."""
         tokens = (text or "").split()
         if len(self.seen) > _KEEP:
             self.seen.clear()
+            self.shapes.clear()
         try:
             codes = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
         except KeyError:
@@ -66,23 +69,24 @@ class Slots:
         return codes // (self.slots * self.slots), np.where(same, codes % self.slots, codes // self.slots % self.slots)
 
 
-def _contexts(ids: np.ndarray, vectors: np.ndarray, sums: np.ndarray) -> None:
+def _contexts(ids: np.ndarray, places: np.ndarray, sums: np.ndarray) -> None:
     """Add each item's neighbours' index vectors to ``sums``; -1 marks a gap that no context crosses."""
-    padded = np.concatenate([np.full(REACH, -1), ids, np.full(REACH, -1)])
-    v = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.int8)]).astype(np.int16)[padded]
-    around = sum(v[REACH + k:len(v) - REACH + k] for k in range(-REACH, REACH + 1) if k)
-    order = np.argsort(ids, kind="stable")
-    order = order[np.searchsorted(ids[order], 0):]
-    if len(order):
-        slot = ids[order]
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        sums[slot[first]] += np.add.reduceat(around[order].astype(np.int64), first, axis=0)
+    slots, width = sums.shape
+    size = (slots + 1) * width  # the last row takes what has no item or no neighbour
+    added = np.zeros(size, np.int64)
+    for k in range(1, REACH + 1):
+        a, b = ids[:-k], ids[k:]
+        known = (a >= 0) & (b >= 0)
+        for item, near in ((a, b), (b, a)):
+            codes = np.where(known, item, slots)[:, None] * width + places[near]
+            added += np.bincount(codes[:, :2].ravel(), minlength=size) - np.bincount(codes[:, 2:].ravel(), minlength=size)
+    sums += added[:-width].reshape(slots, width)
 
 
 def word_vectors(docs: DataFrame, slots: int = SLOTS, width: int = WIDTH) -> np.ndarray:
     """Normalized context vectors over all of ``docs``: a bounded table of ``slots`` rows."""
     def run(batches):
-        table, vectors = Slots(slots), index_vectors(slots, width)
+        table, places = Slots(slots), index_places(slots, width)
         sums, gap, held, n = np.zeros((slots, width), np.int64), np.full(REACH, -1), [], 0
         for b in batches:
             for t in b["text"]:
@@ -90,10 +94,10 @@ def word_vectors(docs: DataFrame, slots: int = SLOTS, width: int = WIDTH) -> np.
                 held += [w, gap, s, gap]
                 n += 2 * len(w)
                 if n > _BATCH:
-                    _contexts(np.concatenate(held), vectors, sums)
+                    _contexts(np.concatenate(held), places, sums)
                     held, n = [], 0
         if held:
-            _contexts(np.concatenate(held), vectors, sums)
+            _contexts(np.concatenate(held), places, sums)
         used = np.flatnonzero(sums.any(axis=1))
         yield pd.DataFrame({"slot": used} | {f"v{i}": sums[used, i] for i in range(width)})
 
@@ -127,7 +131,9 @@ class Model:
             if not len(ids):
                 return np.zeros(4 * width + 3, np.float32)
             v = self.vectors[ids]
-            parts += [v.mean(axis=0), v.std(axis=0), [(v[1:] * v[:-1]).sum() / max(len(v) - 1, 1)]]
+            mean = v.mean(axis=0)
+            spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, v) / len(v) - mean * mean, 0))
+            parts += [mean, spread, [np.einsum("ij,ij->", v[1:], v[:-1]) / max(len(v) - 1, 1)]]
         return np.concatenate([*parts, [np.log1p(len(ids))]]).astype(np.float32)
 
     def logits(self, x: np.ndarray) -> np.ndarray:

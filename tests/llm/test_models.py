@@ -198,10 +198,13 @@ def test_training_rows_are_the_right_ones(spark):
 
 
 def test_contexts_by_loops():
-    v = quality.index_vectors(16, 8)
+    places = quality.index_places(16, 8)
+    v = np.zeros((16, 8), int)
+    for i, p in enumerate(places):
+        v[i, p] = [1, 1, -1, -1]
     ids = np.array([3, 5, 3, -1, -1, 7, 3])
     sums = np.zeros((16, 8), np.int64)
-    quality._contexts(ids, v, sums)
+    quality._contexts(ids, places, sums)
     want = np.zeros_like(sums)
     for i, x in enumerate(ids):
         for j in range(max(0, i - 2), min(len(ids), i + 3)):
@@ -266,13 +269,16 @@ def test_pipeline_on_hard_rows(spark, tmp_path):
     tails = ["".join(f" {x}{chr(97 + i % 26)}{chr(99 + i // 26)}" for i in range(90)) for x in ("tail", "other")]
     rows = [(1, words + tails[0], "en"), (2, words + tails[1], "en"), (3, None, "en"), (4, "", None), (5, "12 34", "en"), (None, "a text of its own without id", "en"),
             (6, "an exact copy that is here twice", "en"), (7, "an exact copy that is here twice", "en"), (6, "an exact copy that is here twice", "en"), (8, "start secret test item words end", "en")]
-    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), "extra") for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    own = ("extra", "own", "old", "mine")
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), *own) for i, t, g in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, fp string, score string, kept string, n_removed string")
     spark.createDataFrame([(1, "Secret test item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = common.stored(stage(spark, now, str(tmp_path)), name)
     got = {r["doc_id"]: r["text"] for r in now.collect()}
     assert set(got) == {1, 2, None, 6} and now.columns == docs.columns
+    assert {tuple(r)[5:] for r in now.collect()} == {own} and all(r["n_chars"] == len(r["text"]) for r in now.collect())
     assert "wordaa" not in got[1] and got[1].endswith(tails[0][-40:]) and got[6] == rows[6][1]
     assert corpus_pipeline.pack(spark, now, str(tmp_path)).select("doc_id").distinct().count() == 4
     for name, stage in corpus_pipeline.STAGES:
