@@ -33,7 +33,7 @@ SHARD_PHRASES = 10_000
 _BASE, _OTHER_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 _POSITION_BITS = 23
 _CHUNK = 1 << 22
-_SHARD_BYTES = 2_000_000
+_SHARD_BYTES = 200_000
 
 
 def _table(seed: int) -> np.ndarray:
@@ -97,7 +97,12 @@ def parse(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 
 def _phrases(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(trigger, phrase, doc_key, place): ``place`` packs the document's tag, the first window and the window count."""
+    """(trigger, phrase, n, windows, doc_key, place): ``place`` packs the document's tag and the first window.
+
+    A phrase is one row for each document, with its ``n`` occurrences there.  If there are several, they are repeats
+    already: their windows, joined into runs, are rows of n = 0, dealt by a hash of the document.  So text that repeats
+    itself, however often, gives a few rows and no common key.
+    """
     def run(batches):
         for b in batches:
             rows = []
@@ -106,11 +111,23 @@ def _phrases(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if raw is None or len(raw) < length:
                     continue
                 trigger, phrase, first, count = parse(np.frombuffer(raw, np.uint8), length, gram)
-                rows.append((trigger.view(np.int64), phrase.view(np.int64), np.full(len(first), key), (np.int64(tag) << 40) | (first << 8) | (count - 1)))
+                order = np.lexsort((first, phrase, trigger))
+                t, p = trigger[order], phrase[order]
+                head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])]))
+                n = np.diff(np.concatenate([head, [len(order)]]))
+                at = order[head]
+                again = np.sort(order[np.repeat(n > 1, n)])
+                runs = np.flatnonzero(np.concatenate([[True], first[again][1:] != (first + count)[again][:-1]])) if len(again) else again
+                lo = first[again][runs]
+                size = np.add.reduceat(count[again], runs) if len(again) else lo
+                own = _mix(np.arange(len(lo), dtype=np.uint64) + trigger[:1] + np.uint64(tag)).view(np.int64)
+                rows.append((np.concatenate([trigger[at].view(np.int64), own]), np.concatenate([phrase[at].view(np.int64), np.zeros(len(lo), np.int64)]),
+                             np.concatenate([n, np.zeros(len(lo), np.int64)]), np.concatenate([count[at], size]), np.full(len(at) + len(lo), key),
+                             (np.int64(tag) << 40) | np.concatenate([first[at], lo])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["trigger", "phrase", "doc_key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["trigger", "phrase", "n", "windows", "doc_key", "place"])
 
-    return docs.mapInArrow(run, "trigger long, phrase long, doc_key long, place long")
+    return docs.mapInArrow(run, "trigger long, phrase long, n long, windows long, doc_key long, place long")
 
 
 def _tag(place: Column) -> Column:
@@ -118,11 +135,7 @@ def _tag(place: Column) -> Column:
 
 
 def _first(place: Column) -> Column:
-    return F.shiftright(place, 8).bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def _windows(place: Column) -> Column:
-    return place.bitwiseAND(F.lit(255)) + 1
+    return place.bitwiseAND(F.lit((1 << 40) - 1))
 
 
 def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -203,18 +216,21 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """(doc_key, tag, start, end): byte ranges of ``docs`` (see ``_keyed``) made of repeated windows; they may overlap."""
     phrases = _phrases(docs, length, gram)
-    again = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("trigger")
-    parsed = stored(phrases.join(again, "trigger"), "phrases")
-    words = parsed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_key", "place")).alias("at"))
-    place = F.col("place")
-    copies = (parsed.join(words.filter("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])
-              .select("doc_key", _tag(place).alias("tag"), _first(place).alias("start"), (_first(place) + _windows(place) + (length - 1)).alias("end")))
+    # stored, so that both sides of the join are plain exchanges and the rows of a very common trigger can be split
+    again = stored(phrases.groupBy("trigger").agg(F.sum("n").alias("all")).filter("all > 1").select("trigger", F.lit(True).alias("known")), "triggers")
+    parsed = stored(phrases.join(again, "trigger", "left").filter("known OR n = 0").drop("known"), "phrases")
+    words = (parsed.filter("n > 0").groupBy("trigger", "phrase")
+             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_key", "place", "windows")).alias("at")))
+    place, windows = F.col("place"), F.col("windows")
+    across = parsed.filter("n = 1").join(words.filter("docs > 1").select("trigger", "phrase"), ["trigger", "phrase"])
+    copies = (across.select("doc_key", "place", "windows").union(parsed.filter("n = 0").select("doc_key", "place", "windows"))
+              .select("doc_key", _tag(place).alias("tag"), _first(place).alias("start"), (_first(place) + windows + (length - 1)).alias("end")))
     shared = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     place = F.col("at.place")
     entries = stored(words.join(shared, "trigger").select(
         "trigger", "n", F.ceil(F.col("k") / shard_phrases).cast("int").alias("shards"),
         F.pmod(F.col("phrase"), F.ceil(F.col("k") / shard_phrases)).cast("int").alias("salt"), F.col("at.doc_key").alias("doc_key"),
-        _tag(place).alias("tag"), _first(place).alias("first"), _windows(place).alias("windows")), "dictionary")
+        _tag(place).alias("tag"), _first(place).alias("first"), F.col("at.windows").alias("windows")), "dictionary")
     cut = F.expr(f"substring(text, CAST(first AS INT) + 1, CAST(windows AS INT) + {length - 1})")
     texts = docs.join(entries, ["doc_key", "tag"]).select("trigger", "salt", "shards", "n", "doc_key", "tag", "first", cut.alias("text"))
     found = (texts.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt")
