@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .common import pick
 
 UNDETERMINED = "und"
-ROWS_PER_LANGUAGE = 4_000
+ROWS_PER_LANGUAGE = 3_000
 WORDS, GRAMS, LONGEST = 60_000, 60_000, 5
 _WORD = re.compile(r"[^\W\d_]+")
-_KEEP = 300_000
+_KEEP, _FLUSH = 200_000, 30_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,33 +34,47 @@ def grams_of(word: str, longest: int = LONGEST) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams; small enough to be sent to every worker."""
+    """Log frequencies by language of words and n-grams (number in a table of rows); small enough for every worker.
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], longest: int = LONGEST):
-        self.languages, self.words, self.grams, self.longest = languages, words, grams, longest
-        self.floor = np.full(len(languages), np.log(1e-9))
+    The last row of ``gram_logs`` is the floor for a letter that no n-gram knows.
+    """
+
+    def __init__(self, languages: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray,
+                 longest: int = LONGEST):
+        self.languages, self.words, self.word_logs, self.grams, self.gram_logs, self.longest = languages, words, word_logs, grams, gram_logs, longest
         self._index: dict[str, int] = {}
-        self._rows: list[np.ndarray] = []
-        self._matrix = np.zeros((0, len(languages)))
+        self._rows = np.empty((1024, len(languages)))
 
     def __getstate__(self):
-        return self.languages, self.words, self.grams, self.longest
+        return self.languages, self.words, self.word_logs, self.grams, self.gram_logs, self.longest
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word_score(self, word: str) -> np.ndarray:
-        if word in self.words:
-            return self.words[word]
-        w, found = f" {word} ", []
+    def backoff(self, word: str) -> list[int]:
+        """For each letter, the row of the longest known n-gram that starts there."""
+        w, get, floor, out = f" {word} ", self.grams.get, len(self.grams), []
+        sizes = range(self.longest, 0, -1)
         for i in range(len(w) - 1):
-            for n in range(min(self.longest, len(w) - i), 0, -1):
-                if (g := self.grams.get(w[i:i + n])) is not None:
-                    found.append(g)
+            for n in sizes:
+                g = get(w[i:i + n])
+                if g is not None:
                     break
-            else:
-                found.append(self.floor)
-        return np.mean(found, axis=0)
+            out.append(floor if g is None else g)
+        return out
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its log frequencies if known, else the mean over its n-grams."""
+        out = np.empty((len(words), len(self.languages)))
+        known = [self.words.get(w, -1) for w in words]
+        at = np.array(known, np.int64)
+        out[at >= 0] = self.word_logs[at[at >= 0]]
+        grams = [self.backoff(w) for w, k in zip(words, known) if k < 0]
+        if grams:
+            size = np.fromiter(map(len, grams), np.int64, len(grams))
+            sums = np.add.reduceat(self.gram_logs[np.fromiter((g for gs in grams for g in gs), np.int64, size.sum())], np.cumsum(size) - size, axis=0)
+            out[at < 0] = sums / size[:, None]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); the evidence of n words counts as that of sqrt(n) independent ones."""
@@ -68,18 +82,16 @@ class Model:
         if not words or not self.languages:
             return UNDETERMINED, 0.0
         if len(self._index) > _KEEP:
-            self._index, self._rows = {}, []
+            self._index = {}
         index = self._index
         new = [w for w in dict.fromkeys(words) if w not in index]
-        for w in new:
-            index[w] = len(self._rows)
-            self._rows.append(self.word_score(w))
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        if len(self._matrix) != len(self._rows) and len(new) * 50 > len(self._rows):
-            self._matrix = np.array(self._rows)
-        known = at < len(self._matrix)
-        total = self._matrix[at[known]].sum(axis=0) + sum((self._rows[i] for i in at[~known]), np.zeros(len(self.languages)))
-        z = total / np.sqrt(len(words))
+        if new:
+            n = len(index)
+            if n + len(new) > len(self._rows):
+                self._rows = np.concatenate([self._rows[:n], np.empty((n + 2 * len(new), len(self.languages)))])
+            self._rows[n:n + len(new)] = self.word_scores(new)
+            index.update(zip(new, range(n, n + len(new))))
+        z = self._rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(axis=0) / np.sqrt(len(words))
         p = np.exp(z - z.max())
         best = int(z.argmax())
         return self.languages[best], float(p[best] / p.sum())
@@ -94,22 +106,27 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words: int
     rows = pick(docs, text="string", lang="string").filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], {}, {}, longest)
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((1, 0)), longest)
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
+    def table(lang, found):
+        g = Counter()
+        for word, n in found.items():
+            for x in grams_of(word, longest):
+                g[x] += n
+        return pd.DataFrame([(kind, x, lang, n) for kind, c in enumerate((found, g)) for x, n in c.items()], columns=["kind", "item", "lang", "n"])
+
     def count(batches):
+        got: dict[str, Counter] = {}
         for b in batches:
-            got: dict[str, tuple[Counter, Counter]] = {}
             for lang, text in zip(b["lang"], b["text"]):
-                w, g = got.setdefault(lang, (Counter(), Counter()))
+                w = got.setdefault(lang, Counter())
                 w.update(words_of(text))
-            for lang, (w, g) in got.items():
-                for word, n in w.items():
-                    for x in grams_of(word, longest):
-                        g[x] += n
-            yield pd.DataFrame([(kind, x, lang, n) for lang, both in got.items() for kind, c in enumerate(both) for x, n in c.items()],
-                               columns=["kind", "item", "lang", "n"])
+                if len(w) > _FLUSH:
+                    yield table(lang, got.pop(lang))
+        for lang, w in got.items():
+            yield table(lang, w)
 
     counts = sample.mapInPandas(count, "kind int, item string, lang string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
     by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
@@ -118,12 +135,12 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words: int
         best = by_item.filter((F.col("kind") == kind) & (F.col("total") > 1)).orderBy(F.desc("total"), "item").limit(keep)
         tables.append({r["item"]: r["by"] for r in best.toLocalIterator()})
     languages = sorted({k for by in tables[1].values() for k in by})
-    out = []
+    parts = []
     for t in tables:
         c = np.array([[by.get(k, 0) for k in languages] for by in t.values()], float).reshape(len(t), len(languages)) + 0.5
-        logs = np.log(c / c.sum(axis=0))
-        out.append(dict(zip(t, logs)))
-    return Model(languages, *out, longest)
+        parts += [{x: i for i, x in enumerate(t)}, np.log(c / c.sum(axis=0))]
+    parts[3] = np.vstack([parts[3], np.full(len(languages), np.log(1e-9))])
+    return Model(languages, *parts, longest)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import pick
 CAPACITY = 2048
 END_ID = 1
 CLASSES = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 #: fixed values: the text handling of the vocabulary files for which words can be encoded one by one
 _WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
@@ -182,5 +182,6 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
             ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
             yield table((p for i, t in zip(ids, b["text"]) for p in packer.add(i, enc.encode(t or "") + tail)), base)
         yield table(packer.finish(), base)
+        enc.seen.clear()  # a worker process lives on and may serve other stages
 
     return pick(docs, doc_id="long", text="string").mapInPandas(run, schema)
