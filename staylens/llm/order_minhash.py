@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, and each document's likeness to its edited text and to its neighbour.
 
-All ``K``-character substrings of a text are numbered by occurrence and hashed with that number.  For each of ``SLOTS``
+All ``K``-character substrings of a text are numbered by occurrence and hashed with that number: their place on the ring
+depends on nothing else, so that texts of any two lengths place a shared substring alike.  For each of ``SLOTS``
 evenly spaced points of the hash ring the ``TUPLE`` next hashes are selected: minima of a random order, as many for a short
 text as for a long one.  The selected substrings are put back into text order and hashed together, so a slot agrees only if
 both texts select the same substrings in the same order; that makes the share of equal slots follow edit distance.
@@ -39,16 +40,19 @@ def fingerprint(text: str | None, k: int = K, slots: int = SLOTS, size: int = TU
         h = h * _MULT + chars[i:len(chars) - k + 1 + i]
     h = _mix(h + np.uint64(k))
     n = len(h)
-    low = np.uint64((1 << n.bit_length()) - 1)
-    at = np.arange(n, dtype=np.uint64)
-    ordered = np.sort((h & ~low) | at)
-    gram = ordered & ~low
-    first = np.concatenate([[True], gram[1:] != gram[:-1]])
-    number = at - np.maximum.accumulate(np.where(first, at, np.uint64(0)))
-    ring = np.sort((_mix(gram + number * _MULT) & ~low) | (ordered & low))
+    order = np.argsort(h)
+    gram = h[order]
+    same = gram[1:] == gram[:-1]
+    at = np.arange(n)
+    first = np.concatenate([[True], ~same])
+    if same.any():  # argsort is not stable: occurrences of one substring are put into text order
+        order = np.sort((np.cumsum(first) << 32) | order) & 0xFFFFFFFF
+    number = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    priority = _mix(gram + number * _MULT)
+    ring = np.argsort(priority)
     step = np.arange(slots, dtype=np.uint64) * np.uint64((1 << 64) // slots)
-    chosen = (np.searchsorted(ring, step)[:, None] + np.arange(min(size, n))) % n
-    places = np.sort((ring[chosen] & low).astype(np.int64), axis=1)
+    chosen = (np.searchsorted(priority[ring], step)[:, None] + np.arange(min(size, n))) % n
+    places = np.sort(order[ring[chosen]], axis=1)
     out = np.zeros(slots, np.uint64)
     for c in range(places.shape[1]):
         out = _mix(out * _MULT + h[places[:, c]])

@@ -134,6 +134,49 @@ def test_order_minhash_by_lists(text):
     assert order_minhash.fingerprint(text).tolist() == plain_order_minhash(text)
 
 
+def whole_hash_order_minhash(text, k=8, slots=64, size=2):
+    """By lists, with places on the ring from the whole 64-bit hash and the occurrence number alone."""
+    m = 2 ** 64
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % m
+        return x ^ (x >> 31)
+    mult, k = int(order_minhash._MULT), min(k, len(text))
+    h, seen, ring, out = [], {}, [], []
+    for i in range(len(text) - k + 1):
+        x = 0
+        for c in text[i:i + k]:
+            x = (x * mult + mix(ord(c) + 1)) % m
+        h.append(mix((x + k) % m))
+    for p, x in enumerate(h):
+        seen[x] = seen.get(x, -1) + 1
+        ring.append((mix((x + seen[x] * mult) % m), p))
+    ring.sort()
+    for s in range(slots):
+        start = next((i for i, (v, _) in enumerate(ring) if v >= s * (m // slots)), 0)
+        x = 0
+        for p in sorted(ring[(start + j) % len(ring)][1] for j in range(min(size, len(ring)))):
+            x = mix((x * mult + h[p]) % m)
+        out.append(x >> 32)
+    return out
+
+
+@pytest.mark.parametrize("text", ["a", "abcdefghi", "aaaaaaaaaaaaaaaaaaaa", "the cat and the cat and the dog saw " * 3, "é漢字 mixed ✓ text with marks", "la le lu " * 400])
+def test_order_minhash_by_whole_hashes(text):
+    assert order_minhash.fingerprint(text).tolist() == whole_hash_order_minhash(text)
+
+
+@pytest.mark.parametrize("grams", [1015, 2040, 4090, 2000])
+def test_near_copies_across_a_power_of_two(grams):
+    rng, like = random.Random(grams), []
+    for _ in range(10):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(grams + 27))
+        a, b = (order_minhash.fingerprint(text[:n + 7]) for n in (grams, grams + 20))
+        like.append(order_minhash.likeness(a, b))
+    assert sum(like) / len(like) > 0.9
+
+
 def test_order_matters():
     words = [w + str(i) for i, w in enumerate(WORDS * 8)]
     a, moved = " ".join(words), " ".join(words[100:] + words[:100])
