@@ -104,12 +104,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks:
     return members.join(roots.join(lowest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of ``docs`` whose id is that of their component: one of each group stays.
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, text): a row is known by its id and 128 bits of its text's hash; a null text counts as empty."""
+    text = F.coalesce("text", F.lit("").cast("binary"))
+    return pick(docs, doc_id="long", text="binary").select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(SEED), text).alias("h2"), text.alias("text"))
 
-    Rows that repeat a kept doc_id are reduced to one; a row without an id stays only where its whole component has
-    none, again one of them.
+
+def _keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of each ``root`` of ``rooted`` (doc_id, h1, h2, root), the row of ``docs`` with the smallest (doc_id, h1, h2), null ids last.
+
+    Rows equal in id and text are reduced to the one whose other columns have the smallest hash.
     """
-    found = near_duplicates(docs, **settings)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(SEED), text).alias("t2"), row.alias("row"))
+    same = keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["t1"] == kept["h1"]) & (keyed["t2"] == kept["h2"])
+    rest = F.xxhash64(F.to_json(F.struct(F.col("row.text").isNull().alias("no_text"), *[F.col(f"row.`{c}`") for c in docs.columns if c != "text"])))
+    one = keyed.join(kept, same, "left_semi").groupBy("id", "t1", "t2").agg(F.min_by("row", rest).alias("row"))
+    return one.select("row.*")
+
+
+def keep_one_per_group(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """One row of ``docs`` for each component of linked fingerprints: the smallest id, then the smallest text hash.
+
+    A row without an id stays only where its whole component has none.  Rows are told apart by id and text, so rows that
+    share an id, or have none, but not a component all stay.
+    """
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+
+    rows = stored(row_keys(docs).select("doc_id", "h1", "h2", of("text").alias("fp")), "simhash-rows")
+    return _keep_first(docs, rows.join(link_fingerprints(rows.select("fp").distinct(), distance, blocks), "fp"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from staylens.llm import common, order_minhash, simhash
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, node string"
@@ -72,6 +73,23 @@ def test_near_duplicates(spark):
     assert sorted([r["doc_id"] for r in kept], key=str) == sorted(set(low.values()), key=str)
 
 
+def test_rows_without_an_id_and_shared_ids_stay_apart(spark):
+    rng = random.Random(8)
+    alone = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(6)]
+    docs = [(None, alone[0]), (None, alone[1]), (None, alone[2]), (None, alone[2]), (7, alone[3]), (7, alone[4]), (None, alone[3]), (9, alone[3]), (9, alone[5])]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows_of(docs), SCHEMA)).collect()
+    want = [(None, alone[0]), (None, alone[1]), (None, alone[2]), (7, alone[3]), (7, alone[4]), (9, alone[5])]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept], key=str) == sorted(want, key=str)
+
+
+def test_benchmark_stage_drops_rows_not_ids(spark, tmp_path):
+    leak = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, leak), (None, "clean words"), (None, None), (3, "so " + leak), (3, "also clean")]
+    kept = corpus_pipeline.benchmark_passages(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([docs[1], docs[2], docs[4]], key=str)
+
+
 @pytest.mark.parametrize("settings", [(4, 5), (4, 7), (2, 4), (0, 1)])
 def test_dense_groups_and_chains(spark, settings):
     distance, blocks = settings
