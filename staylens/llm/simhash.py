@@ -9,6 +9,10 @@ whole blocks, so each choice of that many blocks is one join key.  Work is on di
 links its members to its smallest member where they are close enough; the components of these stars are found, and
 only pairs of different components are then compared.  A dense group of near copies thus gives a star of links, not
 all its pairs, and no link that joins two components is lost.
+
+The pipeline stage links by another rule, a Jaccard similarity of the sets of five-word shingles of ``SIMILARITY`` or more.
+A fingerprint of 64 bits cannot find such pairs with few keys, so candidates are texts that share one of ``BANDS`` keys
+of ``BAND_ROWS`` seeded minima each (a pair at 0.8 is missed once in 1,400), and each link is verified on both texts.
 """
 
 from itertools import combinations
@@ -23,6 +27,9 @@ from .common import components, pick, stored
 
 SEED = 42
 _ROWS = 1 << 14
+STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 24, 6
+_DRAWS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.int64).astype(np.uint64)
+_ODD, _ADD = _DRAWS[0] | np.uint64(1), _DRAWS[1]
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -138,3 +145,93 @@ def keep_one_per_group(docs: DataFrame, words: int = 4, distance: int = 4, block
 
     rows = stored(row_keys(docs).select("doc_id", "h1", "h2", of("text").alias("fp")), "simhash-rows")
     return _keep_first(docs, rows.join(link_fingerprints(rows.select("fp").distinct(), distance, blocks), "fp"))
+
+
+def shingle_set(text: bytes | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct shingles of one whole text as sorted 64-bit hashes; none without words."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(w)
+    n, digest = len(w), xxhash.xxh64_digest
+    size = np.fromiter(map(len, w), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    first, last = (end - size)[: max(n - words + 1, 1)], end[min(words, n) - 1:]
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())]), ">u8").astype(np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` signed keys, each a hash of ``BAND_ROWS`` minima of the shingles under seeded orders."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 1 << 10):
+        h = shingles[i:i + (1 << 10), None] * _ODD + _ADD
+        np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, BAND_ROWS)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both / union if union else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose two texts have a similarity of ``least`` or more."""
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, held, own = [], None, None
+        for x, y in zip(left, right):
+            if held is None or x != held:
+                held, own = x, shingle_set(x)
+            out.append(similarity(own, shingle_set(y)) >= least)
+        return pd.Series(out, dtype=bool)
+
+    left = texts.select(F.col("h1").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("h1").alias("b"), F.col("text").alias("right"))
+    return pairs.join(left, "a").join(right, "b").filter(alike("left", "right")).select(*pairs.columns)
+
+
+def link_similar(rows: DataFrame, full: DataFrame, least: float = SIMILARITY, stars: int = 2) -> DataFrame:
+    """(h1, root): each distinct text of ``rows`` (h1, n, keys) and ``full`` (h1, text) with the smallest h1 reachable over verified links.
+
+    In each of ``stars`` rounds a bucket links its members to one of them, each time another; only then are pairs of
+    different components compared.  Texts whose numbers of shingles differ too much for ``least`` are not compared.
+    """
+    nodes = stored(rows.groupBy("h1").agg(F.min("n").alias("n"), F.min("keys").alias("keys")), "similar-nodes")
+    keyed = nodes.select("h1", "n", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    keyed = stored(keyed.join(shared, ["band", "key"], "left_semi"), "similar-buckets")
+    labels = stored(keyed.select("h1").distinct().withColumn("comp", F.col("h1")), "similar-labels")
+    texts = stored(full.join(labels, "h1", "left_semi").groupBy("h1").agg(F.first("text").alias("text")), "similar-texts")
+    size = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - 1e-9
+    for turn in range(stars + 1):
+        now = keyed.join(labels, "h1")
+        mixed = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                               F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("o"), "h1", "n", "comp")).alias("head")).filter("lo < hi")
+        if turn < stars:
+            other = mixed.select("band", "key", F.col("head.h1").alias("h2"), F.col("head.n").alias("n2"), F.col("head.comp").alias("comp2"))
+            pairs = now.join(other, ["band", "key"]).filter((F.col("comp") != F.col("comp2")) & size)
+            pairs = pairs.select(F.col("h2").alias("a"), F.col("h1").alias("b"), F.col("comp2").alias("u"), F.col("comp").alias("v"))
+        else:
+            left = now.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+            right = left.select("band", "key", F.col("h1").alias("h2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            pairs = left.join(right, ["band", "key"]).filter((F.col("h1") < F.col("h2")) & (F.col("comp") != F.col("comp2")) & size)
+            pairs = pairs.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.col("comp").alias("u"), F.col("comp2").alias("v"))
+        links = _verified(stored(pairs.distinct(), "similar-pairs"), texts, least)
+        merged = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "similar-links")
+        labels = stored(labels.join(merged, F.col("comp") == F.col("node"), "left").select("h1", F.coalesce("root", "comp").alias("comp")), "similar-labels")
+    return nodes.select("h1").join(labels, "h1", "left").select("h1", F.coalesce("comp", "h1").alias("root"))
+
+
+def keep_one_of_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """As ``keep_one_per_group``, for texts linked by a five-word similarity of ``least`` or more; a text is known by its h1."""
+    @F.pandas_udf("n int, keys array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}).astype({"n": "int32"})
+
+    full = row_keys(docs)
+    rows = stored(full.select("doc_id", "h1", "h2", sketch("text").alias("s")).select("doc_id", "h1", "h2", "s.*"), "similar-rows")
+    roots = link_similar(rows, full.select("h1", "text"), least)
+    return _keep_first(docs, rows.select("doc_id", "h1", "h2").join(roots, "h1"))

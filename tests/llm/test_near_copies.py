@@ -90,6 +90,45 @@ def test_benchmark_stage_drops_rows_not_ids(spark, tmp_path):
     assert sorted(map(tuple, kept), key=str) == sorted([docs[1], docs[2], docs[4]], key=str)
 
 
+def plain_similarity(a, b):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def edited(words, edits, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = rng.choice(WORDS) + "q"
+    return " ".join(out)
+
+
+def test_candidates_against_brute_force():
+    rng, found, all_pairs = random.Random(11), 0, 0
+    for _ in range(400):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(60, 400))]
+        other = edited(words, rng.randrange(0, len(words) // 30), rng)
+        if 0.8 <= plain_similarity(" ".join(words), other) < 0.95:
+            a, b = (simhash.band_keys(simhash.shingle_set(t.encode())) for t in (" ".join(words), other))
+            all_pairs, found = all_pairs + 1, found + bool((a == b).any())
+    assert all_pairs > 100 and found / all_pairs > 0.99
+
+
+def test_stage_keeps_one_of_texts_at_four_fifths(spark):
+    rng, docs = random.Random(12), []
+    for _ in range(25):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(80, 300))]
+        docs += [" ".join(words).upper()] + [edited(words, rng.randrange(0, len(words) // 18), rng) for _ in range(5)]
+    docs += ["", " ", None, "one two", "One  two", "one two three"]
+    root = list(range(len(docs)))
+    for i, j in ((i, j) for i in range(len(docs)) for j in range(i)):
+        if root[i] != root[j] and plain_similarity(docs[i] or "", docs[j] or "") >= 0.8:
+            lo, hi = sorted((root[i], root[j]))
+            root = [lo if r == hi else r for r in root]
+    kept = simhash.keep_one_of_similar(spark.createDataFrame(rows_of(enumerate(docs)), SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+    assert 25 < len(kept) < 100
+
+
 @pytest.mark.parametrize("settings", [(4, 5), (4, 7), (2, 4), (0, 1)])
 def test_dense_groups_and_chains(spark, settings):
     distance, blocks = settings
