@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def link_similar(rows: DataFrame, full: DataFrame, least: float = SIMILARITY, stars: int = 2) -> DataFrame:
     """(h1, root): each distinct text of ``rows`` (h1, n, keys) and ``full`` (h1, text) with the smallest h1 reachable over verified links.
 
-    In each of ``stars`` rounds a bucket links its members to one of them, each time another; only then are pairs of
+    In each of ``stars`` rounds a bucket links its members to one of them, another in each band and round; only then are pairs of
     different components compared.  Texts whose numbers of shingles differ too much for ``least`` are not compared.
     """
     nodes = stored(rows.groupBy("h1").agg(F.min("n").alias("n"), F.min("keys").alias("keys")), "similar-nodes")
@@ -208,7 +208,7 @@ def link_similar(rows: DataFrame, full: DataFrame, least: float = SIMILARITY, st
     for turn in range(stars + 1):
         now = keyed.join(labels, "h1")
         mixed = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                               F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("o"), "h1", "n", "comp")).alias("head")).filter("lo < hi")
+                                               F.min(F.struct(F.xxhash64(F.lit(turn), "band", "h1").alias("o"), "h1", "n", "comp")).alias("head")).filter("lo < hi")
         if turn < stars:
             other = mixed.select("band", "key", F.col("head.h1").alias("h2"), F.col("head.n").alias("n2"), F.col("head.comp").alias("comp2"))
             pairs = now.join(other, ["band", "key"]).filter((F.col("comp") != F.col("comp2")) & size)
