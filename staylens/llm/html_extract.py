@@ -86,6 +86,13 @@ class Page:
                         break
                 block += tag in BLOCKS
                 continue
+            if unread and tag in BLOCKS and tag != "html":  # </head> is optional: a block outside a template ends an open head
+                names = [t for t, _ in stack]
+                if "head" in names and (tag == "body" or "template" not in names[names.index("head"):]):
+                    for u, _ in stack[names.index("head"):]:
+                        linked -= u == "a"
+                        unread -= u in UNREAD
+                    del stack[names.index("head"):]
             if tag in BLOCKS:
                 for i in range(len(stack) - 1, 0, -1):
                     t = stack[i][0]

@@ -32,6 +32,16 @@ def test_tree_of_broken_html():
     assert html_extract.blocks(page, np.ones(9, bool)) == "one\n\ntwo bold x\n\ntail\n\na\n\nb\n\nc\n\n<end &"
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>T</title><body><p>one</p>two</body></html>", "one\n\ntwo"),
+    ("<html><head><meta charset=x><title>T</title><noscript><p>no</p></noscript><style>s</style><div>one</div></html>", "one"),
+    ("<html><head><template><div>no</div></template><title>T</title></head><body>one</body></html>", "one"),
+    ("<body><div><button>no</div><p>one</p><div><select><option>no</div><p>two</p></body>", "one\n\ntwo")])
+def test_page_text_after_unclosed_elements(source, want):
+    page = html_extract.Page(source)
+    assert html_extract.blocks(page, np.ones(len(page.tag), bool)) == want
+
+
 @pytest.mark.parametrize("source", [None, "", "plain text only", "<", "<p", "<!-- never closed", "<script>x", "<p>" * 3000, "</p></div>", "<a href='x>y'>t</a>", "\x00<p>\x00"])
 def test_odd_pages(trees, source):
     assert isinstance(html_extract.extract_texts([source], trees)[0], str)
