@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, html_extract, langid, order_minhash, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontam, html_extract, langid, order_minhash, packing, piece_prefix, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import split_of
 
 
@@ -80,6 +80,13 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_prefix.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -105,5 +112,5 @@ FROM d LEFT JOIN parts USING (k)
 QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
            "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_language": op8_language,
            "op9_order_minhash": op9_order_minhash,
-           "op10_harmonic_packing": op10_harmonic_packing}
+           "op10_harmonic_packing": op10_harmonic_packing, "op12_piece_prefix": op12_piece_prefix}
 ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
