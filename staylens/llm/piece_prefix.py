@@ -21,6 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
 CACHED_RUNS, CACHED_LENGTH, CACHED_PAIRS = 250_000, 64, 500_000
@@ -239,8 +240,8 @@ def encode(docs: DataFrame, path: str, end: bool = True) -> DataFrame:
                                                       pa.array([h[1] for h in held], pa.binary()).cast(pa.string())], names=["row", "ids", "decoded"])
                     done, held, size = k, [], 0
 
-    kind = ready.schema["row"].dataType.simpleString()
-    done = ready.mapInArrow(run, f"row {kind}, ids array<int>, decoded string")
+    kind = StructType([ready.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    done = ready.mapInArrow(run, kind)
     return done.select(*[F.col(f"row.`{c}`") for c in others], "ids", "decoded")
 
 
