@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, html_extract, langid, order_minhash, packing, piece_prefix, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontam, html_extract, langid, order_minhash, packing, piece_prefix, quality, simhash, spelling, suffix_dedup, toxicity, url_filter
 from .common import split_of
 
 
@@ -87,6 +87,36 @@ def op12_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# unsigned crc32 of a text of hexadecimal bytes, by a table of 256 entries made on the way
+_CRC_TABLE = ("(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: "
+              "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)")
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({x}), 2), lambda i: "
+        "CAST('0x' || substr({x}, CAST(i AS INT) + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)")
+
+OP13_SQL = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+                               translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS r FROM documents),
+counted AS (SELECT k, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY k, r),
+hexed AS (SELECT r, c, hex(encode(k || ':' || r)) AS x FROM counted),
+hashed AS (SELECT r, c, {_CRC.format(x="x")} AS h FROM hexed, {_CRC_TABLE} AS t),
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, CAST(h % length(r) AS INT)) || substr(r, CAST(h % length(r) AS INT) + 2) ELSE r END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, CAST(unnest(range(length(word))) AS INT) AS i FROM words),
+gone AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS v FROM places),
+near AS (SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+         UNION SELECT g.word, w.word FROM gone g JOIN words w ON g.v = w.word UNION SELECT w.word, g.word FROM gone g JOIN words w ON g.v = w.word),
+best AS (SELECT near.word, count(*) AS n_near, min((-o.n, o.word)) AS b FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+rows AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * w.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * w.n THEN -b[1] END AS form_n
+         FROM words w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, 0 AS step FROM rows UNION ALL SELECT up.word, rows.form, step + 1 FROM up JOIN rows ON rows.word = up.root WHERE rows.form IS NOT NULL)
+SELECT rows.word, form, r.root, n, n_near, form_n FROM rows JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) r USING (word)
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -112,5 +142,6 @@ FROM d LEFT JOIN parts USING (k)
 QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
            "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_language": op8_language,
            "op9_order_minhash": op9_order_minhash,
-           "op10_harmonic_packing": op10_harmonic_packing, "op12_piece_prefix": op12_piece_prefix}
-ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+           "op10_harmonic_packing": op10_harmonic_packing, "op12_piece_prefix": op12_piece_prefix,
+           "op13_spelling_variants": op13_spelling_variants}
+ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op13_spelling_variants": OP13_SQL}
