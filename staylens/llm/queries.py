@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, html_extract, langid, order_minhash, packing, piece_prefix, quality, simhash, spelling, suffix_dedup, toxicity, url_filter
+from . import decontam, html_extract, langid, order_minhash, packing, piece_prefix, prefix_trie, quality, simhash, spelling, suffix_dedup, toxicity, url_filter
 from .common import split_of
 
 
@@ -80,6 +80,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_prefix.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -97,6 +101,24 @@ _CRC_TABLE = ("(SELECT list_transform(range(256), lambda i: list_reduce(list_pre
 _CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({x}), 2), lambda i: "
         "CAST('0x' || substr({x}, CAST(i AS INT) + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)")
 
+OP11_SQL = f"""
+WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m
+             FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list(m ORDER BY i) AS l FROM own GROUP BY c),
+hexed AS (SELECT c, l, hex(encode(CAST(c AS VARCHAR))) AS x FROM lists),
+heads AS (SELECT c, l, {_CRC.format(x="x")} % 9 AS h FROM hexed, {_CRC_TABLE} AS t),
+whole AS (SELECT a.c, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS l FROM heads a LEFT JOIN lists b ON b.c = a.c - a.c % 5),
+prefixes AS (SELECT c, CAST(unnest(range(len(l) + 1)) AS INT) AS d, l FROM whole),
+nodes AS (SELECT l[1:d] AS p, d, min(c) AS conv_id, count(*) AS n FROM prefixes GROUP BY 1, 2),
+ends AS (SELECT l AS p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM whole GROUP BY l),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+up AS (SELECT p[1:CAST(j AS INT)] AS p, sum((n - 1) * strlen(p[d].t)) AS saved, count(*) FILTER (p NOT IN (SELECT p FROM kids)) AS leaves
+       FROM (SELECT p, d, n, unnest(range(d + 1)) AS j FROM nodes) GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
+       CAST(coalesce(saved, 0) AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes a ON v.d > 0 AND a.d = v.d - 1 AND a.p = v.p[1:v.d - 1] LEFT JOIN kids ON kids.p = v.p LEFT JOIN ends ON ends.p = v.p JOIN up ON up.p = v.p
+"""
+
 OP13_SQL = f"""
 WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
                                translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS r FROM documents),
@@ -142,6 +164,6 @@ FROM d LEFT JOIN parts USING (k)
 QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op5_decontamination": op5_decontamination,
            "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_language": op8_language,
            "op9_order_minhash": op9_order_minhash,
-           "op10_harmonic_packing": op10_harmonic_packing, "op12_piece_prefix": op12_piece_prefix,
+           "op10_harmonic_packing": op10_harmonic_packing, "op11_prefix_trie": op11_prefix_trie, "op12_piece_prefix": op12_piece_prefix,
            "op13_spelling_variants": op13_spelling_variants}
-ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
