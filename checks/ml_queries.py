@@ -7,6 +7,7 @@ from staylens.functions.rounding import rows
 from staylens.operators import attribution as A
 from staylens.operators import evaluation as E
 from staylens.operators import features as X
+from staylens.operators import gram as G
 from staylens.operators import models as M
 from staylens.operators.ordering import checkpointed
 
@@ -157,7 +158,7 @@ def _derived_attribution(s, d):
 
 
 # ---- models (short searches; rows-only) ---------------------------------------------------------------------------
-SHORT = {"ridge": {"search": "grid", "grid": {"regParam": [0.01, 1.0]}},
+SHORT = {"ridge": settings.MODELS["ridge"],
          "random_forest": {"search": "random", "draws": 2, "grid": {"numTrees": [8], "maxDepth": [5], "minInstancesPerNode": [5]}},
          "xgboost": {"search": "random", "draws": 1, "grid": {"maxIter": [5, 8], "maxDepth": [3], "stepSize": [0.1], "subsamplingRate": [0.8]}}}
 _cache: dict = {}
@@ -167,7 +168,7 @@ def _matrix(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _cache:
         df, names = X.feature_matrix(wh(s, d).star)
-        df = X.stratified_folds(X.stratified_split(df, "listing_id", ["meta_city", "meta_price_quintile"]), "listing_id", ["meta_price_quintile"], folds=3)
+        df = X.stratified_folds(X.stratified_split(df, "listing_id", ["meta_city", "meta_price_quintile"]), "listing_id", ["meta_price_quintile"])
         df = checkpointed(df)
         _cache[key] = (df, names, M.training_table(df, names))
     return _cache[key]
@@ -189,8 +190,25 @@ META = ["listing_id", "meta_city", "meta_room_type", "meta_price_quintile", "met
 op("ridge_model", lambda s, d: E.metrics(M.predict(_ridge(s, d), _test(s, d), META, "ridge")))
 op("random_forest_model", lambda s, d: E.metrics(M.predict(M.estimator("random_forest", numTrees=8, maxDepth=5).fit(_train(s, d)), _test(s, d), META, "random_forest")))
 op("boosted_model", lambda s, d: E.metrics(M.predict(M.estimator("lightgbm", maxIter=5, maxDepth=3).fit(_train(s, d)), _test(s, d), META, "lightgbm")))
-op("grid_search", lambda s, d: s.createDataFrame([(str(M.tune("ridge", _train(s, d), SHORT["ridge"], 3)[1]),)], "best string"))
-op("cross_validation", lambda s, d: M.cross_validate(M.estimator("ridge", regParam=0.1), _train(s, d), "ridge", 3))
+op("grid_search", lambda s, d: G.grid_scores(_train(s, d), settings.MODELS["ridge"]["grid"]["regParam"]))
+op("cross_validation", lambda s, d: G.cross_validate(_train(s, d), 0.1))
+# one feature, where sums give the fit in SQL: slope = covariance / variance * n / (n + alpha)
+_ONE = {"pts": "SELECT l_orderkey % 5 fold, l_quantity::DOUBLE x, ln(1 + l_extendedprice) y FROM lineitem",
+        "sf": "SELECT fold, count(*)::DOUBLE n, sum(x) sx, sum(x * x) sxx, sum(y) sy, sum(x * y) sxy FROM pts GROUP BY 1",
+        "rest": "SELECT f.fold, sum(o.n) n, sum(o.sx) sx, sum(o.sxx) sxx, sum(o.sy) sy, sum(o.sxy) sxy FROM sf f JOIN sf o ON o.fold <> f.fold GROUP BY 1",
+        "fits": f"SELECT fold, alpha, sx / n mx, sy / n my, (sxy - sx * sy / n) / (sxx - sx * sx / n) * n / (n + alpha) b FROM rest, (SELECT unnest({settings.MODELS['ridge']['grid']['regParam']!r}::DOUBLE[]) alpha)",
+        "oof": "SELECT p.fold, alpha, y, my + b * (x - mx) yhat FROM pts p JOIN fits USING (fold)"}
+
+
+def _points(s, d):
+    return table(s, d, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), F.col("l_quantity").cast("double").alias("x"), F.log1p("l_extendedprice").alias("target"))
+
+
+op("grid_search_one_feature", lambda s, d: G.grid_scores(_points(s, d), settings.MODELS["ridge"]["grid"]["regParam"], ["x"]),
+   f"SELECT alpha, {R('avg(m)', 6)} mae FROM (SELECT alpha, fold, avg(abs(y - yhat)) m FROM oof GROUP BY 1, 2) GROUP BY 1", _ONE)
+op("cross_validation_one_feature", lambda s, d: G.cross_validate(_points(s, d), 10.0, features=["x"]).select("fold", "n_samples", "mae", "rmse", "mape", "r2"),
+   f"SELECT fold, count(*) n_samples, {R('avg(abs(t - g))', 4)} mae, {R('sqrt(avg((t - g) ** 2))', 4)} rmse, {R('avg(abs(t - g) / t) FILTER (t > 1) * 100', 4)} mape, "
+   f"{R('1 - sum((t - g) ** 2) / (var_pop(t) * count(*))', 4)} r2 FROM (SELECT fold, exp(y) - 1 t, greatest(exp(yhat) - 1, 0) g FROM oof WHERE alpha = 10) GROUP BY 1", _ONE, digits=4)
 
 
 def _experiment(s, d):
@@ -211,7 +229,14 @@ def _interval(s, d):
 
 op("quantile_models", lambda s, d: E.interval_quality(_interval(s, d)[2]))
 op("evaluate_models", lambda s, d: E.stratified_errors(M.predict(_ridge(s, d), _test(s, d), META, "ridge"), ["meta_city", "meta_room_type", "meta_price_quintile"], min_rows=10))
-op("leave_area_out", lambda s, d: M.leave_group_out(M.estimator("ridge", regParam=0.1), _matrix(s, d)[2], min_rows=30))
+op("leave_area_out", lambda s, d: G.leave_group_out(_matrix(s, d)[2], 0.1, min_rows=30))
+_LAO = {**feat("fr", "tr"), "pa": "SELECT city, neighbourhood_group g, target y, coalesce(accommodates, 0)::DOUBLE x FROM tr WHERE city IS NOT NULL",
+        "sa": "SELECT city, g, count(*)::DOUBLE n, sum(x) sx, sum(x * x) sxx, sum(y) sy, sum(x * y) sxy FROM pa GROUP BY 1, 2",
+        "ra": "SELECT s.city, s.g, c.n - s.n n, c.sx - s.sx sx, c.sxx - s.sxx sxx, c.sy - s.sy sy, c.sxy - s.sxy sxy FROM sa s JOIN (SELECT city, sum(n) n, sum(sx) sx, sum(sxx) sxx, sum(sy) sy, sum(sxy) sxy FROM sa GROUP BY 1) c "
+              "USING (city) WHERE s.g IS NOT NULL AND s.n >= 30 AND c.n - s.n >= 30",
+        "oa": "SELECT p.city, p.g, r.n, exp(y) - 1 t, greatest(exp(sy / n + (sxy - sx * sy / n) / (sxx - sx * sx / n) * n / (n + 10) * (x - sx / n)) - 1, 0) h FROM pa p JOIN ra r ON p.city = r.city AND p.g = r.g"}
+op("leave_area_out_one_feature", lambda s, d: G.leave_group_out(X.with_target(X.feature_rows(wh(s, d).star)), 10.0, "city", "neighbourhood_group", ["accommodates"]).drop("gap_vs_cv"),
+   f"SELECT city, g neighbourhood_group, max(n)::BIGINT n_train, count(*) n_test, {R('avg(abs(t - h))', 6)} mae, {R('avg(abs(t - h) / t) FILTER (t > 1) * 100', 6)} mape, {R('avg(t - h)', 6)} mean_residual FROM oa GROUP BY 1, 2", _LAO)
 op("city_transfer", lambda s, d: M.city_transfer(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
 op("area_ablation", lambda s, d: M.area_ablation(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
 op("explain_linear", lambda s, d: A.importance(A.linear_attribution(_ridge(s, d), _matrix(s, d)[0], _matrix(s, d)[1])))

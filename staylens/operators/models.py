@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import settings
 from ..functions.rounding import rows
 from . import evaluation as E
+from . import gram
 from .distribution import rows_union
 from .ordering import checkpointed, positions
 
@@ -63,6 +64,10 @@ def tune(name: str, data: DataFrame, spec: dict | None = None, folds: int = sett
     """Best estimator and parameters by mean absolute error over the ``fold`` column."""
     spec = spec or settings.MODELS[name]
     est = estimator(name)
+    if name == "ridge" and set(spec["grid"]) == {"regParam"} and spec.get("search", "grid") == "grid":
+        # all penalties and folds from one scan instead of a fit for each
+        best = gram.best_alpha(data.filter(F.col("fold") < folds), spec["grid"]["regParam"], as_reg_param=True)
+        return estimator(name, regParam=best), {"regParam": best}
     maps = param_maps(est, spec["grid"], spec.get("search", "grid"), spec.get("draws"))
     if len(maps) == 1:
         best = maps[0]
@@ -105,7 +110,8 @@ def train_experiment(data: DataFrame, families: dict[str, dict] | None = None, f
     models, params, scores = {}, {}, []
     for name, spec in families.items():
         est, params[name] = tune(name, data, spec, folds)
-        scores.append(cross_validate(est, data, name, folds))
+        scores.append(gram.cross_validate(data, params[name]["regParam"], name, as_reg_param=True) if set(params[name]) == {"regParam"}
+                      else cross_validate(est, data, name, folds))
         models[name] = est.fit(data)
     summary = checkpointed(E.cv_summary(rows_union(scores)))
     best = summary.orderBy("mae_mean", "model").first()
