@@ -129,11 +129,11 @@ op("interval_quality", lambda s, d: E.interval_quality(preds(s, d).withColumn("l
 from .stats_queries import _boot  # noqa: E402
 
 _GB = {**PR, "lg": " UNION ALL ".join(f"SELECT '{c}' dimension, {c}::VARCHAR grp, listing_id, res FROM pred WHERE {c} IS NOT NULL" for c in _DIMS)}
-op("group_bias", lambda s, d: E.group_bias(preds(s, d), _DIMS, resamples=200).select("dimension", "group", "n", "mean_residual", "ci_lower", "ci_upper", "is_significant"),
+op("group_bias", lambda s, d: E.group_bias(preds(s, d), _DIMS).select("dimension", "group", "n", "mean_residual", "ci_lower", "ci_upper", "is_significant"),
    f"SELECT dimension, grp AS \"group\", n, {R('m', 4)} mean_residual, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper, lo > 0 OR hi < 0 is_significant FROM "
    "(SELECT dimension, grp, count(*) n, avg(res) m FROM lg GROUP BY 1, 2 HAVING count(*) >= 10) JOIN cis USING (dimension, grp)",
-   {**_GB, **_boot(["dimension", "grp"], "lg", 200, "res")}, digits=4)
-op("group_bias_effects", lambda s, d: E.group_bias(preds(s, d), _DIMS, resamples=40).select("dimension", "group", "n", "mean_residual", "cohens_d", "direction"),
+   {**_GB, **_boot(["dimension", "grp"], "lg", 5_000, "res")}, digits=4)
+op("group_bias_effects", lambda s, d: E.group_bias(preds(s, d), _DIMS).select("dimension", "group", "n", "mean_residual", "cohens_d", "direction"),
    " UNION ALL ".join(f"SELECT '{c}' dimension, {c}::VARCHAR AS \"group\", count(*) n, {R('avg(res)', 6)} mean_residual, "
                       f"{R('(avg(res) - any_value(am)) / sqrt(((count(*) - 1) * var_samp(res) + (any_value(an) - 1) * any_value(av)) / (count(*) + any_value(an) - 2))', 6)} cohens_d, "
                       f"if(avg(res) > 0, 'under-predicted', 'over-predicted') direction FROM pred, (SELECT count(*) an, avg(res) am, var_samp(res) av FROM pred) "
@@ -256,7 +256,7 @@ op("batch_scoring", lambda s, d: M.score_prices(_ridge(s, d), _matrix(s, d)[0].s
 def _audit(s, d):
     model = _ridge(s, d)
     pred = M.predict(model, _test(s, d), META, "ridge")
-    return E.fairness_summary(E.group_bias(pred, ["meta_city", "meta_room_type", "meta_price_quintile", "meta_has_reviews"], resamples=200))
+    return E.fairness_summary(E.group_bias(pred, ["meta_city", "meta_room_type", "meta_price_quintile", "meta_has_reviews"]))
 
 
 op("bias_audit", _audit)

@@ -158,13 +158,33 @@ op("pairwise_effects", lambda s, d: S.pairwise_effects(li(s, d), "l_returnflag",
    f"SELECT a.metric, a.g group_a, b.g group_b, {R('(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))', 6)} d, 'negligible' magnitude, "
    f"{R('a.md', 6)} median_a, {R('b.md', 6)} median_b FROM mm a JOIN mm b ON a.metric = b.metric AND a.g < b.g", _PE)
 _BOOT_STEPS = " + ".join(f"(u >= {p!r})::INT" for p in S.POISSON_STEPS)
-_BT = {"cells": "SELECT event_type, (('0x' || substr(md5(event_id || '|42'), 1, 8))::BIGINT) % 1000 blk, count(*) n, sum(value) s FROM events GROUP BY 1, 2",
-       "draws": "SELECT event_type, n, s, i * 4 + j b, ('0x' || substr(md5(blk || '|' || i || '|42'), (8 * j + 1)::INT, 8))::BIGINT / 4294967296e0 u FROM cells, "
-                "(SELECT unnest(range(0, 50)) i), (SELECT unnest(range(0, 4)) j)",
-       "means": f"SELECT event_type, b, sum(w * s) / sum(w * n) m FROM (SELECT *, {_BOOT_STEPS} w FROM draws) GROUP BY 1, 2"}
-op("bootstrap_mean", lambda s, d: S.bootstrap_mean(ev(s, d), ["event_type"], "value", "event_id", resamples=200),
+
+
+def _weights(resamples):
+    """Poisson weights of a thousand blocks, each digest made once."""
+    return (f"SELECT blk, b, {_BOOT_STEPS} w FROM (SELECT blk, i * 4 + j b, ('0x' || substr(h, (8 * j + 1)::INT, 8))::BIGINT / 4294967296e0 u FROM "
+            f"(SELECT blk, i, md5(blk || '|' || i || '|42') h FROM (SELECT unnest(range(0, 1000)) blk), (SELECT unnest(range(0, {(resamples + 3) // 4})) i)), "
+            f"(SELECT unnest(range(0, 4)) j)) WHERE b < {resamples}")
+
+
+_BLOCK = "(('0x' || substr(md5({key} || '|42'), 1, 8))::BIGINT) % 1000 blk"
+_BT = {"cells": f"SELECT event_type, {_BLOCK.format(key='event_id')}, count(*) n, sum(value) s FROM events GROUP BY 1, 2",
+       "wts": _weights(10_000), "means": "SELECT event_type, b, sum(w * s) / sum(w * n) m FROM cells JOIN wts USING (blk) GROUP BY 1, 2 HAVING sum(w * n) > 0"}
+op("bootstrap_mean", lambda s, d: S.bootstrap_mean(ev(s, d), ["event_type"], "value", "event_id"),
    f"SELECT e.event_type, n, {R('mean', 4)} mean, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper FROM (SELECT event_type, count(*) n, avg(value) mean FROM events GROUP BY 1) e JOIN "
    "(SELECT event_type, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM means GROUP BY 1) c USING (event_type)", _BT, digits=4)
+_LI = "l_orderkey || '-' || l_linenumber"
+_KEYED = lambda s, d: li(s, d).withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+op("bootstrap_ratio", lambda s, d: S.bootstrap(_KEYED(s, d), ["l_returnflag"], {"taxed": F.col("l_extendedprice") * F.col("l_tax"), "all": F.col("l_extendedprice")},
+                                               lambda t: t["taxed"] / t["all"], "k"),
+   f"SELECT l_returnflag, {R('e', 6)} estimate, {R('lo', 6)} ci_lower, {R('hi', 6)} ci_upper FROM (SELECT l_returnflag, sum(t) / sum(p) e FROM cells GROUP BY 1) JOIN "
+   "(SELECT l_returnflag, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM (SELECT l_returnflag, b, sum(w * t) / sum(w * p) m FROM cells JOIN wts USING (blk) GROUP BY 1, 2) GROUP BY 1) USING (l_returnflag)",
+   {"cells": f"SELECT l_returnflag, {_BLOCK.format(key=_LI)}, sum(l_extendedprice * l_tax) t, sum(l_extendedprice) p FROM lineitem GROUP BY 1, 2", "wts": _weights(10_000)})
+op("bootstrap_median", lambda s, d: S.bootstrap_quantile(_KEYED(s, d), [], "l_tax", "k"),
+   f"SELECT {R('(SELECT quantile_disc(l_tax, 0.5) FROM lineitem)', 6)} estimate, {R('quantile_cont(v, 0.025)', 6)} ci_lower, {R('quantile_cont(v, 0.975)', 6)} ci_upper FROM "
+   "(SELECT b, min(v) v FROM (SELECT b, v, sum(c) OVER (PARTITION BY b ORDER BY v) c, sum(c) OVER (PARTITION BY b) t FROM sums) WHERE c >= 0.5 * t GROUP BY b)",
+   {"cells": f"SELECT l_tax v, {_BLOCK.format(key=_LI)}, count(*) n FROM lineitem GROUP BY 1, 2", "wts": _weights(10_000),
+    "sums": "SELECT b, v, sum(w * n) c FROM cells JOIN wts USING (blk) GROUP BY 1, 2"})
 _Z = 1.959963984540054  # normal quantile; the t quantile follows by its expansion in 1 / degrees of freedom
 _T = " + ".join([f"{_Z!r}", f"{(_Z**3 + _Z) / 4!r} / v", f"{(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (v * v)",
                  f"{(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (v * v * v)"])
@@ -203,16 +223,14 @@ op("city_effects", lambda s, d: hypotheses.city_effects(wh(s, d).star),
 def _boot(keys, src, resamples, value="price_local", key="listing_id"):
     """Common table expressions of the block bootstrap over ``src``."""
     k = ", ".join(keys)
-    return {"bcells": f"SELECT {k}, (('0x' || substr(md5({key} || '|42'), 1, 8))::BIGINT) % 1000 blk, count(*) n, sum({value}) s FROM {src} GROUP BY ALL",
-            "draws": f"SELECT {k}, n, s, ('0x' || substr(md5(blk || '|' || i || '|42'), (8 * j + 1)::INT, 8))::BIGINT / 4294967296e0 u, i * 4 + j b FROM bcells, "
-                     f"(SELECT unnest(range(0, {(resamples + 3) // 4})) i), (SELECT unnest(range(0, 4)) j)",
-            "means": f"SELECT {k}, b, sum(w * s) / sum(w * n) m FROM (SELECT *, {_BOOT_STEPS} w FROM draws) GROUP BY ALL",
+    return {"bcells": f"SELECT {k}, {_BLOCK.format(key=key)}, count(*) n, sum({value}) s FROM {src} GROUP BY ALL", "wts": _weights(resamples),
+            "means": f"SELECT {k}, b, sum(w * s) / sum(w * n) m FROM bcells JOIN wts USING (blk) GROUP BY ALL HAVING sum(w * n) > 0",
             "cis": f"SELECT {k}, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM means GROUP BY ALL"}
 
 
 _RI = {"base": BASE["base"], "kept": "SELECT * FROM base WHERE price_local <= (SELECT quantile_cont(price_local, 0.99) FROM base)",
        "big": "SELECT * FROM kept WHERE room_type IN (SELECT room_type FROM kept GROUP BY 1 HAVING count(*) >= 30)"}
-op("room_intervals", lambda s, d: hypotheses.room_intervals(wh(s, d).star, 400),
+op("room_intervals", lambda s, d: hypotheses.room_intervals(wh(s, d).star),
    f"SELECT p.room_type, n, {R('mean', 4)} mean, {R('lo', 4)} ci_lower, {R('hi', 4)} ci_upper FROM (SELECT room_type, count(*) n, avg(price_local) mean FROM big GROUP BY 1) p JOIN cis USING (room_type)",
-   {**_RI, **_boot(["room_type"], "big", 400)}, digits=4)
-op("area_intervals", lambda s, d: hypotheses.area_intervals(wh(s, d).star, 400))
+   {**_RI, **_boot(["room_type"], "big", 10_000)}, digits=4)
+op("area_intervals", lambda s, d: hypotheses.area_intervals(wh(s, d).star))

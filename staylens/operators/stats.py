@@ -4,11 +4,14 @@ Data are reduced on the cluster (moments, value counts, cross-products); what is
 small matrix, on which tail probabilities and solves are computed.
 """
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import tails
 from ..functions.rounding import as_col, ratio, rows
@@ -158,35 +161,125 @@ def mean_ci(df: DataFrame, group: list[str], value: str, level: float = 0.95) ->
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
-def _uniform(digest: Column, part: int) -> Column:
-    """Number in [0, 1) from eight hex digits of a digest."""
-    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def block_weights(resamples: int, blocks: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, one row per resample and one column per block of rows; the same numbers in every worker.
 
+    Four resamples share the md5 of ``block|number|seed``; eight hex digits of it are a number in [0, 1).
+    """
+    key = (resamples, blocks, seed)
+    if key not in _WEIGHTS:
+        quads = (resamples + 3) // 4
+        raw = b"".join(hashlib.md5(f"{k}|{i}|{seed}".encode()).digest() for k in range(blocks) for i in range(quads))
+        u = np.frombuffer(raw, ">u4").reshape(blocks, quads * 4)[:, :resamples] / 4294967296.0
+        _WEIGHTS.clear()
+        _WEIGHTS[key] = np.searchsorted(POISSON_STEPS, u, side="right").T.astype(np.float32)
+    return _WEIGHTS[key]
+
+
+_WEIGHTS: dict[tuple, np.ndarray] = {}
+_AT_ONCE = 1000  # resamples of one matrix product
 
-def bootstrap_mean(df: DataFrame, group: list[str], value: str, key: str, resamples: int = 10_000,
-                   level: float = 0.95, seed: int = 42, blocks: int = 1_000) -> DataFrame:
-    """Percentile interval of the mean from a Poisson bootstrap over random blocks of rows.
 
-    Rows fall into ``blocks`` blocks per group by a hash of ``key`` and are reduced to (rows, sum) there; every
-    resample draws a Poisson(1) weight per block.  Work is blocks x resamples per group, whatever the number of
-    rows, and weights come from hashes, so a retried task draws the same numbers.
+def _in_block(key: str, seed: int, blocks: int) -> Column:
+    text = F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % blocks
+
+
+def bootstrap(df: DataFrame, group: list[str], parts: dict[str, Column], statistic, key: str, resamples: int = 10_000, level: float = 0.95,
+              seed: int = 42, blocks: int = 1_000) -> DataFrame:
+    """(*group, estimate, ci_lower, ci_upper): percentile interval of any function of sums, by a Poisson bootstrap over random blocks of rows.
+
+    ``parts`` names expressions that are summed (a missing value adds nothing); ``statistic`` takes a dict of numpy arrays,
+    the sums of each resample, and returns an array: ``lambda t: t["revenue"] / t["nights"]``.  Rows fall into ``blocks``
+    blocks per group by a hash of ``key`` and are summed there, so a group of any size is one short row of block sums;
+    its resamples are one product with the matrix of weights.  Resamples without a value are left out of the percentiles.
     """
-    src = df.filter(F.col(value).isNotNull())
-    spot = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    cells = src.groupBy(*group, (spot % blocks).alias("_block")).agg(
-        rows().alias("_n"), F.sum(F.col(value).cast("double")).alias("_s"))
-    digests = cells.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1)))).withColumn(
-        "_h", F.md5(F.concat_ws("|", "_block", "_i", F.lit(str(seed)))))
-    draws = digests.select(*group, "_n", "_s", F.inline(F.array(*[
-        F.struct((F.col("_i") * 4 + j).alias("_b"), _uniform(F.col("_h"), j).alias("_u")) for j in range(4)])))
-    weight = sum((F.when(F.col("_u") >= step, 1).otherwise(0) for step in POISSON_STEPS), F.lit(0))
-    means = (draws.filter(F.col("_b") < resamples).withColumn("_w", weight)
-             .groupBy(*group, "_b").agg(ratio(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("_m")))
+    cells = df.groupBy(*group, _in_block(key, seed, blocks).alias("_block")).agg(*[F.sum(c.cast("double")).alias(f"_p{i}") for i, c in enumerate(parts.values())])
+    columns, names = [F.coalesce(f"_p{i}", F.lit(0.0)) for i in range(len(parts))], list(parts)
+    return _resampled(cells, group, columns, lambda _: lambda totals: statistic(dict(zip(names, totals.T))), resamples, level, seed, blocks)
+
+
+def bootstrap_quantile(df: DataFrame, group: list[str], value: str, key: str, q: float = 0.5, resamples: int = 10_000, level: float = 0.95,
+                       seed: int = 42, blocks: int = 1_000, candidates: int = 400) -> DataFrame:
+    """(*group, estimate, ci_lower, ci_upper): percentile interval of a quantile, the smallest value that a share ``q`` of the weights reaches.
+
+    Values are counted by (block, value); a resample's quantile is read from weighted counts up to each candidate.  Groups
+    with at most ``candidates`` distinct values use all of them, others values at even ranks within eight standard errors
+    around the quantile, so the bounds are within 1/25 of a standard error of the rank.
+    """
+    src = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), _in_block(key, seed, blocks).alias("_block"))
+    counts = checkpointed(src.groupBy(*group, "_v", "_block").agg(rows().alias("_n")))
+    up = running_totals(counts.groupBy(*group, "_v").agg(F.sum("_n").alias("_n")), group, ["_v"], {"_upto": "_n", "_place": F.lit(1).cast("long")})
+    sizes = up.groupBy(*group).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_values"))
+    ranked = _beside(up, sizes, group)
+    middle, width = F.col("_all") * q, 8 * F.sqrt(F.col("_all") * (q * (1 - q))) + 1
+    # the value that holds a wanted rank: the step between even ranks changes inside it
+    step = 2 * width / candidates
+    nth = lambda c: F.floor((F.least(F.greatest(c, middle - width), middle + width) - middle) / step)
+    chosen = ranked.filter((F.col("_values") <= candidates) | (nth(F.col("_upto")) > nth(F.col("_upto") - F.col("_n")))
+                           | ((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_n") < middle)) | (F.col("_place") == F.col("_values"))).select(*group, "_v")
+    at = F.array_sort(F.collect_set("_v"))
+    steps = checkpointed(chosen.groupBy(*group).agg(at.alias("_at")))  # a short list per group
+    cell = _beside(counts, steps, group)
+    spot = F.size(F.filter("_at", lambda c: c < F.col("_v")))
+    by_step = cell.groupBy(*group, "_block", "_at", spot.alias("_k")).agg(F.sum("_n").alias("_n"))
+    cells = by_step.groupBy(*group, "_block").agg(F.max("_at").alias("_at"), F.map_from_entries(F.collect_list(F.struct("_k", F.col("_n").cast("double")))).alias("_m"))
+    filled = F.transform(F.sequence(F.lit(0), F.size("_at") - 1), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)))
+
+    def read(at):
+        def quantile(totals):
+            reach = np.cumsum(totals, axis=1)
+            found = np.argmax(reach >= q * reach[:, -1:], axis=1)
+            return np.where(reach[:, -1] > 0, np.asarray(at)[found], np.nan)
+        return quantile
+
+    return _resampled(cells.withColumn("_f", filled), group, ["_f"], read, resamples, level, seed, blocks, at="_at")
+
+
+def _beside(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row per group."""
+    return join_groups(left, right, group) if group else left.withColumns({c: right.select(c).scalar() for c in right.columns})
+
+
+def _resampled(cells: DataFrame, group: list[str], columns: list, statistic, resamples: int, level: float, seed: int, blocks: int, at: str | None = None) -> DataFrame:
+    """One row per group from its block sums: the estimate with all weights 1, and the percentiles over resamples."""
+    values = F.flatten(F.array(*[F.col(c) for c in columns])) if at else F.array(*columns)
+    packed = cells.groupBy(*group).agg(F.collect_list(F.struct(F.col("_block").alias("b"), values.alias("v"))).alias("_cells"),
+                                       *([F.max(at).alias("_at")] if at else []))
     tail = (1 - level) / 2
-    # at most ``resamples`` rows per group
-    bounds = means.groupBy(*group).agg(F.percentile("_m", tail).alias("ci_lower"), F.percentile("_m", 1 - tail).alias("ci_upper"))
+    inner, n_keys = [StructField(f"_g{i}", packed.schema[c].dataType) for i, c in enumerate(group)], len(group)
+    names = [*[f.name for f in inner], "estimate", "ci_lower", "ci_upper"]
+    kept = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+
+    def run(batches):
+        weights = block_weights(resamples, blocks, seed)
+        for b in batches:
+            out = []
+            for i, cell in enumerate(b.column("_cells")):
+                cell = cell.as_py()
+                use = statistic(b.column("_at")[i].as_py() if at else None)
+                where, sums = np.array([x["b"] for x in cell]), np.array([x["v"] for x in cell], float)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    got = np.concatenate([use(weights[r:r + _AT_ONCE][:, where].astype(float) @ sums) for r in range(0, resamples, _AT_ONCE)])
+                    point = float(use(sums.sum(axis=0, keepdims=True))[0])
+                got = got[np.isfinite(got)]
+                ends = np.quantile(got, [tail, 1 - tail]).tolist() if len(got) else [None, None]
+                out.append((point if np.isfinite(point) else None, *ends))
+            yield pa.RecordBatch.from_arrays([*[b.column(f"_g{i}") for i in range(n_keys)], *[pa.array(c, pa.float64()) for c in (zip(*out) if out else ([], [], []))]],
+                                             names=names)
+
+    kinds = StructType([*inner, *[StructField(c, DoubleType()) for c in ("estimate", "ci_lower", "ci_upper")]])
+    done = packed.select(*kept, "_cells", *(["_at"] if at else [])).mapInArrow(run, kinds)
+    return done.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(group)], "estimate", "ci_lower", "ci_upper")
+
+
+def bootstrap_mean(df: DataFrame, group: list[str], value: str, key: str, resamples: int = 10_000,
+                   level: float = 0.95, seed: int = 42, blocks: int = 1_000) -> DataFrame:
+    """(*group, n, mean, ci_lower, ci_upper): ``bootstrap`` of the mean of the values that are there."""
+    src = df.filter(F.col(value).isNotNull())
+    bounds = bootstrap(src, group, {"n": F.lit(1), "s": F.col(value)}, lambda t: t["s"] / t["n"], key, resamples, level, seed, blocks)
     point = src.groupBy(*group).agg(rows().alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
-    return join_groups(point, bounds, group)
+    return join_groups(point, bounds.drop("estimate"), group)
 
 
 # ---- two groups -------------------------------------------------------------------------------------------

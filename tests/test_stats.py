@@ -160,3 +160,43 @@ def test_chi_square_with_empty_cell(spark):
     e = o.sum(1, keepdims=True) * o.sum(0) / o.sum()
     r = S.chi_square(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
     assert abs(r.statistic - ((o - e) ** 2 / e).sum()) < 1e-9 and r.df == 2
+
+
+def test_bootstrap_of_any_statistic(spark):
+    """Weights, blocks and statistics by plain numpy."""
+    import hashlib
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 40 == 0 else ("a" if i % 3 else "b"), float(rng.normal(50, 9)), float(rng.integers(1, 9)), float(rng.integers(0, 12))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, n double, v double")
+    block = {r[0]: int(hashlib.md5(f"{r[0]}|42".encode()).hexdigest()[:8], 16) % 50 for r in rows}
+    w = S.block_weights(400, 50, 42)
+    h = hashlib.md5(b"7|3|42").hexdigest()
+    assert w[13, 7] == sum(int(h[8:16], 16) / 2**32 >= p for p in S.POISSON_STEPS)
+    ratio = {r.g: r for r in S.bootstrap(df, ["g"], {"x": F.col("x"), "n": F.col("n")}, lambda t: t["x"] / t["n"], "id", resamples=400, blocks=50).collect()}
+    middle = {r.g: r for r in S.bootstrap_quantile(df, ["g"], "v", "id", q=0.3, resamples=400, blocks=50).collect()}
+    assert set(ratio) == set(middle) == {"a", "b", None}
+    for g in ratio:
+        mine = [r for r in rows if r[1] == g]
+        weight = w[:, [block[r[0]] for r in mine]].astype(float)
+        got = (weight @ [r[2] for r in mine]) / (weight @ [r[3] for r in mine])
+        assert np.allclose([ratio[g].ci_lower, ratio[g].ci_upper], np.nanquantile(got, [0.025, 0.975]))
+        order = np.argsort([r[4] for r in mine], kind="stable")
+        v, reach = np.array([r[4] for r in mine])[order], np.cumsum(weight[:, order], axis=1)
+        kept = reach[:, -1] > 0
+        q = v[np.argmax(reach >= 0.3 * reach[:, -1:], axis=1)][kept]
+        assert np.allclose([middle[g].ci_lower, middle[g].ci_upper], np.quantile(q, [0.025, 0.975]))
+        assert middle[g].estimate == sorted(v)[int(np.ceil(0.3 * len(v))) - 1]
+
+
+def test_bootstrap_quantile_of_many_values(spark):
+    rng = np.random.default_rng(8)
+    xs = rng.normal(100, 15, 4000)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "id long, x double")
+    r = S.bootstrap_quantile(df, [], "x", "id", resamples=1000, candidates=100).first()
+    all_values = S.bootstrap_quantile(df, [], "x", "id", resamples=1000, candidates=10_000).first()
+    assert r.estimate == all_values.estimate == np.sort(xs)[1999]
+    assert abs(r.ci_lower - all_values.ci_lower) < 0.1 and abs(r.ci_upper - all_values.ci_upper) < 0.1
+    assert abs((r.ci_upper - r.ci_lower) / 2 - 1.96 * 1.2533 * 15 / math.sqrt(4000)) < 0.15
+    empty = df.filter("false")
+    assert S.bootstrap_quantile(empty.withColumn("g", F.lit("a")), ["g"], "x", "id", resamples=10).collect() == []
+    assert S.bootstrap(empty.withColumn("g", F.lit("a")), ["g"], {"x": F.col("x")}, lambda t: t["x"], "id", resamples=10).collect() == []
