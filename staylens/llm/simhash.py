@@ -176,56 +176,60 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose two texts have a similarity of ``least`` or more."""
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, held, own = [], None, None
-        for x, y in zip(left, right):
-            if held is None or x != held:
-                held, own = x, shingle_set(x)
-            out.append(similarity(own, shingle_set(y)) >= least)
-        return pd.Series(out, dtype=bool)
-
-    left = texts.select(F.col("h1").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("h1").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").filter(alike("left", "right")).select(*pairs.columns)
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose two shingle sets (h1, set) have a similarity of ``least`` or more; row by row in the JVM."""
+    left = sets.select(F.col("h1").alias("a"), F.col("set").alias("left"))
+    right = sets.select(F.col("h1").alias("b"), F.col("set").alias("right"))
+    both = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - both
+    return pairs.join(left, "a").join(right, "b").filter((union == 0) | (both >= union * F.lit(least) - 1e-9)).select(*pairs.columns)
 
 
 def link_similar(rows: DataFrame, full: DataFrame, least: float = SIMILARITY, stars: int = 2) -> DataFrame:
-    """(h1, root): each distinct text of ``rows`` (h1, n, keys) and ``full`` (h1, text) with the smallest h1 reachable over verified links.
+    """(h1, h2, root): each text of ``rows`` (h1, h2, n, keys) and ``full`` (h1, h2, text) with the smallest h1 reachable over verified links.
 
-    In each of ``stars`` rounds a bucket links its members to one of them, another in each band and round; only then are pairs of
-    different components compared.  Texts whose numbers of shingles differ too much for ``least`` are not compared.
+    In each of ``stars`` rounds a bucket links its members to one of them, another in each band and round; only then are members
+    of a bucket's smaller components compared with those of its other components.  Texts whose numbers of shingles differ too
+    much for ``least`` are not compared.  Of different texts with one h1 only the smallest h2 is looked at.
     """
-    nodes = stored(rows.groupBy("h1").agg(F.min("n").alias("n"), F.min("keys").alias("keys")), "similar-nodes")
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_set(t).view(np.int64))
+
+    nodes = stored(rows.groupBy("h1").agg(F.min("h2").alias("h2"), F.min_by("n", "h2").alias("n"), F.min_by("keys", "h2").alias("keys")), "similar-nodes")
     keyed = nodes.select("h1", "n", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     keyed = stored(keyed.join(shared, ["band", "key"], "left_semi"), "similar-buckets")
     labels = stored(keyed.select("h1").distinct().withColumn("comp", F.col("h1")), "similar-labels")
-    texts = stored(full.join(labels, "h1", "left_semi").groupBy("h1").agg(F.first("text").alias("text")), "similar-texts")
+    wanted = nodes.select("h1", "h2").join(labels.select("h1"), "h1", "left_semi")
+    sets = stored(full.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1").agg(F.first("text").alias("text")).select("h1", shingles("text").alias("set")), "similar-sets")
     size = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - 1e-9
     for turn in range(stars + 1):
         now = keyed.join(labels, "h1")
-        mixed = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                               F.min(F.struct(F.xxhash64(F.lit(turn), "band", "h1").alias("o"), "h1", "n", "comp")).alias("head")).filter("lo < hi")
         if turn < stars:
+            mixed = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                                   F.min(F.struct(F.xxhash64(F.lit(turn), "band", "h1").alias("o"), "h1", "n", "comp")).alias("head")).filter("lo < hi")
             other = mixed.select("band", "key", F.col("head.h1").alias("h2"), F.col("head.n").alias("n2"), F.col("head.comp").alias("comp2"))
             pairs = now.join(other, ["band", "key"]).filter((F.col("comp") != F.col("comp2")) & size)
             pairs = pairs.select(F.col("h2").alias("a"), F.col("h1").alias("b"), F.col("comp2").alias("u"), F.col("comp").alias("v"))
         else:
-            left = now.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
-            right = left.select("band", "key", F.col("h1").alias("h2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = left.join(right, ["band", "key"]).filter((F.col("h1") < F.col("h2")) & (F.col("comp") != F.col("comp2")) & size)
-            pairs = pairs.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.col("comp").alias("u"), F.col("comp2").alias("v"))
-        links = _verified(stored(pairs.distinct(), "similar-pairs"), texts, least)
+            parts = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("members"))
+            mixed = (parts.groupBy("band", "key").agg(F.max(F.struct("members", "comp")).alias("most"), F.count(F.lit(1)).alias("parts"))
+                     .filter("parts > 1").select("band", "key", F.col("most.comp").alias("largest")))
+            right = now.join(mixed, ["band", "key"]).select("band", "key", F.col("h1").alias("h2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), "largest")
+            left = now.join(mixed, ["band", "key"]).filter(F.col("comp") != F.col("largest")).drop("largest")
+            once = (F.col("comp2") == F.col("largest")) | (F.col("h1") < F.col("h2"))
+            pairs = left.join(right, ["band", "key"]).filter((F.col("comp") != F.col("comp2")) & once & size)
+            pairs = pairs.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"), F.when(F.col("h1") < F.col("h2"), F.col("comp")).otherwise(F.col("comp2")).alias("u"),
+                                 F.when(F.col("h1") < F.col("h2"), F.col("comp2")).otherwise(F.col("comp")).alias("v"))
+        links = _verified(stored(pairs.distinct(), "similar-pairs"), sets, least)
         merged = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "similar-links")
         labels = stored(labels.join(merged, F.col("comp") == F.col("node"), "left").select("h1", F.coalesce("root", "comp").alias("comp")), "similar-labels")
-    return nodes.select("h1").join(labels, "h1", "left").select("h1", F.coalesce("comp", "h1").alias("root"))
+    return nodes.select("h1", "h2").join(labels, "h1", "left").select("h1", "h2", F.coalesce("comp", "h1").alias("root"))
 
 
 def keep_one_of_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """As ``keep_one_per_group``, for texts linked by a five-word similarity of ``least`` or more; a text is known by its h1."""
+    """As ``keep_one_per_group``, for texts linked by a five-word similarity of ``least`` or more; a text is known by h1 and h2."""
     @F.pandas_udf("n int, keys array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
@@ -233,5 +237,7 @@ def keep_one_of_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame
 
     full = row_keys(docs)
     rows = stored(full.select("doc_id", "h1", "h2", sketch("text").alias("s")).select("doc_id", "h1", "h2", "s.*"), "similar-rows")
-    roots = link_similar(rows, full.select("h1", "text"), least)
-    return _keep_first(docs, rows.select("doc_id", "h1", "h2").join(roots, "h1"))
+    roots = link_similar(rows, full.select("h1", "h2", "text"), least).withColumnRenamed("h2", "known")
+    alone = F.xxhash64("h1", "h2")  # a text whose h1 is another's
+    rooted = rows.select("doc_id", "h1", "h2").join(roots, "h1")
+    return _keep_first(docs, rooted.select("doc_id", "h1", "h2", F.when(F.col("h2") == F.col("known"), F.col("root")).otherwise(alone).alias("root")))

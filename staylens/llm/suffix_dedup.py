@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
@@ -97,7 +97,7 @@ def parse(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 
 def _phrases(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(trigger, phrase, n, windows, doc_key, place): ``place`` packs the document's tag and the first window.
+    """(trigger, phrase, n, windows, doc_key, tag, first): ``first`` is the first window's place in the document.
 
     A phrase is one row for each document, with its ``n`` occurrences there.  If there are several, they are repeats
     already: their windows, joined into runs, are rows of n = 0, dealt by a hash of the document.  So text that repeats
@@ -120,22 +120,14 @@ def _phrases(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 runs = np.flatnonzero(np.concatenate([[True], first[again][1:] != (first + count)[again][:-1]])) if len(again) else again
                 lo = first[again][runs]
                 size = np.add.reduceat(count[again], runs) if len(again) else lo
-                own = _mix(np.arange(len(lo), dtype=np.uint64) + trigger[:1] + np.uint64(tag)).view(np.int64)
+                own = _mix(np.arange(len(lo), dtype=np.uint64) + trigger[:1] + np.uint64(tag % (1 << 64))).view(np.int64)
                 rows.append((np.concatenate([trigger[at].view(np.int64), own]), np.concatenate([phrase[at].view(np.int64), np.zeros(len(lo), np.int64)]),
                              np.concatenate([n, np.zeros(len(lo), np.int64)]), np.concatenate([count[at], size]), np.full(len(at) + len(lo), key),
-                             (np.int64(tag) << 40) | np.concatenate([first[at], lo])))
+                             np.full(len(at) + len(lo), tag), np.concatenate([first[at], lo])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["trigger", "phrase", "n", "windows", "doc_key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["trigger", "phrase", "n", "windows", "doc_key", "tag", "first"])
 
-    return docs.mapInArrow(run, "trigger long, phrase long, n long, windows long, doc_key long, place long")
-
-
-def _tag(place: Column) -> Column:
-    return F.shiftright(place, 40).cast("int")
-
-
-def _first(place: Column) -> Column:
-    return place.bitwiseAND(F.lit((1 << 40) - 1))
+    return docs.mapInArrow(run, "trigger long, phrase long, n long, windows long, doc_key long, tag long, first long")
 
 
 def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -207,10 +199,14 @@ def _shards(length: int):
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """Documents with ``doc_key`` and ``tag``, which tell rows of one id apart by their texts."""
+    """Documents with ``doc_key`` and ``tag``, which tell rows apart by id and text.
+
+    ``tag`` is 63 bits of the text's hash, and in the lowest bit whether the id is null; ``doc_key`` is the id, or where it is
+    null other 64 bits of the text's hash.  So rows without an id are spread like others.
+    """
     raw = docs.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 22) - 1)) + F.when(F.col("doc_id").isNull(), 1 << 22).otherwise(0)
-    return raw.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_key"), tag.cast("int").alias("tag"), "text", *more)
+    tag = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return raw.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text")).alias("doc_key"), tag.alias("tag"), "text", *more)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
@@ -220,21 +216,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     again = stored(phrases.groupBy("trigger").agg(F.sum("n").alias("all")).filter("all > 1").select("trigger", F.lit(True).alias("known")), "triggers")
     parsed = stored(phrases.join(again, "trigger", "left").filter("known OR n = 0").drop("known"), "phrases")
     words = (parsed.filter("n > 0").groupBy("trigger", "phrase")
-             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_key", "place", "windows")).alias("at")))
-    place, windows = F.col("place"), F.col("windows")
+             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_key", "tag", "first", "windows")).alias("at")))
+    span = ["doc_key", "tag", "first", "windows"]
     across = parsed.filter("n = 1").join(words.filter("docs > 1").select("trigger", "phrase"), ["trigger", "phrase"])
-    copies = (across.select("doc_key", "place", "windows").union(parsed.filter("n = 0").select("doc_key", "place", "windows"))
-              .select("doc_key", _tag(place).alias("tag"), _first(place).alias("start"), (_first(place) + windows + (length - 1)).alias("end")))
+    copies = (across.select(*span).union(parsed.filter("n = 0").select(*span))
+              .select("doc_key", "tag", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).alias("end")))
     shared = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    place = F.col("at.place")
     entries = stored(words.join(shared, "trigger").select(
         "trigger", "n", F.ceil(F.col("k") / shard_phrases).cast("int").alias("shards"),
         F.pmod(F.col("phrase"), F.ceil(F.col("k") / shard_phrases)).cast("int").alias("salt"), F.col("at.doc_key").alias("doc_key"),
-        _tag(place).alias("tag"), _first(place).alias("first"), F.col("at.windows").alias("windows")), "dictionary")
+        F.col("at.tag").alias("tag"), F.col("at.first").alias("first"), F.col("at.windows").alias("windows")), "dictionary")
     cut = F.expr(f"substring(text, CAST(first AS INT) + 1, CAST(windows AS INT) + {length - 1})")
     texts = docs.join(entries, ["doc_key", "tag"]).select("trigger", "salt", "shards", "n", "doc_key", "tag", "first", cut.alias("text"))
     found = (texts.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt")
-             .mapInPandas(_shards(length), "doc_key long, tag int, start long, end long, h1 long, h2 long, open boolean"))
+             .mapInPandas(_shards(length), "doc_key long, tag long, start long, end long, h1 long, h2 long, open boolean"))
     spans = ["doc_key", "tag", "start", "end"]
     if entries.filter("shards > 1").isEmpty():
         return copies.union(found.select(*spans))
@@ -273,7 +268,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_phrases
     rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")) if others != ["doc_id"] else base
     joined = rows.join(spans, ["doc_key", "tag"], "left")
     if others == ["doc_id"]:
-        joined = joined.withColumn("row", F.struct(F.when(F.col("tag") < (1 << 22), F.col("doc_key")).cast(docs.schema["doc_id"].dataType).alias("doc_id")))
+        joined = joined.withColumn("row", F.struct(F.when(F.col("tag").bitwiseAND(F.lit(1)) == 0, F.col("doc_key")).cast(docs.schema["doc_id"].dataType).alias("doc_id")))
     ready = joined.select("row", "text", "spans")
 
     def run(batches):

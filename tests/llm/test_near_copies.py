@@ -157,40 +157,6 @@ def test_components_of_long_chain_and_star(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1200)}, 1999: 1999, 2000: 1999}
 
 
-def plain_order_minhash(text, k=8, slots=64, size=2):
-    """The same selection with lists: substrings, their occurrence numbers, ring order, text order."""
-    with np.errstate(over="ignore"):
-        chars = order_minhash._mix(np.array([ord(c) for c in text], np.uint64) + np.uint64(1))
-        k = min(k, len(chars))
-        h = []
-        for i in range(len(chars) - k + 1):
-            x = chars[i:i + 1]
-            for j in range(1, k):
-                x = x * order_minhash._MULT + chars[i + j]
-            h.append(int(order_minhash._mix(x + np.uint64(k))[0]))
-        low = (1 << len(h).bit_length()) - 1
-        seen, ring = {}, []
-        for p, x in enumerate(h):
-            g = x & ~low
-            number = seen.get(g, 0)
-            seen[g] = number + 1
-            ring.append(((int(order_minhash._mix(np.array([g], np.uint64) + np.array([number], np.uint64) * order_minhash._MULT)[0]) & ~low) | p, p))
-        ring.sort()
-        out = []
-        for s in range(slots):
-            start = next((i for i, (v, _) in enumerate(ring) if v >= s * (2 ** 64 // slots)), 0)
-            x = np.zeros(1, np.uint64)
-            for p in sorted(ring[(start + j) % len(ring)][1] for j in range(min(size, len(ring)))):
-                x = order_minhash._mix(x * order_minhash._MULT + np.uint64(h[p]))
-            out.append(int(x[0]) >> 32)
-    return out
-
-
-@pytest.mark.parametrize("text", ["a", "abc", "abcdefgh", "abcdefghi", "aaaaaaaaaaaaaaaaaaaa", "the cat and the cat and the dog saw " * 3, "é漢字 mixed ✓ text with marks"])
-def test_order_minhash_by_lists(text):
-    assert order_minhash.fingerprint(text).tolist() == plain_order_minhash(text)
-
-
 def whole_hash_order_minhash(text, k=8, slots=64, size=2):
     """By lists, with places on the ring from the whole 64-bit hash and the occurrence number alone."""
     m = 2 ** 64

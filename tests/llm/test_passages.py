@@ -213,3 +213,18 @@ def test_pack_harmonic_counts():
 
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_dedup_tells_rows_without_ids_apart(spark):
+    """Thousands of rows without an id, and one id with many texts: unique texts stay whole, repeats go, nothing fails."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    own = ["".join(rng.choices(letters, k=rng.randint(200, 260))) for _ in range(5000)]
+    shared = "".join(rng.choices(letters, k=250))
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(own)] + [(None, shared), (7, shared + own[0][:50]), (None, own[1])]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "kept").collect()
+    assert len(got) == len(rows)
+    left = sorted(((r.doc_id is None, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got))
+    want = [(i is None, len(t), 0, t.encode()) for i, t in rows[:5000] if t != own[1]]
+    want += [(True, 250, 250, b""), (False, 300, 250, own[0][:50].encode())] + [(True, len(own[1]), len(own[1]), b"")] * 2
+    assert left == sorted(want)
