@@ -108,11 +108,21 @@ def test_candidates_against_brute_force():
         words = [rng.choice(WORDS) for _ in range(rng.randrange(60, 400))]
         other = edited(words, rng.randrange(0, len(words) // 30), rng)
         if 0.8 <= plain_similarity(" ".join(words), other) < 0.95:
-            a, b = (simhash.band_keys(simhash.shingle_set(t.encode())) for t in (" ".join(words), other))
-            all_pairs, found = all_pairs + 1, found + bool((a == b).any())
+            a, b = (simhash.minima(simhash.shingle_set(t.encode())) for t in (" ".join(words), other))
+            unlike = (a.astype(np.uint8) != b.astype(np.uint8)).sum()
+            all_pairs, found = all_pairs + 1, found + bool((simhash.band_keys(a) == simhash.band_keys(b)).any() and unlike <= simhash.most_unlike(0.8))
     assert all_pairs > 100 and found / all_pairs > 0.99
 
 
+def test_sketches_count_unlike_minima(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, (40, 256)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < 0.4, a, a ^ rng.integers(0, 1 << 63, a.shape).astype(np.uint64))
+    rows = [(simhash.sketch(x).tolist(), simhash.sketch(y).tolist()) for x, y in zip(a, b)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<long>, y array<long>").select(simhash._unlike("x", "y")).collect()]
+    assert got == (a.astype(np.uint8) != b.astype(np.uint8)).sum(axis=1).tolist()
+
+
 def test_stage_keeps_one_of_texts_at_four_fifths(spark):
     rng, docs = random.Random(12), []
     for _ in range(25):
