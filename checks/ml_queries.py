@@ -213,7 +213,7 @@ op("cross_validation_one_feature", lambda s, d: G.cross_validate(_points(s, d),
 
 def _experiment(s, d):
     from .operator_queries import _scratch
-    result = M.train_experiment(_train(s, d), SHORT, 3)
+    result = M.train_experiment(_train(s, d), SHORT)
     root = M.save_experiment(result, _scratch(s, d, "models"))
     again = M.load_model(root, result["best"])
     return E.metrics(M.predict(again, _test(s, d), META, result["best"]))
