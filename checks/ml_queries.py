@@ -10,6 +10,7 @@ from staylens.operators import features as X
 from staylens.operators import gram as G
 from staylens.operators import models as M
 from staylens.operators.ordering import checkpointed
+from staylens.operators.quantile_trees import fit_quantile_trees
 
 from .layers import fixed, wh
 from .operator_queries import silver, table
@@ -159,7 +160,7 @@ def _derived_attribution(s, d):
 
 # ---- models (short searches; rows-only) ---------------------------------------------------------------------------
 SHORT = {"ridge": settings.MODELS["ridge"],
-         "random_forest": {"search": "random", "draws": 2, "grid": {"numTrees": [8], "maxDepth": [5], "minInstancesPerNode": [5]}},
+         "random_forest": settings.MODELS["random_forest"],
          "xgboost": {"search": "random", "draws": 1, "grid": {"maxIter": [5, 8], "maxDepth": [3], "stepSize": [0.1], "subsamplingRate": [0.8]}}}
 _cache: dict = {}
 
@@ -188,8 +189,16 @@ def _ridge(s, d):
 
 META = ["listing_id", "meta_city", "meta_room_type", "meta_price_quintile", "meta_has_reviews", "meta_is_professional_host"]
 op("ridge_model", lambda s, d: E.metrics(M.predict(_ridge(s, d), _test(s, d), META, "ridge")))
-op("random_forest_model", lambda s, d: E.metrics(M.predict(M.estimator("random_forest", numTrees=8, maxDepth=5).fit(_train(s, d)), _test(s, d), META, "random_forest")))
-op("boosted_model", lambda s, d: E.metrics(M.predict(M.estimator("lightgbm", maxIter=5, maxDepth=3).fit(_train(s, d)), _test(s, d), META, "lightgbm")))
+def _forest(s, d):
+    key = (s.sparkContext.applicationId, d, "forest")
+    if key not in _cache:
+        _cache[key] = M.estimator("random_forest", **{k: v[0] for k, v in settings.MODELS["random_forest"]["grid"].items()}).fit(_train(s, d))
+    return _cache[key]
+
+
+op("random_forest_model", lambda s, d: E.metrics(M.predict(_forest(s, d), _test(s, d), META, "random_forest")))
+op("boosted_model", lambda s, d: E.metrics(M.predict(M.estimator("lightgbm", **{k: v[0] for k, v in settings.MODELS["lightgbm"]["grid"].items()}).fit(_train(s, d)),
+                                                     _test(s, d), META, "lightgbm")))
 op("grid_search", lambda s, d: G.grid_scores(_train(s, d), settings.MODELS["ridge"]["grid"]["regParam"]))
 op("cross_validation", lambda s, d: G.cross_validate(_train(s, d), 0.1))
 # one feature, where sums give the fit in SQL: slope = covariance / variance * n / (n + alpha)
@@ -223,7 +232,10 @@ op("train_experiment", _experiment)
 
 
 def _interval(s, d):
-    low, high = (M.fit_quantile(_train(s, d), q, rounds=4) for q in (0.1, 0.9))
+    key = (s.sparkContext.applicationId, d, "bounds")
+    if key not in _cache:
+        _cache[key] = fit_quantile_trees(_train(s, d))
+    low, high = (_cache[key][q] for q in settings.QUANTILES)
     return low, high, M.predict_interval(low, high, _test(s, d), META)
 
 
@@ -240,8 +252,28 @@ op("leave_area_out_one_feature", lambda s, d: G.leave_group_out(X.with_target(X.
 op("city_transfer", lambda s, d: M.city_transfer(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
 op("area_ablation", lambda s, d: M.area_ablation(M.estimator("ridge", regParam=0.1), _matrix(s, d)[0], _matrix(s, d)[1]))
 op("explain_linear", lambda s, d: A.importance(A.linear_attribution(_ridge(s, d), _matrix(s, d)[0], _matrix(s, d)[1])))
-op("explain_trees", lambda s, d: A.importance(A.sampled_attribution(M.estimator("random_forest", numTrees=5, maxDepth=4).fit(_train(s, d)), _matrix(s, d)[0], _matrix(s, d)[1],
-                                                                   sample=40, background=8)))
+op("explain_trees", lambda s, d: _explained(s, d)["importance"])
+
+
+def _explained(s, d):
+    from .operator_queries import _scratch
+    matrix, names, rows_ = _matrix(s, d)
+    return A.explain(_forest(s, d), matrix, names, M.predict(_forest(s, d), rows_, ["listing_id"]), _scratch(s, d, "explained"))
+
+
+def _adding_up(s, d, model, values, base):
+    """Rows explained, and rows whose values do not add up to prediction minus mean."""
+    total = values.groupBy("listing_id").agg(F.sum("attribution").alias("t"), rows().alias("n"))
+    off = (F.abs(F.col("t") + F.lit(base) - F.col("yhat")) > 1e-8) | F.col("t").isNull() | (F.col("n") != len(_matrix(s, d)[1]))
+    return M.predict(model, _matrix(s, d)[2], ["listing_id"]).join(total, "listing_id", "left").agg(rows().alias("rows_explained"), F.count_if(off).alias("rows_off"))
+
+
+op("explain_trees_adds_up", lambda s, d: _adding_up(s, d, _forest(s, d), _explained(s, d)["values"], A.expected_value(_forest(s, d), s)),
+   "SELECT count(*) rows_explained, 0::BIGINT rows_off FROM qt", feat("fr", "tr", "qt"))
+op("explain_bounds_adds_up", lambda s, d: _adding_up(s, d, _interval(s, d)[1], A.tree_attribution(_interval(s, d)[1], *_matrix(s, d)[:2]), A.expected_value(_interval(s, d)[1], s)),
+   "SELECT count(*) rows_explained, 0::BIGINT rows_off FROM qt", feat("fr", "tr", "qt"))
+op("explain_trees_by_city", lambda s, d: _explained(s, d)["importance_by_city"])
+op("explain_trees_cases", lambda s, d: _explained(s, d)["cases"])
 
 
 def _local(s, d):

@@ -1,16 +1,21 @@
-"""Feature attribution: exact for linear models, sampled Shapley values for tree models."""
+"""Feature attribution: exact Shapley values of linear models and of tree ensembles."""
 
-import random
+import uuid
+from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .distribution import sample_rows
 from .features import from_target
-from .ordering import checkpointed, exact_quantiles
+from .ordering import checkpointed, exact_quantiles, shared_folder
 
-BACKGROUND = 100
+MAX_NODES = 2_000_000  # of an ensemble: its leaf table goes to every task
+ROWS_AT_ONCE = 256
+LEAVES_AT_ONCE = 256
 
 
 def _chosen(matrix: DataFrame, rows: DataFrame | None, key: str, sample: int | None) -> DataFrame:
@@ -31,41 +36,140 @@ def linear_attribution(model, matrix: DataFrame, features: list[str], key: str =
     return _chosen(matrix, rows, key, sample).select(key, *extra, F.inline(cells))
 
 
-def sampled_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int | None = None,
-                        background: int = BACKGROUND, seed: int = 42, extra: list[str] = [], rows: DataFrame | None = None) -> DataFrame:
-    """Shapley values by sampled orders: features switch one by one from a background row to the explained row.
+@dataclass
+class Leaves:
+    """Leaves of an ensemble with the same number of distinct path features: arrays of shape (leaf, feature on the path).
 
-    Each of the ``background`` rows is used once, with an order of its own.  Every (row, order, step) is one row scored by
-    the model, so the cluster scores them in parallel; explained are all rows of ``matrix``, or ``rows``, or a ``sample``.
+    A row reaches a leaf if each of its path features lies in (low, high]; ``share`` is the part of the fitted rows that
+    follow all cuts on that feature, given the cuts on the others.
     """
-    p = len(features)
-    picked = checkpointed(_chosen(matrix, rows, key, sample).select(key, *extra, F.array(*[F.col(f"`{f}`") for f in features]).alias("_x")))
-    ground = [r[0] for r in sample_rows(matrix, key, background, seed + 1).select(F.array(*[F.col(f"`{f}`") for f in features])).collect()]
-    rng = random.Random(seed)
-    plans = []
-    for i, row in enumerate(ground):
-        order = list(range(p))
-        rng.shuffle(order)
-        turn = [0] * p
-        for at, f in enumerate(order):
-            turn[f] = at
-        plans.append((i, turn, order, [float(v) for v in row]))
-    orders = matrix.sparkSession.createDataFrame(plans, "_i int, _turn array<int>, _order array<int>, _bg array<double>")
-    # the orders are a fixed short list; every explained row takes all of them
-    steps = (picked.join(F.broadcast(orders), F.lit(True))
-             .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p)))))
-    mixed = F.transform(F.arrays_zip("_x", "_turn", "_bg"), lambda z: F.when(z["_turn"] < F.col("_step"), z["_x"]).otherwise(z["_bg"]))
-    scored = model.transform(steps.select(key, *extra, "_i", "_order", "_step", array_to_vector(mixed).alias("features")))
-    w = Window.partitionBy(key, "_i").orderBy("_step")
-    moved = scored.withColumn("_gain", F.col("yhat") - F.lag("yhat").over(w)).filter("_step > 0")
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def tree_nodes(model, spark: SparkSession) -> tuple[list[tuple], list[float], float]:
+    """Node table, tree weights and constant of an ensemble: (tree, node, left, right, feature, threshold, value, rows)."""
+    if hasattr(model, "nodes"):
+        nodes = model.nodes()
+        return nodes, [1.0] * (1 + max(n[0] for n in nodes)), model.base
+    path = shared_folder(spark, "trees", uuid.uuid4().hex)
+    model.write().overwrite().save(path)  # the public form of the trees
+    table = spark.read.parquet(f"{path}/data")
+    n = table.count()
+    if n > MAX_NODES:
+        raise ValueError(f"{n} tree nodes, at most {MAX_NODES} are explained")
+    if table.filter("nodeData.split.numCategories > 0").limit(1).count():
+        raise ValueError("cuts by category are not explained")
+    flat = table.select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+                        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("t"), "nodeData.prediction",
+                        F.element_at("nodeData.impurityStats", 1).alias("rows"))
+    weights = [1.0 / len(model.trees)] * len(model.trees) if isinstance(model, RandomForestRegressionModel) else list(model.treeWeights)
+    return [tuple(r) for r in flat.collect()], weights, 0.0  # bounded by MAX_NODES
+
+
+def leaf_table(nodes: list[tuple], weights: list[float], constant: float = 0.0) -> tuple[list[Leaves], float]:
+    """Leaves by path length, and the ensemble's mean over the fitted rows."""
+    trees: dict = {}
+    for t, n, *rest in nodes:
+        trees.setdefault(t, {})[n] = rest
+    by_size: dict = {}
+    mean = constant
+    for t, tree in trees.items():
+        stack = [(0, {}, 1.0)]
+        while stack:
+            n, path, reach = stack.pop()
+            left, right, f, cut, value, rows = tree[n]
+            if left < 0:
+                mean += weights[t] * value * reach
+                if path and value:
+                    by_size.setdefault(len(path), []).append((path, weights[t] * value))
+                continue
+            for child, goes_left in ((left, True), (right, False)):
+                part = tree[child][5] / rows if rows else 0.0
+                if f < 0:  # no cut: all rows go left
+                    if goes_left:
+                        stack.append((child, path, reach))
+                    continue
+                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+                low, high = (low, min(high, cut)) if goes_left else (max(low, cut), high)
+                stack.append((child, {**path, f: (low, high, share * part)}, reach * part))
+    out = []
+    for size in sorted(by_size):
+        cells = by_size[size]
+        column = [np.array([[p[f][k] for f in sorted(p)] for p, _ in cells]) for k in range(3)]
+        out.append(Leaves(np.array([sorted(p) for p, _ in cells]), *column, np.array([v for _, v in cells])))
+    return out, mean
+
+
+def shapley_values(x: np.ndarray, table: list[Leaves], width: int) -> np.ndarray:
+    """Exact path-dependent Shapley values of rows ``x``, one column per feature.
+
+    For a leaf with value v and path features of which a row meets o_j (0 or 1) and the fitted rows meet the share z_j, the
+    value of feature j is v (o_j - z_j) times the integral over t in [0, 1] of the product of t o_i + (1 - t) z_i over the other
+    path features: the integral weighs every subset of them as Shapley does.  The integrand is a polynomial of degree d - 1 in t, so
+    ceil(d / 2) Gauss points give it exactly, and the work is polynomial in the depth.
+    """
+    out = np.zeros((len(x), width))
+    for leaves in table:
+        d = leaves.feature.shape[1]
+        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        points, weights = (points + 1) / 2, weights / 2
+        for start in range(0, len(leaves.value), LEAVES_AT_ONCE):
+            some = slice(start, start + LEAVES_AT_ONCE)
+            f, z = leaves.feature[some], leaves.share[some]
+            v = x[:, f]
+            # a missing value fails every comparison, so it meets only paths that always go right
+            o = (~(v <= leaves.low[some]) & ((v <= leaves.high[some]) | np.isinf(leaves.high[some]))).astype(float)
+            total = np.zeros_like(o)
+            for t, w in zip(points, weights):
+                part = t * o + (1 - t) * z
+                before, after = np.ones_like(part), np.ones_like(part)
+                for k in range(1, d):
+                    before[:, :, k] = before[:, :, k - 1] * part[:, :, k - 1]
+                    after[:, :, d - 1 - k] = after[:, :, d - k] * part[:, :, d - k]
+                total += w * before * after
+            gains = (total * (o - z) * leaves.value[some][None, :, None]).reshape(len(x), -1)
+            order = np.argsort(f.ravel(), kind="stable")
+            names, first = np.unique(f.ravel()[order], return_index=True)
+            out[:, names] += np.add.reduceat(gains[:, order], first, axis=1)
+    return out
+
+
+def tree_attribution(model, matrix: DataFrame, features: list[str], key: str = "listing_id", sample: int | None = None,
+                     extra: list[str] = [], rows: DataFrame | None = None) -> DataFrame:
+    """Exact Shapley values of a tree ensemble, one row per key and feature, from the trees' own node table.
+
+    A row's values add up to its prediction minus the ensemble's mean over the fitted rows (``expected_value``).  Rows are
+    explained where they lie, without a shuffle; explained are all rows of ``matrix``, or ``rows``, or a ``sample`` if asked for.
+    """
+    table, _ = leaf_table(*tree_nodes(model, matrix.sparkSession))
+    src = _chosen(matrix, rows, key, sample).select(key, *extra, F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x"))
+    width = len(features)
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, len(b), ROWS_AT_ONCE):
+                part = b.iloc[start:start + ROWS_AT_ONCE]
+                x = np.array([[np.nan if v is None else v for v in r] for r in part["_x"]], dtype=float)
+                yield part.drop(columns="_x").assign(_a=list(shapley_values(x, table, width)))
+    kept = src.drop("_x").schema
+    values = src.mapInPandas(run, StructType([*kept.fields, StructField("_a", ArrayType(DoubleType()))]))
     names = F.array(*[F.lit(f) for f in features])
-    return moved.groupBy(key, *extra, F.element_at(names, F.element_at("_order", F.col("_step")) + 1).alias("feature")).agg(
-        F.avg("_gain").alias("attribution"))
+    return values.select(key, *extra, F.inline(F.arrays_zip(names.alias("feature"), F.col("_a").alias("attribution")))).toDF(
+        key, *extra, "feature", "attribution")
+
+
+def expected_value(model, spark: SparkSession) -> float:
+    """Mean of a tree ensemble over the rows it was fitted on."""
+    return leaf_table(*tree_nodes(model, spark))[1]
 
 
 def attribution(model, matrix: DataFrame, features: list[str], **options) -> DataFrame:
     return linear_attribution(model, matrix, features, **options) if hasattr(model, "coefficients") else \
-        sampled_attribution(model, matrix, features, **options)
+        tree_attribution(model, matrix, features, **options)
 
 
 def importance(values: DataFrame, by: list[str] = [], top: int = 20, min_rows: int = 10, key: str = "listing_id") -> DataFrame:
@@ -104,3 +208,19 @@ def local_explanations(values: DataFrame, cases: DataFrame, key: str = "listing_
     placed = mine.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
     kept = placed.filter(((F.col("_up") <= top) & (F.col("attribution") > 0)) | ((F.col("_down") <= top) & (F.col("attribution") < 0)))
     return kept.select("case", key, F.expm1("y").alias("true_value"), from_target("yhat").alias("predicted_value"), "feature", "attribution")
+
+
+def explain(model, matrix: DataFrame, features: list[str], predictions: DataFrame, path: str, key: str = "listing_id", city: str = "meta_city",
+            top: int = 20, min_rows: int = 10) -> dict[str, DataFrame]:
+    """The whole explanation job: values of all rows stored as Parquet below ``path`` and read back by its three reports:
+    importance overall, importance per city, and the five chosen cases."""
+    extra = [city] if city in matrix.columns else []
+    attribution(model, matrix, features, key=key, extra=extra).write.mode("overwrite").parquet(f"{path}/values")
+    values = matrix.sparkSession.read.parquet(f"{path}/values")
+    cases = checkpointed(local_cases(predictions, key).join(predictions.select(key, "y", "yhat"), key))  # five rows
+    out = {"values": values, "importance": importance(values, top=top, key=key), "cases": local_explanations(values.drop(*extra), cases, key)}
+    if extra:
+        out["importance_by_city"] = importance(values, [city], top, min_rows, key)
+    for name in out.keys() - {"values"}:
+        out[name].write.mode("overwrite").json(f"{path}/{name}")
+    return out

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
                                    RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings
@@ -20,6 +20,7 @@ from . import evaluation as E
 from . import gram
 from .distribution import rows_union
 from .ordering import checkpointed, positions
+from .quantile_trees import QuantileTrees, fit_quantile_trees
 
 SEED = settings.SPLIT_SEED
 PARALLEL = 4  # models fitted at the same time; each fit is itself a distributed job
@@ -104,8 +105,9 @@ def experiment_id(config: dict, now: dt.datetime | None = None) -> str:
     return f"{stamp}_{hashlib.md5(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:8]}"
 
 
-def train_experiment(data: DataFrame, families: dict[str, dict] | None = None, folds: int = settings.FOLDS) -> dict:
-    """Tunes, cross-validates and fits every family; the best one has the smallest mean absolute error."""
+def train_experiment(data: DataFrame, families: dict[str, dict] | None = None, folds: int = settings.FOLDS,
+                     quantiles: tuple = settings.QUANTILES) -> dict:
+    """Tunes, cross-validates and fits every family, then the interval bounds; the best family has the smallest mean absolute error."""
     families = families or settings.MODELS
     models, params, scores = {}, {}, []
     for name, spec in families.items():
@@ -115,39 +117,31 @@ def train_experiment(data: DataFrame, families: dict[str, dict] | None = None, f
         models[name] = est.fit(data)
     summary = checkpointed(E.cv_summary(rows_union(scores)))
     best = summary.orderBy("mae_mean", "model").first()
-    return {"id": experiment_id(families), "models": models, "params": params, "cv": summary, "best": best.model, "best_mae": best.mae_mean}
+    return {"id": experiment_id(families), "models": models, "params": params, "cv": summary, "best": best.model, "best_mae": best.mae_mean,
+            "bounds": fit_quantile_trees(data, quantiles) if quantiles else {}}
 
 
 def save_experiment(result: dict, path: str) -> str:
     root = f"{path}/{result['id']}"
     for name, model in result["models"].items():
         model.write().overwrite().save(f"{root}/models/{name}")
-    result["cv"].write.mode("overwrite").json(f"{root}/metrics")
     spark = result["cv"].sparkSession
+    for tau, model in result["bounds"].items():
+        model.save(spark, f"{root}/models/{bound_name(tau)}")
+    result["cv"].write.mode("overwrite").json(f"{root}/metrics")
     spark.createDataFrame([(n, json.dumps(p), n == result["best"]) for n, p in result["params"].items()],
                           "model string, params string, is_best boolean").write.mode("overwrite").json(f"{root}/params")
     return root
 
 
-def load_model(root: str, name: str):
-    return LOADERS[name].load(f"{root}/models/{name}")
-
+def bound_name(tau: float) -> str:
+    return f"quantile_{tau:.2f}"
 
-def fit_quantile(data: DataFrame, tau: float, rounds: int = 12, floor: float = 1e-3, ridge: float = 1e-6):
-    """Linear quantile model by reweighted least squares: MLlib has no quantile loss.
 
-    Each round weights a row by its side of the current fit over its distance to it; the rows are always the
-    stored ones, so the plan does not grow with the rounds.
-    """
-    def fit(weighted: DataFrame):
-        return LinearRegression(labelCol="target", featuresCol="features", predictionCol="yhat", weightCol="_w", elasticNetParam=0.0,
-                                regParam=ridge, solver="normal").fit(weighted)
-    model = fit(data.withColumn("_w", F.lit(1.0)))
-    for _ in range(rounds):
-        e = F.col("target") - F.col("yhat")
-        side = F.when(e >= 0, tau).otherwise(1 - tau)
-        model = fit(model.transform(data).withColumn("_w", side / F.greatest(F.abs(e), F.lit(floor))).drop("yhat"))
-    return model
+def load_model(root: str, name: str, spark: SparkSession | None = None):
+    """A stored model; interval bounds go by ``bound_name`` and need the session."""
+    path = f"{root}/models/{name}"
+    return LOADERS[name].load(path) if name in LOADERS else QuantileTrees.load(spark, path)
 
 
 def predict_interval(low, high, data: DataFrame, keep: list[str]) -> DataFrame:

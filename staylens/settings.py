@@ -234,6 +234,8 @@ MODELS = {
                  "grid": {"maxIter": [100, 200], "maxDepth": [4, 6], "stepSize": [0.05, 0.1],
                           "subsamplingRate": [0.8]}},
 }
+QUANTILES = (0.10, 0.90)
+QUANTILE_TREES = {"rounds": 20, "trees": 10, "depth": 4, "step": 0.25, "row_share": 0.8, "feature_share": 0.8, "min_rows": 20}
 ESTIMATOR_DEFAULTS = {"accommodates": 2.0, "bedrooms": 1.0, "beds": 1.0, "bathrooms": 1.0,
                       "amenity_count": 15.0, "number_of_reviews": 10.0, "review_scores_rating": 4.8,
                       "availability_365": 100.0, "minimum_nights": 2.0, "host_tenure_years": 5.0,
