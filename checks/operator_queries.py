@@ -9,6 +9,7 @@ from staylens.functions.rounding import ratio, rows
 from staylens.operators import cleaning, distribution as D, enrich, harmonize, ledger, ordering, profiling, relations, star
 from staylens.operators import quality as Q
 from staylens.operators.joins import join_to_unique
+from staylens.operators.smooth import smooth_trend
 from staylens.sources import readers, sinks
 
 from .layers import fixed, wh
@@ -316,6 +317,15 @@ op("group_correlation", lambda s, d: table(s, d, "lineitem").groupBy("l_returnfl
 op("binned_trend", lambda s, d: D.binned_trend(table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 10),
    f"""SELECT bin, count(*) n, {R('avg(l_extendedprice)', 4)} mean_x, {R('avg(l_quantity)', 4)} mean_y, {R('median(l_quantity)', 4)} median_y FROM (
  SELECT *, len(list_filter(e, lambda x: l_extendedprice > x))::INT bin FROM lineitem, (SELECT quantile_cont(l_extendedprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) e FROM lineitem)) GROUP BY bin""")
+_SMOOTH = {"sv": "SELECT l_quantity::DOUBLE x, count(*)::DOUBLE c, sum(l_extendedprice::DOUBLE) sy FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1",
+           "sd": "SELECT a.x p, b.x - a.x dx, b.c, b.sy, sum(b.c) OVER (PARTITION BY a.x ORDER BY abs(b.x - a.x)) upto FROM sv a, sv b",
+           "sr": "SELECT p, min(abs(dx)) FILTER (upto >= (SELECT greatest(1, floor(0.3e0 * sum(c) + 1e-10)) FROM sv)) reach FROM sd GROUP BY 1",
+           "sw": "SELECT p, reach, sum(w * c) s0, sum(w * c * dx) s1, sum(w * c * dx * dx) s2, sum(w * sy) t0, sum(w * sy * dx) t1 FROM "
+                 "(SELECT *, if(reach > 0, pow(1 - pow(least(abs(dx) / if(reach > 0, reach, 1), 1), 3), 3), (dx = 0)::INT) w FROM sd JOIN sr USING (p)) GROUP BY 1, 2"}
+op("smooth_trend", lambda s, d: smooth_trend(table(s, d, "lineitem"), "l_quantity", "l_extendedprice", passes=0),
+   f"SELECT p x, {R('if(s0 * s2 - s1 * s1 > 1e-12 * s0 * s2, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), t0 / s0)', 4)} trend, reach FROM sw", _SMOOTH)
+op("price_trends", lambda s, d: D.rows_union([smooth_trend(wh(s, d).gold, c, "price_local").withColumn("feature", F.lit(c))
+                                              for c in ("accommodates", "number_of_reviews", "review_scores_rating", "availability_365")]))
 op("histogram", lambda s, d: D.histogram(table(s, d, "events"), "value", 20),
    f"""SELECT bin, {R('lo + (hi - lo) / 20 * bin', 4)} lower, {R('lo + (hi - lo) / 20 * (bin + 1)', 4)} upper, n FROM (SELECT least(floor((value - lo) / ((hi - lo) / 20)), 19)::INT bin,
  lo, hi, count(*) n FROM events, (SELECT min(value) lo, max(value) hi FROM events) GROUP BY ALL)""")
