@@ -78,7 +78,8 @@ def one_hot(df: DataFrame, columns: list[str], cap: int | None = settings.MAX_CA
             prefix: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """0/1 columns for the most frequent values; the rest share one, the first in name order is left out.
 
-    With ``min_rows`` only values held by that many rows keep their column.  ``cap=None`` merges nothing.
+    With ``min_rows`` only values held by that many rows keep their column.  ``cap=None`` merges nothing and
+    fails if a column would give more than ``settings.MAX_DUMMIES`` values.
     """
     made: list[str] = []
     exprs: list[Column] = []
@@ -87,7 +88,10 @@ def one_hot(df: DataFrame, columns: list[str], cap: int | None = settings.MAX_CA
         if cap is None:
             n = df.groupBy(F.col(c).cast("string").alias("v")).agg(rows().alias("n")).filter("v IS NOT NULL")
             first = n.agg(F.min("v")).first()[0]
-            for v in sorted(r.v for r in n.filter((F.col("n") >= min_rows) & (F.col("v") != F.lit(first))).collect()):
+            held = n.filter((F.col("n") >= min_rows) & (F.col("v") != F.lit(first))).limit(settings.MAX_DUMMIES + 1).collect()
+            if len(held) > settings.MAX_DUMMIES:
+                raise ValueError(f"{c} has more than {settings.MAX_DUMMIES} values; give a cap or a larger min_rows")
+            for v in sorted(r.v for r in held):
                 made.append(f"{(prefix or {}).get(c, c)}_{v}")
                 exprs.append(F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)).alias(made[-1]))
             continue

@@ -406,7 +406,10 @@ def posthoc(df: DataFrame, group: str, value: str, alpha: float = ALPHA, max_gro
 
 def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alpha: float = ALPHA,
                      with_posthoc: bool = True) -> dict[str, DataFrame]:
-    """ANOVA when every group looks normal, else Kruskal-Wallis; post-hoc pairs when significant."""
+    """ANOVA when every group looks normal, else Kruskal-Wallis; post-hoc pairs when significant.
+
+    With more than ``POSTHOC_GROUPS`` groups the pairs are left out and ``skipped`` says so in one row.
+    """
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     big = known.groupBy(group).agg(rows().alias("_n")).filter("_n >= 2").drop("_n")
     src = known.join(big, group, "left_semi")
@@ -418,8 +421,11 @@ def multi_group_test(df: DataFrame, group: str, value: str, name: str = "", alph
     else:
         out = with_chi2_tail(kruskal_wallis(src, group, value), F.col("k") - 1)
         row = _result_row(out, name, "Kruskal-Wallis H", "ε² (epsilon-squared)", VARIANCE_SHARE, alpha)
-    if not with_posthoc or k > POSTHOC_GROUPS:
+    if not with_posthoc:
         return {"test": row}
+    if k > POSTHOC_GROUPS:
+        note = df.sparkSession.createDataFrame([(name, k, POSTHOC_GROUPS)], "hypothesis string, n_groups long, posthoc_limit long")
+        return {"test": row, "skipped": note}
     row = checkpointed(row)
     result = {"test": row}
     if row.first().is_significant:

@@ -34,9 +34,10 @@ def ad_hoc_query(spark: SparkSession, star: dict[str, DataFrame], sql: str, rows
     """A query over views named like the star tables, at most ``rows`` rows.
 
     The text is a subquery of ours, so commands do not parse and a limit inside it cannot lift the outer one.  The views
-    are dropped when the plan is made.
+    are dropped when the plan is made, and the caller's own views of these names are put back.
     """
     text = check_read_only(sql)
+    own = {name: spark.table(name) for name in star if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary}
     for name, df in star.items():
         df.createOrReplaceTempView(name)
     try:
@@ -44,6 +45,8 @@ def ad_hoc_query(spark: SparkSession, star: dict[str, DataFrame], sql: str, rows
     finally:
         for name in star:
             spark.catalog.dropTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, star: dict[str, DataFrame], name: str | None = None, sql: str | None = None,

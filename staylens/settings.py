@@ -234,6 +234,7 @@ MODELS = {
                  "grid": {"maxIter": [100, 200], "maxDepth": [4, 6], "stepSize": [0.05, 0.1],
                           "subsamplingRate": [0.8]}},
 }
+MAX_DUMMIES = 10_000  # columns of one category when none are merged; beyond it the call fails
 QUANTILES = (0.10, 0.90)
 QUANTILE_TREES = {"rounds": 20, "trees": 10, "depth": 4, "step": 0.25, "row_share": 0.8, "feature_share": 0.8, "min_rows": 20}
 ESTIMATOR_DEFAULTS = {"accommodates": 2.0, "bedrooms": 1.0, "beds": 1.0, "bathrooms": 1.0,

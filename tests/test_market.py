@@ -143,3 +143,15 @@ def test_failed_stage_stops_the_city(spark, tmp_path):
     assert [g["status"] for g in got] == ["SUCCESS", "FAILED"]
     assert L.run_stages(led, "x", [("a", "f", "h", lambda: (1, 1, 0))])[0]["status"] == "SKIPPED"
     assert led.recent(stage="b").first().error_message == "division by zero"
+
+
+def test_ad_hoc_keeps_the_callers_views(spark, star):
+    name = sorted(star)[0]
+    spark.range(3).createOrReplaceTempView(name)
+    try:
+        run_sql(spark, star, sql=f"SELECT count(*) AS n FROM {name}").collect()
+        assert spark.table(name).columns == ["id"] and spark.table(name).count() == 3
+    finally:
+        spark.catalog.dropTempView(name)
+    run_sql(spark, star, sql=f"SELECT count(*) AS n FROM {name}").collect()
+    assert not spark.catalog.tableExists(name)

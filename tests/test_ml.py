@@ -120,3 +120,11 @@ def test_scoring_fills_and_clamps(spark):
     model = M.estimator("ridge", regParam=0.01).fit(train)
     r = M.score_prices(model, df, names).first()
     assert 10 <= r.price_low <= r.price <= r.price_high
+
+
+def test_one_hot_without_cap_fails_beyond_its_bound(spark, monkeypatch):
+    df = spark.range(40).select((F.col("id") % 8).cast("string").alias("c"))
+    assert len(X.one_hot(df, ["c"], cap=None)[1]) == 7
+    monkeypatch.setattr(X.settings, "MAX_DUMMIES", 5)
+    with pytest.raises(ValueError):
+        X.one_hot(df, ["c"], cap=None)

@@ -200,3 +200,9 @@ def test_bootstrap_quantile_of_many_values(spark):
     empty = df.filter("false")
     assert S.bootstrap_quantile(empty.withColumn("g", F.lit("a")), ["g"], "x", "id", resamples=10).collect() == []
     assert S.bootstrap(empty.withColumn("g", F.lit("a")), ["g"], {"x": F.col("x")}, lambda t: t["x"], "id", resamples=10).collect() == []
+
+
+def test_many_groups_name_the_skipped_pairs(spark):
+    df = spark.range(21 * 12).select((F.col("id") % 21).cast("string").alias("g"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    got = S.multi_group_test(df, "g", "x", "H")
+    assert "posthoc" not in got and tuple(got["skipped"].first()) == ("H", 21, 20)
