@@ -242,6 +242,19 @@ def medians(df: DataFrame, group: list[str], values: dict[str, str | Column]) ->
     return exact_quantiles(df, group, {out: (v, 0.5) for out, v in values.items()})
 
 
+def aggregate_with_medians(df: DataFrame, group: list[str], aggregates: list[Column], values: dict[str, str | Column],
+                           at_most: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Aggregates and exact medians per group, in one aggregate where no group can be too large for a task.
+
+    ``at_most`` is an upper bound of the rows of ``df``, known without evaluating it (the row count of the fact table
+    that lookups have widened).  Only above ``one_task_rows`` are the groups measured, which reads ``df`` again.
+    """
+    if at_most <= one_task_rows:
+        return df.groupBy(*group).agg(*aggregates, *[F.percentile(_double(v), 0.5).alias(n) for n, v in values.items()])
+    meds = exact_quantiles(df, group, {n: (v, 0.5) for n, v in values.items()}, one_task_rows=one_task_rows)
+    return join_groups(df.groupBy(*group).agg(*aggregates), meds, group) if aggregates else meds
+
+
 def join_groups(left: DataFrame, right: DataFrame, group: list[str], how: str = "left") -> DataFrame:
     """Join two per-group results; groups may hold NULL, and an empty group list means one row each."""
     if not group:  # both sides are single rows

@@ -18,6 +18,7 @@ from ..functions.rounding import as_col, ratio, rows
 from .distribution import rows_union
 from .joins import small_side
 from .ordering import checkpointed, join_groups, medians, running_totals, tie_ranks
+from .ranks import rank_correlations
 
 # fixed values: effect size cuts (small, medium, large)
 COHEN, BISERIAL, VARIANCE_SHARE = (0.2, 0.5, 0.8), (0.1, 0.3, 0.5), (0.01, 0.06, 0.14)
@@ -498,58 +499,13 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of every pair of columns over the rows where both are known.
-
-    Columns without gaps are ranked once each and share these ranks in all their pairs; only pairs with a gappy
-    column are ranked pair by pair.
-    """
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    known = src.agg(rows().alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
-    full = [c for c in columns if known[c] == known["_rows"]]
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
-    shared = [(x, y) for x, y in pairs if x in full and y in full]
-    single = [p for p in pairs if p not in shared]
-    parts = ([_shared_rank_correlations(src, shared)] if shared else []) + ([_pair_rank_correlations(src, single)] if single else [])
-    return rows_union(parts)
-
-
-def _shared_rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    names = sorted({c for p in pairs for c in p})
-    ranked = df.select(*names)
-    for c in names:
-        # one row per distinct value, so rows never multiply; a short list of values is broadcast at run time
-        ranked = ranked.join(tie_ranks(df, [], c).select(c, F.col("rank").alias(f"_rank_{c}")), c)
-    wide = ranked.agg(rows().alias("n"), *[F.corr(f"_rank_{x}", f"_rank_{y}").alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col("n"), F.col(f"r{i}").alias("rho"))
-                                          for i, (x, y) in enumerate(pairs)])))
-
-
-def _pair_rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pairs are reduced to counts per (pair, x, y) and ranked per pair, so equal values are handled once."""
-    items = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y")) for i, (x, y) in enumerate(pairs)])
-    cells = (df.select(F.inline(items)).filter("_x IS NOT NULL AND _y IS NOT NULL")
-             .groupBy("_p", "_x", "_y").agg(rows().alias("_c")))
-
-    def ranked(v: str) -> DataFrame:
-        per = cells.groupBy("_p", v).agg(F.sum("_c").alias("_k"))
-        run = running_totals(per, ["_p"], [v], {"_upto": "_k"})
-        return run.select("_p", v, (F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / F.lit(2.0)).alias(f"{v}_rank"))
-
-    total = cells.groupBy("_p").agg(F.sum("_c").alias("n"))
-    placed = cells.join(ranked("_x"), ["_p", "_x"]).join(ranked("_y"), ["_p", "_y"]).join(total, "_p")
-    # the mean rank is known, so products are centred before they are summed
-    dx, dy = F.col("_x_rank") - (F.col("n") + 1) / 2, F.col("_y_rank") - (F.col("n") + 1) / 2
-    c = F.col("_c")
-    out = placed.groupBy("_p").agg(F.max("n").alias("n"), F.sum(c * dx * dy).alias("sxy"), F.sum(c * dx * dx).alias("sxx"),
-                                   F.sum(c * dy * dy).alias("syy"))
-    name = F.element_at(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]), F.col("_p") + 1)
-    return out.select(name.x.alias("column_a"), name.y.alias("column_b"), "n",
-                      ratio("sxy", F.sqrt(F.col("sxx") * F.col("syy"))).alias("rho"))
+    """Rank correlation of every pair of columns over the rows where both are known."""
+    return rank_correlations(df, [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]])
 
 
 def correlates(df: DataFrame, target: str, columns: list[str], top: int | None = None) -> DataFrame:
     """Columns ordered by the size of their rank correlation with ``target``."""
-    m = spearman(df, [target, *[c for c in columns if c != target]]).filter(F.col("column_a") == target)
+    m = rank_correlations(df, [(target, c) for c in columns if c != target])
     out = m.select(F.col("column_b").alias("feature"), "rho", F.abs("rho").alias("abs_rho"),
                    F.when(F.col("rho") > 0, "positive").otherwise("negative").alias("direction")).orderBy(F.desc("abs_rho"), "feature")
     return out.limit(top) if top else out

@@ -9,8 +9,8 @@ from .. import settings
 from ..functions import bands
 from ..functions.rounding import ratio, rows, share, stable_round
 from ..operators import distribution as D
-from ..operators.ordering import exact_quantiles, join_groups, medians
-from .market import Star, _calendar, snapshot
+from ..operators.ordering import aggregate_with_medians, exact_quantiles, join_groups
+from .market import Star, _calendar, row_bound, snapshot
 
 MONTHS = list(range(1, 13))
 WINDOWS = ["availability_30", "availability_60", "availability_90", "availability_365"]
@@ -53,8 +53,8 @@ def monthly_pricing(star: Star) -> DataFrame:
 
 def weekday_pricing(star: Star) -> DataFrame:
     src, keys = _priced_calendar(star), ["city", "is_weekend", "day_name", "day_of_week"]
-    out = src.groupBy(*keys).agg(stable_round(F.avg("price"), 2).alias("avg_price"), rows().alias("observations"))
-    out = join_groups(out, medians(src, keys, {"median_price": "price"}), keys)
+    out = aggregate_with_medians(src, keys, [stable_round(F.avg("price"), 2).alias("avg_price"), rows().alias("observations")],
+        {"median_price": "price"}, row_bound(star, "fact_calendar"))
     return out.withColumn("median_price", stable_round("median_price", 2)).orderBy("city", "day_of_week").drop("day_of_week")
 
 
@@ -89,8 +89,8 @@ def minimum_nights_grid(star: Star, low: int = 0, high: int = 365) -> DataFrame:
     src = _calendar(star, with_listing=True).withColumnRenamed("display_name", "city").filter(
         (F.col("minimum_nights") > low) & (F.col("minimum_nights") < high))
     keys = ["city", "month", "month_name", "day_name", "day_of_week"]
-    out = src.groupBy(*keys).agg(stable_round(F.avg("minimum_nights"), 1).alias("avg_min_nights"))
-    out = join_groups(out, medians(src, keys, {"median_min_nights": "minimum_nights"}), keys)
+    out = aggregate_with_medians(src, keys, [stable_round(F.avg("minimum_nights"), 1).alias("avg_min_nights")],
+        {"median_min_nights": "minimum_nights"}, row_bound(star, "fact_calendar"))
     return out.withColumn("median_min_nights", stable_round("median_min_nights", 1)).orderBy("city", "month", "day_of_week")
 
 
@@ -119,12 +119,12 @@ def portfolio_hosts(star: Star, cities: list[str] | None = None) -> DataFrame:
 
 def portfolio_performance(star: Star) -> DataFrame:
     src, keys = _portfolios(star), ["city", "host_segment"]
-    out = src.groupBy(*keys).agg(
+    out = aggregate_with_medians(src, keys, [
         F.count("listing_id").alias("listings"), stable_round(F.avg("price_local"), 2).alias("avg_price"),
         stable_round(F.avg("review_scores_rating"), 2).alias("avg_rating"),
         stable_round(F.avg("occupancy_rate_pct"), 2).alias("avg_occupancy"),
-        stable_round(F.avg("estimated_monthly_revenue"), 2).alias("avg_monthly_rev"))
-    out = join_groups(out, medians(src, keys, {"median_price": "price_local"}), keys)
+        stable_round(F.avg("estimated_monthly_revenue"), 2).alias("avg_monthly_rev")],
+        {"median_price": "price_local"}, row_bound(star))
     rank = F.lit(len(bands.SEGMENT_ORDER))
     for i, label in enumerate(bands.SEGMENT_ORDER):
         rank = F.when(F.col("host_segment") == label, i).otherwise(rank)
@@ -159,10 +159,10 @@ def busy_listings(star: Star, min_reviews: int = 50, cut: float = 4.0) -> DataFr
     src = listing_base(star).filter((F.col("number_of_reviews") >= min_reviews) & F.col("review_scores_rating").isNotNull())
     src = src.withColumn("score_group", F.when(F.col("review_scores_rating") < cut, "low").otherwise("normal"))
     keys = ["score_group"]
-    out = src.groupBy(*keys).agg(rows().alias("listings"), F.avg("price_local").alias("avg_price"),
+    out = aggregate_with_medians(src, keys, [rows().alias("listings"), F.avg("price_local").alias("avg_price"),
                                  F.avg("occupancy_rate_pct").alias("avg_occupancy"),
-                                 F.avg("reviews_per_month").alias("avg_reviews_per_month"))
-    out = join_groups(out, medians(src, keys, {"median_price": "price_local"}), keys)
+                                 F.avg("reviews_per_month").alias("avg_reviews_per_month")],
+        {"median_price": "price_local"}, row_bound(star))
     return join_groups(out, D.modes(src, keys, "room_type", "top_room_type"), keys)
 
 
@@ -186,24 +186,23 @@ def sub_score_variance(star: Star) -> DataFrame:
 def room_price_summary(star: Star) -> DataFrame:
     src = D.trim_at(listing_base(star).filter("price_local > 0"), "price_local", 0.99)
     keys = ["city", "room_type"]
-    out = src.groupBy(*keys).agg(F.count("price_local").alias("count"), stable_round(F.avg("price_local"), 2).alias("mean"),
-                                 stable_round(F.stddev_samp("price_local"), 2).alias("std"))
-    out = join_groups(out, medians(src, keys, {"median": "price_local"}), keys)
+    out = aggregate_with_medians(src, keys, [F.count("price_local").alias("count"), stable_round(F.avg("price_local"), 2).alias("mean"),
+                                 stable_round(F.stddev_samp("price_local"), 2).alias("std")],
+        {"median": "price_local"}, row_bound(star))
     return out.withColumn("median", stable_round("median", 2)).orderBy(*keys)
 
 
 def market_structure(star: Star) -> DataFrame:
     """Shares and medians per city over prices up to the 99th percentile."""
     src = D.trim_at(listing_base(star).filter("price_usd > 0"), "price_usd", 0.99)
-    out = src.groupBy("city").agg(
+    out = aggregate_with_medians(src, ["city"], [
         F.count("listing_id").alias("total_listings"),
         stable_round(share(F.col("room_type") == "Entire home/apt"), 2).alias("pct_entire_home"),
         stable_round(share(F.col("host_is_superhost")), 2).alias("pct_superhost"),
-        stable_round(share(F.col("is_professional_host")), 2).alias("pct_professional"))
-    meds = medians(src, ["city"], {"median_price_usd": "price_usd", "median_rating": "review_scores_rating",
-                                   "median_occupancy": "occupancy_rate_pct", "median_reviews_per_month": "reviews_per_month"})
-    out = join_groups(out, meds, ["city"])
-    return out.withColumns({c: stable_round(c, 2) for c in meds.columns if c != "city"}).orderBy("city")
+        stable_round(share(F.col("is_professional_host")), 2).alias("pct_professional")],
+        {"median_price_usd": "price_usd", "median_rating": "review_scores_rating",
+         "median_occupancy": "occupancy_rate_pct", "median_reviews_per_month": "reviews_per_month"}, row_bound(star))
+    return out.withColumns({c: stable_round(c, 2) for c in out.columns if c.startswith("median_")}).orderBy("city")
 
 
 def room_mix(star: Star) -> DataFrame:
@@ -251,9 +250,9 @@ def portfolio_histogram(star: Star, log: bool = False, bins: int | None = None,
 
 def rating_shares(star: Star) -> DataFrame:
     rated = listing_base(star).filter("review_scores_rating IS NOT NULL")
-    out = rated.agg(rows().alias("rated"), share(F.col("review_scores_rating") >= 4.0).alias("pct_4_0"),
-                    share(F.col("review_scores_rating") >= 4.5).alias("pct_4_5"))
-    return join_groups(out, medians(rated, [], {"median_rating": "review_scores_rating"}), [])
+    return aggregate_with_medians(rated, [], [rows().alias("rated"), share(F.col("review_scores_rating") >= 4.0).alias("pct_4_0"),
+                    share(F.col("review_scores_rating") >= 4.5).alias("pct_4_5")],
+        {"median_rating": "review_scores_rating"}, row_bound(star))
 
 
 def demand_correlation(star: Star) -> DataFrame:
@@ -263,7 +262,7 @@ def demand_correlation(star: Star) -> DataFrame:
 def top_areas_by_median(star: Star, top: int = 15) -> DataFrame:
     """Areas with the highest median price per city."""
     from pyspark.sql import Window
-    meds = medians(listing_base(star), ["city", "neighbourhood_name"], {"median_price": "price_local"})
+    meds = aggregate_with_medians(listing_base(star), ["city", "neighbourhood_name"], [], {"median_price": "price_local"}, row_bound(star))
     w = Window.partitionBy("city").orderBy(F.desc("median_price"), "neighbourhood_name")
     return meds.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from ..functions import bands
 from ..functions.rounding import ratio, rows, share, stable_round
 from ..operators.joins import small_side
-from ..operators.ordering import join_groups, medians
+from ..operators.ordering import aggregate_with_medians
 
 Star = dict[str, DataFrame]
 
@@ -30,6 +30,11 @@ def snapshot(star: Star, *dims: str, city_key: int | None = None) -> DataFrame:
     return out
 
 
+def row_bound(star: Star, fact: str = "fact_listing_snapshot") -> int:
+    """Rows of a stored fact, from its file footers; lookups widen the fact and filters only shrink it."""
+    return star[fact].count()
+
+
 def _calendar(star: Star, with_listing: bool = False) -> DataFrame:
     out = star["fact_calendar"].join(star["dim_date"], "date_key")
     if with_listing:
@@ -39,19 +44,17 @@ def _calendar(star: Star, with_listing: bool = False) -> DataFrame:
     return out
 
 
-
-
 def market_overview(star: Star) -> DataFrame:
     src = snapshot(star, "city", "neighbourhood").select(
         F.col("display_name").alias("city"), F.col("neighbourhood_name").alias("neighbourhood"), "price_local",
         "occupancy_rate_pct", "estimated_monthly_revenue", "estimated_annual_revenue")
     keys = ["city", "neighbourhood"]
-    out = src.groupBy(*keys).agg(
+    out = aggregate_with_medians(src, keys, [
         rows().alias("listing_count"), stable_round(F.avg("price_local"), 2).alias("avg_price"),
         stable_round(F.avg("occupancy_rate_pct"), 1).alias("avg_occupancy_pct"),
         stable_round(F.avg("estimated_monthly_revenue"), 0).alias("avg_monthly_revenue"),
-        stable_round(F.sum("estimated_annual_revenue"), 0).alias("total_annual_revenue"))
-    out = join_groups(out, medians(src, keys, {"median_price": "price_local"}), keys)
+        stable_round(F.sum("estimated_annual_revenue"), 0).alias("total_annual_revenue")],
+        {"median_price": "price_local"}, row_bound(star))
     return (out.withColumn("median_price", stable_round("median_price", 2))
             .orderBy("city", F.desc_nulls_last("avg_monthly_revenue"), "neighbourhood"))
 
@@ -128,15 +131,15 @@ def cross_city_comparison(star: Star) -> DataFrame:
     src = snapshot(star, "city").withColumnRenamed("display_name", "city")
     keys = ["city", "currency_code"]
     active = F.count_if("is_active")
-    out = src.groupBy(*keys).agg(
+    out = aggregate_with_medians(src, keys, [
         rows().alias("listing_count"), stable_round(F.avg("price_local"), 2).alias("avg_price_local"),
         stable_round(F.avg("price_usd"), 2).alias("avg_price_usd"),
         stable_round(F.avg("occupancy_rate_pct"), 1).alias("avg_occupancy_pct"),
         stable_round(F.avg("estimated_monthly_revenue"), 0).alias("avg_monthly_rev_local"),
         stable_round(F.avg("review_scores_rating"), 2).alias("avg_rating"),
         stable_round(F.avg("number_of_reviews"), 1).alias("avg_review_count"),
-        active.alias("active_listings"), stable_round(ratio(active, rows(), 100), 1).alias("active_pct"))
-    out = join_groups(out, medians(src, keys, {"median_price_usd": "price_usd"}), keys)
+        active.alias("active_listings"), stable_round(ratio(active, rows(), 100), 1).alias("active_pct")],
+        {"median_price_usd": "price_usd"}, row_bound(star))
     return out.withColumn("median_price_usd", stable_round("median_price_usd", 2)).orderBy(F.desc("avg_price_usd"), "city")
 
 
@@ -154,23 +157,24 @@ def map_points(star: Star, city_key: int | None = None, limit: int = 50_000) ->
 def neighbourhood_metrics(star: Star, city_key: int | None = None, min_listings: int = 50, top: int = 20) -> DataFrame:
     src = snapshot(star, "neighbourhood", city_key=city_key)
     keys = ["neighbourhood_name"]
-    out = src.groupBy(*keys).agg(rows().alias("listing_count"), F.avg("occupancy_rate_pct").alias("avg_occupancy_pct"))
-    out = out.filter(F.col("listing_count") > min_listings)
-    meds = medians(src, keys, {"median_price_usd": "price_usd", "median_monthly_revenue": "estimated_monthly_revenue"})
-    return join_groups(out, meds, keys).orderBy(F.desc_nulls_last("median_price_usd"), "neighbourhood_name").limit(top)
+    out = aggregate_with_medians(
+        src, keys, [rows().alias("listing_count"), F.avg("occupancy_rate_pct").alias("avg_occupancy_pct")],
+        {"median_price_usd": "price_usd", "median_monthly_revenue": "estimated_monthly_revenue"}, row_bound(star))
+    return (out.filter(F.col("listing_count") > min_listings)
+            .orderBy(F.desc_nulls_last("median_price_usd"), "neighbourhood_name").limit(top))
 
 
 def room_type_metrics(star: Star, city_key: int | None = None) -> DataFrame:
     src = snapshot(star, "property", city_key=city_key)
-    out = src.groupBy("room_type").agg(rows().alias("listing_count"))
-    return join_groups(out, medians(src, ["room_type"], {"median_price_usd": "price_usd"}), ["room_type"]).orderBy(
+    return aggregate_with_medians(src, ["room_type"], [rows().alias("listing_count")],
+        {"median_price_usd": "price_usd"}, row_bound(star)).orderBy(
         F.desc("listing_count"), "room_type")
 
 
 def valuation_arbitrage(star: Star, city_key: int | None = None, min_rating: float = 4.8, min_reviews: int = 30,
                         top: int = 50) -> DataFrame:
     """Well rated, well reviewed listings priced below the market median."""
-    market = medians(snapshot(star, city_key=city_key), [], {"m": "price_usd"})
+    market = aggregate_with_medians(snapshot(star, city_key=city_key), [], [], {"m": "price_usd"}, row_bound(star))
     good = snapshot(star, "property", "neighbourhood", city_key=city_key).filter(
         (F.col("review_scores_rating") >= min_rating) & (F.col("number_of_reviews") > min_reviews)
         & (F.col("price_usd") < market.scalar()))
@@ -183,9 +187,8 @@ def valuation_arbitrage(star: Star, city_key: int | None = None, min_rating: flo
 def host_concentration(star: Star, city_key: int | None = None) -> DataFrame:
     src = snapshot(star, city_key=city_key).withColumn(
         "host_segment", bands.flag_label("is_professional_host", "Professional (2+)", "Casual (1)"))
-    out = src.groupBy("host_segment").agg(rows().alias("listing_count"), F.avg("occupancy_rate_pct").alias("avg_occupancy_pct"))
-    meds = medians(src, ["host_segment"], {"median_price_usd": "price_usd", "median_revenue": "estimated_monthly_revenue"})
-    return join_groups(out, meds, ["host_segment"]).orderBy(F.desc("listing_count"))
+    return aggregate_with_medians(src, ["host_segment"], [rows().alias("listing_count"), F.avg("occupancy_rate_pct").alias("avg_occupancy_pct")],
+        {"median_price_usd": "price_usd", "median_revenue": "estimated_monthly_revenue"}, row_bound(star)).orderBy(F.desc("listing_count"))
 
 
 def temporal_trends(star: Star, city_key: int | None = None) -> DataFrame:

@@ -103,3 +103,15 @@ def test_join_keeps_null_keys(spark):
     for hot in (10, 0):
         got = {(r.k, r.v, r.name) for r in join_to_unique(left, right, ["k"], hot).collect()}
         assert got == {(1, "p", "one"), (2, "q", None), (None, "r", None), (None, "s", None)}
+
+
+def test_aggregate_with_medians_has_one_result_in_both_forms(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", None), (None, 5.0), (None, 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    n = [F.count(F.lit(1)).alias("n")]
+    for group in (["g"], []):
+        for aggs in (n, []):
+            one, spread = ([tuple(r) for r in O.aggregate_with_medians(df, group, aggs, {"m": "v"}, at_most=most, one_task_rows=2)
+                            .select(*group, *(["n"] if aggs else []), "m").collect()] for most in (2, 6))
+            assert sorted(one, key=str) == sorted(spread, key=str)
+    assert len(one) == 1 and one[0][-1] == 3.5
