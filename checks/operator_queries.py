@@ -734,3 +734,21 @@ def _stream(s, d):
 
 
 op("stream_ingest", _stream, "SELECT * FROM s_reviews")
+
+
+def _growing(s, d):
+    import uuid
+    from staylens.operators.growing import GrowingProfile
+    base = _scratch(s, d, f"growing-{uuid.uuid4().hex[:8]}")
+    kept = GrowingProfile(s, f"{base}/state", ledger.Ledger(s, f"{base}/ledger"), "lineitem")
+    lines = table(s, d, "lineitem").select("l_partkey", "l_extendedprice", "l_returnflag")
+    for flag in ("N", "A", "R", "N"):  # one delivery each, the first one twice
+        kept.add(lines.filter(F.col("l_returnflag") == flag), f"lines-{flag}", flag)
+    return kept.report()
+
+
+op("growing_profile", lambda s, d: _growing(s, d).select("column_name", "row_count", "null_count", "min", "max", "mean"),
+   " UNION ALL ".join(f"SELECT '{c}' column_name, count(*) row_count, count(*) - count({c}) null_count, {R(f'min({n})', 4)} AS min, {R(f'max({n})', 4)} AS max, {R(f'avg({n})', 4)} mean "
+                      "FROM lineitem WHERE l_returnflag IN ('N', 'A', 'R')"
+                      for c, n in (("l_partkey", "l_partkey"), ("l_extendedprice", "l_extendedprice"), ("l_returnflag", "CAST(NULL AS DOUBLE)"))))
+op("growing_profile_sketches", lambda s, d: _growing(s, d).select("column_name", "unique_count", "unique_pct", "q25", "median", "q75"))

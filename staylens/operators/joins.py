@@ -8,13 +8,14 @@ from .ordering import checkpointed
 HOT_ROWS = 10_000_000
 
 
-def join_to_unique(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_to_unique(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Left join to ``right``, which has one row per key.
 
     Rows with a NULL key match nothing; they stay where they are and get NULL columns, so they never meet in one
     partition.  Keys with more than ``hot_rows`` rows are found by a count with partial sums.  Their rows also stay where
     they are and meet a broadcast of just these keys: there are at most rows / ``hot_rows`` of them.  All other rows take
-    the ordinary join.
+    the ordinary join.  ``hot_rows=None`` is for keys that are nearly unique on the left by their meaning: nothing is
+    counted, and what skew there is falls to the adaptive skew join.
     """
     known, absent = F.lit(True), F.lit(False)
     for k in keys:
@@ -23,6 +24,8 @@ def join_to_unique(left: DataFrame, right: DataFrame, keys: list[str], hot_rows:
     out = [*keys, *[c for c in left.columns if c not in keys], *[f.name for f in new]]
     apart = left.filter(absent).withColumns({f.name: F.lit(None).cast(f.dataType) for f in new}).select(*out)
     keyed = left.filter(known)
+    if hot_rows is None:
+        return keyed.join(right, keys, "left").select(*out).unionByName(apart)
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = checkpointed(counts.select(*keys))
     if hot.isEmpty():

@@ -24,6 +24,9 @@ CALENDAR_SCHEMA = ("listing_key bigint, date_key int, is_available boolean, pric
                    "adjusted_price double, minimum_nights int, maximum_nights int")
 REVIEW_SCHEMA = "review_id bigint, listing_key bigint, reviewer_key bigint, review_date_key int, comment_length int"
 
+# partitions of the stored calendar fact: queries on one city or a span of months read their files only
+CALENDAR_LAYOUT = {"fact_city": "city_key", "fact_month": "year(full_date) * 100 + month(full_date)"}
+
 # one value per key: text takes the smallest value present, so that the result does not depend on row order
 ANY, MIN, MAX = F.min, F.min, F.max
 
@@ -152,7 +155,7 @@ def fact_listing_snapshot(gold: DataFrame, hosts: DataFrame, properties: DataFra
 def _snapshot_by_city(snapshot: DataFrame, cities: DataFrame) -> DataFrame:
     return (snapshot.select("listing_id", "city_key", "listing_key")
             .join(cities.select("city_key", F.col("city_name").alias("city")), "city_key")
-            .select("listing_id", "city", "listing_key"))
+            .select("listing_id", "city", "listing_key", "city_key"))
 
 
 def usd_rate_of(spark: SparkSession, cities: dict = settings.CITIES, rates: dict = settings.USD_RATES) -> DataFrame:
@@ -161,9 +164,14 @@ def usd_rate_of(spark: SparkSession, cities: dict = settings.CITIES, rates: dict
 
 
 def fact_calendar(spark: SparkSession, calendar: DataFrame | None, snapshot: DataFrame, cities: DataFrame,
-                  dates: DataFrame, config: dict = settings.CITIES) -> DataFrame:
+                  dates: DataFrame, config: dict = settings.CITIES, with_layout: bool = False) -> DataFrame:
+    """Calendar days with their listing's key; ``with_layout`` adds the columns of ``CALENDAR_LAYOUT``.
+
+    A listing has one row per day and scrape, so no key is hot enough to be worth a counting pass.
+    """
+    layout = [n for n in CALENDAR_LAYOUT if with_layout]
     if calendar is None:
-        return empty_table(spark, CALENDAR_SCHEMA)
+        return empty_table(spark, CALENDAR_SCHEMA + "".join(f", {n} int" for n in layout))
     days = calendar.select(
         cast_first(calendar, ["listing_id"], "bigint").alias("listing_id"), cast_first(calendar, ["city"], "string").alias("city"),
         cast_first(calendar, ["date"], "date").alias("full_date"),
@@ -172,12 +180,12 @@ def fact_calendar(spark: SparkSession, calendar: DataFrame | None, snapshot: Dat
         cast_first(calendar, ["adjusted_price_local", "adjusted_price"], "double").alias("adjusted_price"),
         cast_first(calendar, ["minimum_nights"], "int").alias("minimum_nights"),
         cast_first(calendar, ["maximum_nights"], "int").alias("maximum_nights"))
-    joined = (join_to_unique(days, _snapshot_by_city(snapshot, cities), ["listing_id", "city"])
+    joined = (join_to_unique(days, _snapshot_by_city(snapshot, cities), ["listing_id", "city"], hot_rows=None)
               .join(F.broadcast(usd_rate_of(spark, config)), "city", "left")  # one row per configured city
               .join(dates.select("full_date", "date_key"), "full_date", "left"))
     return joined.select("listing_key", "date_key", "is_available", "price_local",
                          stable_round(F.col("price_local") * F.coalesce("usd_rate", F.lit(1.0)), 2).alias("price_usd"),
-                         "adjusted_price", "minimum_nights", "maximum_nights")
+                         "adjusted_price", "minimum_nights", "maximum_nights", *[F.expr(CALENDAR_LAYOUT[n]).cast("int").alias(n) for n in layout])
 
 
 def fact_review(spark: SparkSession, reviews: DataFrame | None, snapshot: DataFrame, reviewers: DataFrame,
@@ -215,7 +223,8 @@ def build_star(spark: SparkSession, gold: DataFrame | None, calendar: DataFrame
         def one(item):
             name, make = item
             df = make()
-            return name, df if path is None else spark.read.parquet(write_table(df, f"{path}/{name}"))
+            by = list(CALENDAR_LAYOUT) if name == "fact_calendar" else None
+            return name, df if path is None else spark.read.schema(df.schema).parquet(write_table(df, f"{path}/{name}", by)).select(*df.columns)
         with ThreadPoolExecutor(len(parts)) as pool:
             star.update(pool.map(one, parts.items()))
 
@@ -226,7 +235,7 @@ def build_star(spark: SparkSession, gold: DataFrame | None, calendar: DataFrame
     build({"fact_listing_snapshot": lambda: fact_listing_snapshot(
         gold, *[star[d] for d in ("dim_host", "dim_property", "dim_neighbourhood", "dim_city", "dim_date")])})
     snapshot, cities, dates = (star[t] for t in ("fact_listing_snapshot", "dim_city", "dim_date"))
-    build({"fact_calendar": lambda: fact_calendar(spark, calendar, snapshot, cities, dates, config),
+    build({"fact_calendar": lambda: fact_calendar(spark, calendar, snapshot, cities, dates, config, path is not None),
            "fact_review": lambda: fact_review(spark, reviews, snapshot, star["dim_reviewer"], cities, dates)})
     return star
 

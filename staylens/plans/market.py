@@ -193,7 +193,9 @@ def host_concentration(star: Star, city_key: int | None = None) -> DataFrame:
 
 def temporal_trends(star: Star, city_key: int | None = None) -> DataFrame:
     src = _calendar(star)
-    if city_key is not None:
+    if city_key is not None and "fact_city" in src.columns:
+        src = src.filter(F.col("fact_city") == city_key)  # a partition of the stored fact
+    elif city_key is not None:
         mine = star["fact_listing_snapshot"].filter(F.col("city_key") == city_key).select("listing_key")
         src = src.join(mine, "listing_key", "left_semi")
     return src.groupBy(F.col("full_date").alias("date")).agg(

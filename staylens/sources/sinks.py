@@ -50,6 +50,12 @@ def read_split(spark: SparkSession, path: str, name: str, schema: StructType, va
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> str:
+    """Overwrites ``path``; with ``by`` rows are first brought together by partition.
+
+    The rebalancing splits a partition value that holds very many rows over several tasks and puts small ones together,
+    so the number of files follows the data and not tasks times partition values.
+    """
+    df = df.hint("rebalance", *by) if by else df
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return path
